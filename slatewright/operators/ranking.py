@@ -22,6 +22,16 @@ GROUP_LIMIT = 1_000
 SALTS = 64
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash ``df`` over all shuffle partitions before a step that multiplies its rows.
+
+    Adaptive execution sizes partitions by the bytes it sees; a narrow table that is
+    about to fan out would otherwise end up in too few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
+
+
 def rank_overall(df: DataFrame, order: Sequence[Column], chunk: Sequence[Column],
                  name: str = "pos") -> DataFrame:
     """1-based position of every row under ``order`` over the whole table.
@@ -34,30 +44,32 @@ def rank_overall(df: DataFrame, order: Sequence[Column], chunk: Sequence[Column]
 
 
 def rank_within(df: DataFrame, key: Sequence[str], order: Sequence[Column],
-                chunk: Sequence[Column], name: str = "pos",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                chunk: Sequence[Column], name: str = "pos", hot_rows: int = HOT_ROWS,
+                sizes: DataFrame | None = None) -> DataFrame:
     """1-based position of every row inside its key under ``order``.
 
     Keys with at most ``hot_rows`` rows are numbered by one window partition.  Larger
     keys are cut into ``chunk`` pieces as in :func:`rank_overall`.  There are at most
     ``rows / hot_rows`` such keys, which bounds the broadcast list (a few megabytes for
-    10^12 rows at the default).
+    10^12 rows at the default).  ``sizes`` (``key, _rows``) may give an upper bound of
+    the rows per key that is cheaper to compute than counting ``df``.
     """
     key = list(key)
-    hot = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-           .where(F.col("_rows") > hot_rows)
-           .select(*key, F.lit(True).alias("_hot")))
+    if sizes is None:
+        sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") > hot_rows).select(*key, F.lit(True).alias("_hot"))
     marked = df.join(F.broadcast(hot), key, "left")
     pieces = [F.when(F.col("_hot"), piece) for piece in chunk]
     names = [f"_chunk{i}" for i in range(len(pieces))]
     marked = marked.withColumns(dict(zip(names, pieces)))
     window = Window.partitionBy(*key, *names).orderBy(*order)
     local = marked.withColumn("_local", F.row_number().over(window))
-    sizes = (marked.where(F.col("_hot")).groupBy(*key, *names)
-             .agg(F.count(F.lit(1)).alias("_n")))
+    pieces_of_hot = (df.join(F.broadcast(hot.drop("_hot")), key)
+                     .groupBy(*key, *[c.alias(n) for c, n in zip(chunk, names)])
+                     .agg(F.count(F.lit(1)).alias("_n")))
     before = Window.partitionBy(*key).orderBy(*names).rowsBetween(
         Window.unboundedPreceding, -1)
-    shifts = sizes.select(
+    shifts = pieces_of_hot.select(
         *key, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     joined = local.join(shifts, [*key, *names], "left")
     position = F.col("_local") + F.coalesce(F.col("_shift"), F.lit(0))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewright.functions.hashing import key_bucket, seeded_key
-from slatewright.operators.ranking import rank_overall
+from slatewright.operators.ranking import rank_overall, rank_within
 
 
 def session_times(log: DataFrame) -> DataFrame:
@@ -207,14 +207,16 @@ def drop_untrained(train: DataFrame, test: DataFrame, keys: Sequence[str] = ())
     seen = train.select(*keys, "item_id").distinct()
     kept = test.join(seen, [*keys, "item_id"], "left_semi")
     enough = kept.groupBy(*keys, "session_id").count().where("count >= 2").drop("count")
-    return close_gaps(kept.join(enough, [*keys, "session_id"], "left_semi"), keys)
+    lengths = test.groupBy(*keys, "session_id").agg(F.max("pos").alias("_rows"))
+    return close_gaps(kept.join(enough, [*keys, "session_id"], "left_semi"), keys, lengths)
 
 
-def close_gaps(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def close_gaps(log: DataFrame, keys: Sequence[str] = (),
+               sizes: DataFrame | None = None) -> DataFrame:
     """Positions 1..n again per session, in the old order; long sessions are split."""
-    from slatewright.operators.ranking import rank_within
     return rank_within(log.withColumnRenamed("pos", "_old"), [*keys, "session_id"],
-                       [F.col("_old")], chunk=[F.floor(F.col("_old") / 100_000)]).drop("_old")
+                       [F.col("_old")], chunk=[F.floor(F.col("_old") / 100_000)],
+                       sizes=sizes).drop("_old")
 
 
 def inner_validation(log: DataFrame, fraction: float, seed: int,

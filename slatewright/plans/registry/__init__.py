@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("evaluating",)
+MODULES = ("evaluating", "neighbours")
 
 
 def collect() -> tuple[dict[str, Callable], dict[str, str]]:
