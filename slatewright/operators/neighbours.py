@@ -147,7 +147,7 @@ def _sample_order(options: NeighbourOptions):
         "random": [shuffle, F.col("session_id")],
         "recent": [F.desc("s_end"), F.desc("session_id")],
         "idf": [F.desc("idf_sum"), F.col("session_id")],
-        "idf_greedy": [F.col("best.c"), F.col("best.item_id"), shuffle, F.col("session_id")],
+        "idf_greedy": [F.col("best"), shuffle, F.col("session_id")],
     }[options.sampling]
 
 
@@ -162,8 +162,14 @@ _PAIR_SUMS = ("both", "dot", "idf_sum")
 
 
 def _pair_aggregates(rows: DataFrame, *more) -> DataFrame:
-    """One row per (case, session) from rows of shared items."""
-    best = F.struct((-F.round("idf", 9)).alias("c"), "item_id")
+    """One row per (case, session) from rows of shared items.
+
+    ``best`` is the rarest shared item as one sortable number: frequency, then item id.
+    Every aggregate is of fixed width, so Spark hashes instead of sorting.
+    """
+    best = F.col("df").cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + \
+        F.col("item_id")
+    best = best.cast("decimal(38,0)")
     return rows.groupBy("case_id", "session_id").agg(
         F.count(F.lit(1)).alias("both"), F.sum(F.col("pw") * F.col("w")).alias("dot"),
         F.sum("idf").alias("idf_sum"), F.max("pos").alias("last_pos"), F.min(best).alias("best"),
@@ -181,7 +187,7 @@ def sampled_pairs(prompt_items: DataFrame, weights: DataFrame, idf: DataFrame,
     Columns: ``both, dot, idf_sum, last_pos`` over the shared items, and the sizes and
     norms of both sides.
     """
-    scored = prompt_items.join(idf.select("item_id", "idf"), "item_id")
+    scored = prompt_items.join(idf.select("item_id", "df", "idf"), "item_id")
     hot = idf.where(F.col("df") > options.hot_df).select("item_id")
     if hot.isEmpty():
         pairs = _rounded_idf_sum(_pair_aggregates(scored.join(weights, "item_id")))
@@ -262,11 +268,10 @@ def _hot_idf_pairs(hot_prompts, hot_weights, options):
     sessions = hot_weights.groupBy("session_id").agg(
         *[F.max(c).alias(c) for c in ("s_norm", "s_size", "s_end")])
     cases = hot_prompts.groupBy("case_id").agg(*[F.max(c).alias(c) for c in ("n", "p_norm")])
-    best_type = "struct<c:double,item_id:bigint>"
     return found.join(sessions, "session_id").join(cases, "case_id").select(
         "case_id", "session_id", F.lit(0).cast("long").alias("both"), F.lit(0.0).alias("dot"),
         F.lit(0.0).alias("idf_sum"), F.lit(0).cast("long").alias("last_pos"),
-        F.lit(None).cast(best_type).alias("best"), F.lit(0.0).alias("rest"),
+        F.lit(None).cast("decimal(38,0)").alias("best"), F.lit(0.0).alias("rest"),
         "n", "p_norm", "s_norm", "s_size", "s_end")
 
 
