@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("evaluating", "neighbours", "preparation", "statistics")
+MODULES = ("evaluating", "neighbours", "preparation", "statistics", "embeddings")
 
 
 def collect() -> tuple[dict[str, Callable], dict[str, str]]:

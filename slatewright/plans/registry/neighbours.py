@@ -227,12 +227,12 @@ def similarity_query(spark, sf_dir):
     pairs = N.sampled_pairs(prompt_items, weights, idf, SIM)
     cosine = N.item_similarity(pairs, "cosine", None).select(
         "case_id", "session_id", "dot", F.col("sim").alias("cosine"))
-    return rounded(cosine, "dot", "cosine")
+    return rounded(cosine, "dot")
 
 
 QUERIES["overlap_similarity_k12"] = similarity_query
 SQL["overlap_similarity_k12"] = template(
-    SIM, "SELECT case_id, session_id, round(dot, 6) AS dot, round(sim, 6) AS cosine FROM alike")
+    SIM, "SELECT case_id, session_id, round(dot, 6) AS dot, sim AS cosine FROM alike")
 
 
 def measures_query(spark, sf_dir):
@@ -253,12 +253,12 @@ def nearest_query(spark, sf_dir):
     _, weights, idf, prompt_items = _inputs(spark, sf_dir, SIM)
     pairs = N.item_similarity(N.sampled_pairs(prompt_items, weights, idf, SIM), "cosine", None)
     close = N.sequential_weight(N.nearest_sessions(pairs, SIM.k))
-    return rounded(close.select("case_id", "sim_rank", "session_id", "sim", "seq"), "sim", "seq")
+    return rounded(close.select("case_id", "sim_rank", "session_id", "sim", "seq"), "seq")
 
 
 QUERIES["nearest_sessions_k14_k16"] = nearest_query
 SQL["nearest_sessions_k14_k16"] = template(
-    SIM, "SELECT case_id, sim_rank, session_id, round(sim, 6) AS sim,"
+    SIM, "SELECT case_id, sim_rank, session_id, sim,"
          " round(last_pos / n, 6) AS seq FROM near")
 
 
@@ -301,7 +301,7 @@ def _recommend(options):
     def run(spark, sf_dir):
         data = dataset(spark, sf_dir)
         recs = N.recommend_neighbours(data.prompts, data.train, 20, options)
-        return rounded(recs, "score")
+        return recs
     return run
 
 
@@ -311,7 +311,7 @@ for _name, _o in VARIANTS.items():
     QUERIES[f"recommend_{_name}_k20_k25_k26"] = _recommend(_o)
     SQL[f"recommend_{_name}_k20_k25_k26"] = template(
         _sql_o, f"SELECT '{_o.model_name()}' AS model, case_id, rank, item_id,"
-                " round(score, 6) AS score FROM ranked WHERE rank <= 20")
+                " score FROM ranked WHERE rank <= 20")
 
 
 def sequential_filter_query(spark, sf_dir):
@@ -333,14 +333,13 @@ def single_prompt_query(spark, sf_dir):
     data = dataset(spark, sf_dir)
     longest = data.prompts.orderBy(F.desc("pos"), "case_id").select("case_id").first()[0]
     rows = data.prompts.where(F.col("case_id") == longest).orderBy("pos").collect()
-    return rounded(N.recommend_one([r["item_id"] for r in rows], data.train, 20).drop(
-        "model", "case_id"), "score")
+    return N.recommend_one([r["item_id"] for r in rows], data.train, 20).drop("model", "case_id")
 
 
 QUERIES["recommend_one_prompt_k24"] = single_prompt_query
 SQL["recommend_one_prompt_k24"] = template(
     N.NeighbourOptions(),
-    "SELECT rank, item_id, round(score, 6) AS score FROM ranked WHERE rank <= 20 AND case_id ="
+    "SELECT rank, item_id, score FROM ranked WHERE rank <= 20 AND case_id ="
     " (SELECT case_id FROM prompts ORDER BY pos DESC, case_id LIMIT 1)")
 
 # --- vectors ----------------------------------------------------------------------------
@@ -358,7 +357,7 @@ def _recommend_vectors(options):
         data = dataset(spark, sf_dir, on_vectors=True)
         recs = N.recommend_neighbours(data.prompts, data.train, 20, options,
                                       workload.vectors(spark, sf_dir))
-        return rounded(recs, "score")
+        return recs
     return run
 
 
@@ -366,7 +365,7 @@ def vector_template(o: N.NeighbourOptions, similar: str, more: str) -> str:
     text = chain(o, "vtrain", "vp")
     head, rest = text.split("  alike AS (", 1)
     tail = rest.split("\n", 1)[1]
-    body = ("SELECT 'SKNN_EMB' AS model, case_id, rank, item_id, round(score, 6) AS score"
+    body = ("SELECT 'SKNN_EMB' AS model, case_id, rank, item_id, score"
             " FROM ranked WHERE rank <= 20")
     return sql(", vp AS (SELECT case_id, pos, item_id FROM vprompts)," + head + more
                + f"  alike AS ({similar}),\n" + tail + "\n" + body,
