@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("evaluating", "neighbours", "preparation", "statistics", "embeddings")
+MODULES = ("evaluating", "neighbours", "preparation", "statistics", "embeddings",
+           "combining", "texts", "sequencing")
 
 
 def collect() -> tuple[dict[str, Callable], dict[str, str]]:
