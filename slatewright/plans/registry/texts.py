@@ -333,5 +333,34 @@ def match_allowed(spark, sf_dir):
     return C.match_allowed(rows, allowed)
 
 
-add("match_allowed_l17", match_allowed)
+# The same walk as recursion over ranks, choices ordered by likeness.
+FUZZY = SLATE_NAMES + """,
+  names12 AS (SELECT case_id, rank, name FROM sn WHERE rank <= 12),
+  allowed AS (SELECT case_id, r.rank AS place, n.name AS choice FROM recs r JOIN names n USING (item_id)
+              WHERE model = 'follow' AND r.rank <= 12),
+  opts AS (SELECT n.case_id, n.rank, n.name, list(choice ORDER BY round(1.0::DOUBLE - levenshtein(n.name, choice)
+             / greatest(length(n.name), length(choice), 1)::DOUBLE, 9) DESC, place) AS l
+           FROM names12 n JOIN allowed a USING (case_id) GROUP BY 1, 2, 3),
+  first AS (SELECT *, list_contains(l, name) AS is_exact, CASE WHEN list_contains(l, name) THEN name ELSE l[1] END AS best
+            FROM opts),
+  walk AS (
+    SELECT case_id, 0::BIGINT AS rank, ''::VARCHAR AS choice, false AS is_exact, false AS is_duplicate, []::VARCHAR[] AS used
+    FROM (SELECT DISTINCT case_id FROM first)
+    UNION ALL
+    SELECT w.case_id, f.rank, c.choice, f.is_exact, list_contains(w.used, f.best), list_append(w.used, c.choice)
+    FROM walk w JOIN first f ON f.case_id = w.case_id AND f.rank = w.rank + 1,
+      LATERAL (SELECT CASE WHEN list_contains(w.used, f.best)
+        THEN coalesce(list_filter(f.l, lambda x: NOT list_contains(w.used, x))[1], f.best) ELSE f.best END AS choice) c)"""
+
+
+def fuzzy(body: str) -> str:
+    return sql(FUZZY + body, *NEED).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+QUERIES["match_allowed_l17"] = match_allowed
+SQL["match_allowed_l17"] = fuzzy("""
+  SELECT case_id, rank::INTEGER AS rank, choice, is_exact, is_duplicate FROM walk WHERE rank > 0""")
+SQL["match_report_l17"] = fuzzy("""
+  SELECT count_if(is_exact) AS n_exact, count_if(NOT is_exact) AS n_inexact, count_if(is_duplicate) AS n_duplicate
+  FROM walk WHERE rank > 0""")
 add("match_report_l17", lambda s, d: C.match_report(match_allowed(s, d)))
