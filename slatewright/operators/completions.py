@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewright.functions.text import parse_delimited, parse_numbered, parse_single
 from slatewright.operators.blocks import nearest
-from slatewright.operators.ranking import top_n
+from slatewright.operators.ranking import spread, top_n
 
 
 def parsed(completions: DataFrame, task: str, k: int = 20) -> DataFrame:
@@ -64,29 +65,29 @@ def fill_unmatched(rows: DataFrame, name_vectors: DataFrame, items: DataFrame, k
     A slate of k names rules out at most k - 1 items, so k candidates per name always
     suffice.
     """
-    near = _nearest_per_name(name_vectors, items, k)
+    near = _nearest_per_name(name_vectors.join(unmatched_names(rows), "name", "left_semi"), items, k)
     with_near = rows.join(near, "name", "left").where(
         F.col("item_id").isNotNull() | F.col("near_id").isNotNull())
-    trimmed = with_near.where(F.col("item_id").isNull() | F.coalesce(
-        F.col("place") == 1, F.lit(True)))
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        used = set(frame["item_id"].dropna().astype("int64"))
-        out = []
-        for rank, group in frame.groupby("rank", sort=True):
-            own = group["item_id"].iloc[0]
-            if pd.notna(own):
-                out.append((group["case_id"].iloc[0], rank, int(own)))
+        frame = frame.sort_values(["rank", "place"])
+        own = frame["item_id"].to_numpy(dtype=float, na_value=np.nan)
+        used = {int(v) for v in own[~np.isnan(own)]}
+        chosen: dict[int, int] = {}
+        for rank, mine, near_id in zip(frame["rank"], own, frame["near_id"]):
+            if rank in chosen:
                 continue
-            for near_id in group.sort_values("place")["near_id"]:
-                if int(near_id) not in used:
-                    used.add(int(near_id))
-                    out.append((group["case_id"].iloc[0], rank, int(near_id)))
-                    break
-        return pd.DataFrame(out, columns=["case_id", "rank", "item_id"])
+            if not np.isnan(mine):
+                chosen[rank] = int(mine)
+            elif int(near_id) not in used:
+                used.add(int(near_id))
+                chosen[rank] = int(near_id)
+        return pd.DataFrame({"case_id": frame["case_id"].iloc[0], "rank": list(chosen),
+                             "item_id": list(chosen.values())})
 
-    return trimmed.select("case_id", "rank", "item_id", "place", "near_id").groupBy(
-        "case_id").applyInPandas(walk, "case_id long, rank int, item_id long")
+    columns = with_near.select("case_id", "rank", "item_id", "place", "near_id")
+    return spread(columns, "case_id").groupBy("case_id").applyInPandas(
+        walk, "case_id long, rank int, item_id long")
 
 
 def replace_repeats(counts: DataFrame, names: DataFrame, name_vectors: DataFrame,
@@ -100,7 +101,8 @@ def replace_repeats(counts: DataFrame, names: DataFrame, name_vectors: DataFrame
     labelled = matched(counts, names)
     needs = labelled.where((F.col("n") > 1) | F.col("item_id").isNull())
     most = labelled.agg(F.max("n")).first()[0] or 0
-    near = _nearest_per_name(name_vectors, items, int(most) + k)
+    asked = name_vectors.join(needs.select("name").distinct(), "name", "left_semi")
+    near = _nearest_per_name(asked, items, int(most) + k)
     offered = needs.select("case_id", "name", "n").join(near, "name").where(
         F.col("place") <= F.col("n") + k).drop("n")
     shown = prompts.select("case_id", F.col("item_id").alias("near_id")).distinct()
@@ -111,22 +113,27 @@ def replace_repeats(counts: DataFrame, names: DataFrame, name_vectors: DataFrame
     rows = labelled.join(offered, ["case_id", "name"], "left")
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, direct, extra = set(), [], []
-        for _, group in frame.sort_values(["first", "place"]).groupby("first", sort=True):
-            own, wanted = group["item_id"].iloc[0], int(group["n"].iloc[0])
-            if pd.notna(own):
-                direct.append(int(own))
-                wanted -= 1
-            free = [int(x) for x in group["near_id"].dropna() if int(x) not in taken][:wanted]
-            taken.update(free)
-            extra.extend(free)
-        case = frame["case_id"].iloc[0]
+        frame = frame.sort_values(["first", "place"])
+        own = frame["item_id"].to_numpy(dtype=float, na_value=np.nan)
+        near = frame["near_id"].to_numpy(dtype=float, na_value=np.nan)
+        taken, direct, extra, wanted = set(), [], [], {}
+        for first, n, mine, near_id in zip(frame["first"], frame["n"], own, near):
+            if first not in wanted:
+                wanted[first] = int(n)
+                if not np.isnan(mine):
+                    direct.append(int(mine))
+                    wanted[first] -= 1
+            if wanted[first] > 0 and not np.isnan(near_id) and int(near_id) not in taken:
+                wanted[first] -= 1
+                taken.add(int(near_id))
+                extra.append(int(near_id))
         chosen = direct + extra
-        return pd.DataFrame({"case_id": case, "rank": range(1, len(chosen) + 1),
-                             "item_id": chosen})
+        return pd.DataFrame({"case_id": frame["case_id"].iloc[0],
+                             "rank": range(1, len(chosen) + 1), "item_id": chosen})
 
-    return rows.select("case_id", "first", "n", "item_id", "place", "near_id").groupBy(
-        "case_id").applyInPandas(walk, "case_id long, rank int, item_id long")
+    columns = rows.select("case_id", "first", "n", "item_id", "place", "near_id")
+    return spread(columns, "case_id").groupBy("case_id").applyInPandas(
+        walk, "case_id long, rank int, item_id long")
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -147,21 +154,25 @@ def match_allowed(rows: DataFrame, allowed: DataFrame,
     scored = pairs.withColumn("alike", F.round(score(F.col("name"), F.col("choice")), 9))
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
         ordered = frame.sort_values(["rank", "alike", "place"], ascending=[True, False, True])
-        for rank, group in ordered.groupby("rank", sort=True):
-            options = group["choice"].tolist()
-            exact = group["name"].iloc[0] in options
-            best = group["name"].iloc[0] if exact else options[0]
+        options: dict[int, list[str]] = {}
+        asked: dict[int, str] = {}
+        for rank, name, choice in zip(ordered["rank"], ordered["name"], ordered["choice"]):
+            options.setdefault(rank, []).append(choice)
+            asked[rank] = name
+        used, out = set(), []
+        for rank, choices in options.items():
+            exact = asked[rank] in choices
+            best = asked[rank] if exact else choices[0]
             repeated = best in used
             if repeated:
-                best = next((c for c in options if c not in used), best)
+                best = next((c for c in choices if c not in used), best)
             used.add(best)
-            out.append((group["case_id"].iloc[0], rank, best, exact, repeated))
+            out.append((ordered["case_id"].iloc[0], rank, best, exact, repeated))
         return pd.DataFrame(out, columns=["case_id", "rank", "choice", "is_exact",
                                           "is_duplicate"])
 
-    return scored.groupBy("case_id").applyInPandas(
+    return spread(scored, "case_id").groupBy("case_id").applyInPandas(
         walk, "case_id long, rank int, choice string, is_exact boolean, is_duplicate boolean")
 
 

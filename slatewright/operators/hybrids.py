@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewright.operators.ranking import rerank
+from slatewright.operators.ranking import rerank, spread
 
 KEYS = ["param", "case_id"]
 
@@ -124,26 +124,29 @@ def diversity_filter(slates: DataFrame, items: DataFrame, thresholds: Sequence[f
     levels = [float(t) for t in thresholds]
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank")
-        x = np.stack(frame["embedding"].to_numpy()).astype(float)
+        order = np.argsort(frame["rank"].to_numpy(), kind="stable")
+        item_ids = frame["item_id"].to_numpy()[order]
+        x = np.stack(frame["embedding"].to_numpy()[order]).astype(float)
         lengths = np.linalg.norm(x, axis=1, keepdims=True)
         unit = np.divide(x, lengths, out=np.zeros_like(x), where=lengths > 0)
         alike = unit @ unit.T
-        parts = []
+        level_of, rank_of, kept_items = [], [], []
         for level in levels:
             kept: list[int] = []
-            for i in range(len(frame)):
+            closest = np.full(len(x), -np.inf)
+            for i in range(len(x)):
                 if len(kept) >= k:
                     break
-                if not kept or alike[i, kept].max() < level:
+                if not kept or closest[i] < level:
                     kept.append(i)
-            part = frame.iloc[kept][[*keys, "item_id"]].copy()
-            part.insert(0, "param", level)
-            part["rank"] = np.arange(1, len(kept) + 1)
-            parts.append(part)
-        return pd.concat(parts)[["param", *keys, "rank", "item_id"]]
-
-    return with_vectors.groupBy(*keys).applyInPandas(
+                    np.maximum(closest, alike[i], out=closest)
+            level_of += [level] * len(kept)
+            rank_of += range(1, len(kept) + 1)
+            kept_items += item_ids[kept].tolist()
+        fixed = {c: frame[c].iloc[0] for c in keys}
+        return pd.DataFrame({"param": level_of, **fixed, "rank": rank_of, "item_id": kept_items})
+
+    return spread(with_vectors, *keys).groupBy(*keys).applyInPandas(
         walk, f"param double, {key_schema}, rank int, item_id long")
 
 

@@ -326,7 +326,7 @@ def scored_candidates(neighbours: DataFrame, weights: DataFrame, prompt_items: D
     worth = F.coalesce("sim", F.lit(0.0))
     if options.sequential_weighting:
         worth = worth * (F.col("last_pos") / F.col("n"))
-    votes = neighbours.select("case_id", "session_id", worth.alias("_v"))
+    votes = spread(neighbours.select("case_id", "session_id", worth.alias("_v")), "case_id")
     items = votes.join(weights.where("w <> 0").select("session_id", "item_id"), "session_id")
     scores = items.groupBy("case_id", "item_id").agg(F.sum("_v").alias("score"))
     if options.filter_prompt_items:

@@ -22,14 +22,20 @@ GROUP_LIMIT = 1_000
 SALTS = 64
 
 
+# Tasks per ordinary shuffle partition in front of a step that multiplies rows.
+FAN_OUT = 2
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Hash ``df`` over all shuffle partitions before a step that multiplies its rows.
+    """Hash ``df`` finely before a step that multiplies its rows or runs Python per group.
 
-    Adaptive execution sizes partitions by the bytes it sees; a narrow table that is
-    about to fan out would otherwise end up in too few tasks.
+    Adaptive execution sizes partitions by the bytes it sees, so a narrow table that is
+    about to fan out would end up in too few tasks.  The partition number differs from
+    the default one on purpose: an equal one would be folded into the shuffle before it
+    and coalesced again.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *columns)
+    return df.repartition(FAN_OUT * n, *columns)
 
 
 def rank_overall(df: DataFrame, order: Sequence[Column], chunk: Sequence[Column],
