@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 MODULES = ("evaluating", "neighbours", "preparation", "statistics", "embeddings",
-           "combining", "texts", "sequencing", "streams", "storage")
+           "combining", "texts", "sequencing", "streams", "storage", "running")
 
 
 def collect() -> tuple[dict[str, Callable], dict[str, str]]:
