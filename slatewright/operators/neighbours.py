@@ -351,8 +351,8 @@ def recommend_neighbours(prompts: DataFrame, train: DataFrame, k: int,
                          options: NeighbourOptions = NeighbourOptions(),
                          items: DataFrame | None = None, model: str | None = None) -> DataFrame:
     """``model, case_id, rank, item_id, score`` for all prompts in one job."""
-    weights = described_weights(train)
-    idf = inverse_frequency(weights)
+    cells = session_item_weights(train)
+    weights, idf = described_weights(train), inverse_frequency(cells)
     prompt_items = prompt_vectors(
         normalised_prompts(prompts, train, options.last_n_items), options.decay)
     pairs = sampled_pairs(prompt_items, weights, idf, options)
@@ -364,7 +364,7 @@ def recommend_neighbours(prompts: DataFrame, train: DataFrame, k: int,
         n_items = idf.agg(F.count(F.lit(1))).scalar()
         pairs = item_similarity(pairs, options.similarity, n_items)
     close = nearest_sessions(pairs, options.k)
-    scores = scored_candidates(close, weights, prompt_items, idf, options)
+    scores = scored_candidates(close, cells, prompt_items, idf, options)
     if options.sequential_filter:
         scores = following_only(scores, prompt_items, successors(train))
     scores = scores.withColumn("score", F.round("score", 9))

@@ -234,6 +234,5 @@ def sample_sessions(log: DataFrame, n: int, seed: int) -> DataFrame:
     available = _count(log.select("session_id").distinct())
     if n > available:
         raise ValueError(f"cannot sample {n} of {available} sessions")
-    keep = (log.select("session_id").distinct()
-            .orderBy(seeded_key(seed, "session_id"), "session_id").limit(n))
+    keep = shuffled_sessions(log, seed).where(F.col("session_rank") <= n).select("session_id")
     return log.join(keep, "session_id", "left_semi")

@@ -175,7 +175,21 @@ def diversity_sweep(spark, sf_dir):
     return rounded(E.evaluate(out, data.truths, (5, 10), E.RANKING), "value")
 
 
-add("diversity_sweep_h6", diversity_sweep)
+QUERIES["diversity_sweep_h6"] = diversity_sweep
+SQL["diversity_sweep_h6"] = recursive(
+    VSLATES + """,
+  lv AS (SELECT quantile_cont(list_cosine_similarity(x.v, y.v), [0.9, 0.97]) AS q
+         FROM vecs x JOIN vecs y ON x.item_id <> y.item_id),
+  cut50 AS (SELECT * FROM vs WHERE rank <= 50),"""
+    + walk_sql("cut50", "case_id", "(SELECT q[1] FROM lv), (SELECT q[2] FROM lv)", 10) + """,
+  hit AS (SELECT CASE WHEN level = (SELECT q[1] FROM lv) THEN '0.9' ELSE '0.97' END AS l, top_k,
+                 list_position(kept, t.item_id) AS r
+          FROM final JOIN vtruths t USING (case_id) CROSS JOIN (VALUES (5), (10)) k(top_k)),
+  rep AS (SELECT l, top_k, avg(CASE WHEN r BETWEEN 1 AND top_k THEN 1 / log2(r + 1.0) ELSE 0 END) AS n,
+                 avg(CASE WHEN r BETWEEN 1 AND top_k THEN 1.0 ELSE 0 END) AS h,
+                 avg(CASE WHEN r BETWEEN 1 AND top_k THEN 1.0 / r ELSE 0 END) AS m FROM hit GROUP BY 1, 2)
+  SELECT 'similar-None-Divers-' || l AS model, top_k, unnest(['NDCG', 'HitRate', 'MRR']) AS metric,
+         round(unnest([n, h, m]), 6) AS value FROM rep""", "vtruths", *VECTOR_NEED)
 
 
 def popular_then_diverse(spark, sf_dir):
@@ -230,7 +244,7 @@ add("model_pairs_h9", pair_overview, f""",{RECS},
 
 
 def sweep_reports(spark, sf_dir):
-    """Reports of the rank ensemble per cut-off, with test weeks in place of folds."""
+    """Reports of the rank ensemble per cut-off; two halves of the cases stand for folds."""
     data, first, second = pair(spark, sf_dir)
     slates = H.rank_ensemble(first, second, (2, 5, 10), 20)
     folds = slates.withColumn("fold", (F.col("case_id") % 2).cast("int")).withColumn(

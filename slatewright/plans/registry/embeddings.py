@@ -140,10 +140,10 @@ add("zero_cut_e11", zero_cut, """
 
 
 def cached(spark, sf_dir):
-    """Part names through a cache that knows half of them; the embedder counts characters."""
+    """Part names through a cache of the names of the largest parts; the embedder counts characters."""
     part = workload.table(spark, sf_dir, "part")
     texts = part.select(F.col("p_name").alias("text"))
-    cache = part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("text")).distinct().select(
+    cache = part.where("p_size = 50").select(F.col("p_name").alias("text")).distinct().select(
         "text", F.lit("letters").alias("engine"),
         F.array(F.length("text").cast("double"), F.lit(0.0)).alias("embedding"))
     everything, _ = embedding.cached_embeddings(
@@ -153,7 +153,7 @@ def cached(spark, sf_dir):
 
 add("embedding_cache_e13_e14", cached, """
   SELECT p_name AS text, length(p_name)::DOUBLE AS n,
-         max(CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0) THEN 0.0 ELSE 1.0 END)::DOUBLE AS fresh
+         max(CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_size = 50) THEN 0.0 ELSE 1.0 END)::DOUBLE AS fresh
   FROM part GROUP BY 1""")
 
 
@@ -217,10 +217,11 @@ add("cluster_sizes_v6", lambda s, d: clusters.cluster_sizes(clustered(s, d)[0]))
 
 
 def labelled_clusters(spark, sf_dir):
-    """The embedding labels as clusters, part names as names (every fifth part has none)."""
+    """The embedding labels as clusters, part names as names (small parts have none)."""
     assigned = workload.vectors(spark, sf_dir).select("item_id", F.col("class").cast("long").alias("cluster"))
-    names = workload.names(spark, sf_dir).withColumn(
-        "name", F.when(F.col("item_id") % 5 != 0, F.col("name")))
+    sizes = workload.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_size")
+    names = workload.names(spark, sf_dir).join(sizes, "item_id").withColumn(
+        "name", F.when(F.col("p_size") > 10, F.col("name")))
     counts = item_counts(dataset(spark, sf_dir, on_vectors=True).train)
     return clusters.popular_per_cluster(assigned, counts, names)
 
@@ -230,7 +231,7 @@ add("popular_per_cluster_v7", labelled_clusters, """
     SELECT label, item_id, coalesce(c, 0) AS c, row_number() OVER (
       PARTITION BY label ORDER BY coalesce(c, 0) DESC, item_id) AS rn
     FROM vecs LEFT JOIN vcounts USING (item_id) JOIN part ON p_partkey = item_id
-    WHERE item_id % 5 <> 0) WHERE rn = 1""", "vecs", "vcounts")
+    WHERE p_size > 10) WHERE rn = 1""", "vecs", "vcounts")
 
 
 def near_centres(spark, sf_dir):

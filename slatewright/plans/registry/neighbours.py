@@ -23,7 +23,7 @@ SMALL = N.NeighbourOptions(k=20, sample_size=50)
 def _inputs(spark, sf_dir, options, on_vectors=False):
     data = dataset(spark, sf_dir, on_vectors)
     weights = N.described_weights(data.train)
-    idf = N.inverse_frequency(weights)
+    idf = N.inverse_frequency(N.session_item_weights(data.train))
     prompt_items = N.prompt_vectors(
         N.normalised_prompts(data.prompts, data.train, options.last_n_items), options.decay)
     return data, weights, idf, prompt_items

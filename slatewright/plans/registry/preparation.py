@@ -39,7 +39,8 @@ def reviews(spark, sf_dir):
     lines = table(spark, sf_dir, "orders").select(F.to_json(F.struct(
         F.col("o_custkey").cast("string").alias("reviewerID"),
         F.col("o_orderkey").cast("string").alias("asin"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("unixReviewTime"))).alias("v"))
+        F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', o_orderdate)")
+        .alias("unixReviewTime"))).alias("v"))
     schema = "reviewerID string, asin string, unixReviewTime long"
     return lines.select(F.from_json("v", schema).alias("r")).select(
         F.col("r.reviewerID").alias("user"), F.col("r.asin").alias("item"),

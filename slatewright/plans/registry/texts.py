@@ -174,7 +174,12 @@ add("token_cost_l8", lambda s, d: L.token_cost(training(s, d), 0.008, 400.0).wit
   SELECT split, count(*) AS n_examples, sum(n_tokens)::BIGINT AS n_tokens, round(sum(n_tokens) * 0.008, 6)::DOUBLE AS cost,
          sum(n_tokens) * 0.008 <= 400.0 AS within_bound FROM ex WHERE n_tokens <= 180 GROUP BY 1""",
     "prompts", "truths")
-add("chat_json_lines_s12", lambda s, d: L.to_json_lines(training(s, d)))
+add("chat_json_lines_s12", lambda s, d: L.to_json_lines(training(s, d)), TRAINING + f"""
+  SELECT split, to_json(struct_pack(messages := [
+           struct_pack("role" := 'system', content := {quoted(chat.SINGLE_SYSTEM)}),
+           struct_pack("role" := 'user', content := {filled(chat.SINGLE_USER)}),
+           struct_pack("role" := 'assistant', content := g)]))::VARCHAR AS value
+  FROM ex JOIN pl USING (case_id) JOIN gl USING (case_id) WHERE n_tokens <= 180""", "prompts", "truths")
 
 
 def conversation_lines(spark, sf_dir):
