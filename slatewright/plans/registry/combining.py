@@ -217,7 +217,7 @@ QUERIES["rerank_batch_h8"] = rerank_counts
 SQL["rerank_batch_h8"] = recursive(
     VSLATES + ", cut20 AS (SELECT * FROM vs WHERE rank <= 20)," + walk_sql("cut20", "case_id", "0.35", 10) + """,
   old AS (SELECT case_id, list(item_id ORDER BY rank) AS o FROM cut20 WHERE rank <= 10 GROUP BY 1)
-  SELECT count(*) AS n_cases, 0::BIGINT AS n_empty, count_if(o = kept) AS n_unchanged
+  SELECT count(*) AS n_cases, 0::BIGINT AS n_empty, count_if(o = kept)::BIGINT AS n_unchanged
   FROM final JOIN old USING (case_id)""", *VECTOR_NEED)
 
 
@@ -239,7 +239,7 @@ add("model_pairs_h9", pair_overview, f""",{RECS},
   three AS (SELECT * FROM recs UNION ALL SELECT 'reverse', case_id, 21 - rank, item_id, score
             FROM recs WHERE model = 'popular'),
   f AS (SELECT * FROM three WHERE rank = 1)
-  SELECT a.model AS model_1, b.model AS model_2, count_if(a.item_id = b.item_id) AS n_same
+  SELECT a.model AS model_1, b.model AS model_2, count_if(a.item_id = b.item_id)::BIGINT AS n_same
   FROM f a JOIN f b ON a.case_id = b.case_id AND a.model < b.model GROUP BY 1, 2""", *NEED)
 
 

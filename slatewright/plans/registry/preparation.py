@@ -118,9 +118,9 @@ add("time_formats_p1_p2", lambda s, d: table(s, d, "events").select(
 add("reject_counts_p6", lambda s, d: cleaning.reject_counts(
     table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left"), ["text", "quality", "toxic"]),
     """
-  SELECT count(*) AS n_rows, count_if(text IS NULL OR quality IS NULL OR toxic IS NULL) AS n_rejected,
-         count_if(text IS NULL) AS missing_text, count_if(quality IS NULL) AS missing_quality,
-         count_if(toxic IS NULL) AS missing_toxic FROM documents LEFT JOIN labels USING (doc_id)""")
+  SELECT count(*) AS n_rows, count_if(text IS NULL OR quality IS NULL OR toxic IS NULL)::BIGINT AS n_rejected,
+         count_if(text IS NULL)::BIGINT AS missing_text, count_if(quality IS NULL)::BIGINT AS missing_quality,
+         count_if(toxic IS NULL)::BIGINT AS missing_toxic FROM documents LEFT JOIN labels USING (doc_id)""")
 
 add("tidy_p7", lambda s, d: cleaning.tidy(
     table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select(

@@ -366,6 +366,6 @@ QUERIES["match_allowed_l17"] = match_allowed
 SQL["match_allowed_l17"] = fuzzy("""
   SELECT case_id, rank::INTEGER AS rank, choice, is_exact, is_duplicate FROM walk WHERE rank > 0""")
 SQL["match_report_l17"] = fuzzy("""
-  SELECT count_if(is_exact) AS n_exact, count_if(NOT is_exact) AS n_inexact, count_if(is_duplicate) AS n_duplicate
+  SELECT count_if(is_exact)::BIGINT AS n_exact, count_if(NOT is_exact)::BIGINT AS n_inexact, count_if(is_duplicate)::BIGINT AS n_duplicate
   FROM walk WHERE rank > 0""")
 add("match_report_l17", lambda s, d: C.match_report(match_allowed(s, d)))
