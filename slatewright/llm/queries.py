@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewright.llm import mixing, sharding, substrings, suffixes
-from slatewright.llm.shared import documents
+from slatewright.llm import mixing, sharding, substrings, suffixes, tokenfiles
+from slatewright.llm.shared import documents, shared_path
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_path(spark, "ids")
+    tokenfiles.write_ids(documents(spark, sf_dir), path, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return tokenfiles.digest(tokenfiles.read_ids(spark, path))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +39,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
