@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewright.llm import mixing, sharding, substrings, suffixes, tokenfiles
+from slatewright.llm import decontamination, mixing, sharding, substrings, suffixes, tokenfiles
 from slatewright.llm.shared import documents, shared_path
 
 
@@ -38,12 +38,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("n_elements").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.digest(decontamination.contamination(documents(spark, sf_dir), benchmark, size=10))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 
 SQL: dict[str, str] = {}
