@@ -24,8 +24,8 @@ BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 CHUNK = 1 << 18
 BATCHES = "batch bigint, n_bytes bigint, ids array<bigint>, ends array<bigint>, data binary"
-SENT = "bucket int, batch bigint, keys binary, ids binary, note binary"
-REPLIES = "batch bigint, bucket int, answer binary"
+SENT = "bucket int, kind int, batch bigint, keys binary, ids binary, note binary"
+REPLIES = "batch bigint, kind int, bucket int, answer binary"
 
 _MASK = (1 << 64) - 1
 
@@ -201,8 +201,8 @@ def sorted_keys(first: np.ndarray, second: np.ndarray, n_buckets: int):
 
 
 def slices(batch: int, keys: np.ndarray, bounds: np.ndarray, ids: np.ndarray | None = None,
-           note: bytes | None = None) -> pa.RecordBatch:
-    """What a batch sends; ``note`` comes back to it with the answers."""
+           note: bytes | None = None, kind: int = 0) -> pa.RecordBatch:
+    """What a batch sends; ``note`` comes back to it with the answers. Keys meet keys of their kind."""
     full = np.flatnonzero(np.diff(bounds))
     cut = [(int(bounds[b]), int(bounds[b + 1])) for b in full]
     columns = [list(map(int, full)), [keys[a:b].tobytes() for a, b in cut],
@@ -210,9 +210,11 @@ def slices(batch: int, keys: np.ndarray, bounds: np.ndarray, ids: np.ndarray | N
     if note is not None:
         for column, x in zip(columns, (batch % (len(bounds) - 1), None, None, note), strict=True):
             column.append(x)
+    n = len(columns[0])
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int32()), pa.array([batch] * len(columns[0]), pa.int64()),
-         *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "batch", "keys", "ids", "note"])
+        [pa.array(columns[0], pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([batch] * n, pa.int64()),
+         *(pa.array(c, pa.binary()) for c in columns[1:])],
+        names=["bucket", "kind", "batch", "keys", "ids", "note"])
 
 
 def repeated(keys: np.ndarray, batch: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
@@ -233,6 +235,11 @@ def not_first(keys: np.ndarray, batch: np.ndarray, ids: np.ndarray | None) -> np
     return flag
 
 
+def copies(keys: np.ndarray, batch: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+    """Answer: 0 if no other batch has the key, 1 if this one has it first, 2 if another has (as in ``not_first``)."""
+    return not_first(keys, batch, ids).astype(np.uint8) + repeated(keys, batch, ids)
+
+
 def holders(keys: np.ndarray, batch: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
     """Answer: the summed counts of the key over all batches, up to 255."""
     order = np.argsort(keys, kind="stable")
@@ -246,21 +253,20 @@ def holders(keys: np.ndarray, batch: np.ndarray, ids: np.ndarray | None) -> np.n
     return out
 
 
-def ask(sent: DataFrame, answer: Callable, n_buckets: int, ids_type: str = "int64") -> DataFrame:
-    """Buckets answer what batches sent; the answers of a batch come back as one row."""
+def ask(sent: DataFrame, n_buckets: int, *answers: Callable, ids_type: str = "int64") -> DataFrame:
+    """Buckets answer what batches sent, keys of kind k by ``answers[k]``; the answers of a batch come back as
+    one row."""
 
     def respond(arrow_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(arrow_batches))
-        rows = table.to_pydict()
-        out_batch, out_bucket, out_answer, asked = [], [], [], []
+        rows = pa.Table.from_batches(list(arrow_batches)).to_pydict()
+        out: list[tuple] = []
         for k, note in enumerate(rows["note"]):
             if note is not None:
-                out_batch.append(rows["batch"][k])
-                out_bucket.append(-1)
-                out_answer.append(note)
-            else:
-                asked.append(k)
-        if asked:
+                out.append((rows["batch"][k], 0, -1, note))
+        for kind, answer in enumerate(answers):
+            asked = [k for k, x in enumerate(rows["kind"]) if x == kind and rows["keys"][k] is not None]
+            if not asked:
+                continue
             asked.sort(key=lambda k: rows["batch"][k])
             keys = [np.frombuffer(rows["keys"][k], np.uint64) for k in asked]
             sizes = [len(x) for x in keys]
@@ -268,15 +274,14 @@ def ask(sent: DataFrame, answer: Callable, n_buckets: int, ids_type: str = "int6
                 [np.frombuffer(rows["ids"][k], ids_type) for k in asked])
             flags = answer(np.concatenate(keys), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), ids)
             for k, part in zip(asked, np.split(flags, np.cumsum(sizes)[:-1]), strict=True):
-                out_batch.append(rows["batch"][k])
-                out_bucket.append(rows["bucket"][k])
-                out_answer.append(zlib.compress((np.packbits(part) if part.dtype == bool else part).tobytes(), 1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out_batch, pa.int64()), pa.array(out_bucket, pa.int32()), pa.array(out_answer, pa.binary())],
-            names=["batch", "bucket", "answer"])
+                raw = (np.packbits(part) if part.dtype == bool else part).tobytes()
+                out.append((rows["batch"][k], kind, rows["bucket"][k], zlib.compress(raw, 1)))
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
+                                         names=["batch", "kind", "bucket", "answer"])
 
     replies = sent.groupBy("bucket").applyInArrow(_by_group(respond), REPLIES)
-    return replies.groupBy("batch").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
+    return replies.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "answer")).alias("answers"))
 
 
 def _by_group(respond):
@@ -290,13 +295,13 @@ def answered(batches: DataFrame, replies: DataFrame) -> DataFrame:
     return batches.join(replies, "batch", "left")
 
 
-def read_answers(answers: list | None, bounds: np.ndarray, bits: bool = True) -> np.ndarray:
+def read_answers(answers: list | None, bounds: np.ndarray, bits: bool = True, kind: int = 0) -> np.ndarray:
     """The answers in the order of the keys that were sent."""
     n = int(bounds[-1])
     out = np.zeros(n, bool if bits else np.uint8)
     for entry in answers or ():
         b = entry["bucket"]
-        if b >= 0:
+        if b >= 0 and entry["kind"] == kind:
             raw = np.frombuffer(zlib.decompress(entry["answer"]), np.uint8)
             size = int(bounds[b + 1] - bounds[b])
             out[bounds[b]:bounds[b + 1]] = np.unpackbits(raw, count=size).astype(bool) if bits else raw

@@ -69,36 +69,63 @@ def _windows(at: np.ndarray, ends: np.ndarray, width: int, period: int) -> np.nd
     return np.flatnonzero((np.cumsum(step[:-1]) > 0) & (left >= width))
 
 
+def _text_keys(ids: list, ends: np.ndarray, data: np.ndarray, n_buckets: int):
+    """The documents' whole texts as sorted keys, with the smallest doc_id of each in the batch."""
+    digests, a = [], 0
+    for b in ends.tolist():
+        digests.append(hashlib.blake2b(data[a:b], digest_size=16).digest())
+        a = b
+    both = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    keys, bounds, own, _ = B.sorted_keys(both[:, 0].copy(), both[:, 1].copy(), n_buckets)
+    owner = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(owner, own, _known(ids))
+    return keys, bounds, own, owner
+
+
+def _copy_states(answers: list | None, ids: list, ends: np.ndarray, data: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Of each document: 0 if no other has its text, 1 if it is the first of several, 2 if one before has it."""
+    _, bounds, own, _ = _text_keys(ids, ends, data, n_buckets)
+    elsewhere = B.read_answers(answers, bounds, bits=False, kind=1)
+    first = _first_in_batch(own, np.arange(len(ids)), _known(ids))
+    several = (elsewhere > 0) | (np.bincount(own, minlength=int(bounds[-1])) > 1)
+    return np.where(~first | (elsewhere == 2)[own], 2, several[own])
+
+
 def _ask_anchors(stored: DataFrame, elements_of, width: int, least: int) -> tuple[DataFrame, int]:
     period, mask = cover_for(width, least)
-    density = mask.mean() * 8 * elements_of.per_byte
-    n_buckets = B.bucket_count(stored, density)
+    n_buckets = B.bucket_count(stored, mask.mean() * 8 * elements_of.per_byte)
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ids, ends, data, _ in B.each_batch(rows):
+        for batch, ids, ends, data, _ in B.each_batch(rows):
+            keys, bounds, _, owner = _text_keys(ids, ends, data, n_buckets)
+            yield B.slices(batch, keys, bounds, owner, kind=1)
             elements, ends = elements_of(data, ends)
             at, anchor = _anchors(elements, ends, width, period, mask)
             keys, bounds, _, _ = B.sorted_keys(B.fingerprints(elements, at, anchor), B.fingerprints(
                 elements, at, anchor, 1), n_buckets)
             yield B.slices(batch, keys, bounds)
 
-    return B.ask(stored.mapInArrow(send, B.SENT), B.repeated, n_buckets), n_buckets
+    return B.ask(stored.mapInArrow(send, B.SENT), n_buckets, B.repeated, B.copies), n_buckets
 
 
 def _ask_windows(stored: DataFrame, replies: DataFrame, elements_of, width: int, least: int,
                  anchor_buckets: int, answer) -> tuple[DataFrame, int]:
+    """Windows over repeated anchors ask whether they repeat; a text that a document before has as a whole
+    sends none, as the first one sends them. Notes keep the documents' states and the candidates' runs."""
     period, mask = cover_for(width, least)
     n_buckets = B.bucket_count(stored, 2 * elements_of.per_byte)  # 8 to 16 bytes for one element in about six
     with_ids = answer is B.not_first
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, ends, data, answers in B.each_batch(rows):
+            state = _copy_states(answers, ids, ends, data, anchor_buckets)
             elements, ends = elements_of(data, ends)
             at, anchor = _anchors(elements, ends, width, period, mask)
             _, bounds, own, _ = B.sorted_keys(B.fingerprints(elements, at, anchor), B.fingerprints(
                 elements, at, anchor, 1), anchor_buckets)
             shared = B.read_answers(answers, bounds) | (np.bincount(own, minlength=int(bounds[-1])) > 1)
             starts = _windows(at[shared[own]], ends, width, period)
+            starts = starts[state[np.searchsorted(ends, starts, "right")] < 2]
             jump = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
             runs = np.stack([starts[jump], np.append(starts[jump[1:] - 1], starts[-1:]) + 1]) if len(
                 starts) else np.zeros((2, 0))
@@ -108,16 +135,20 @@ def _ask_windows(stored: DataFrame, replies: DataFrame, elements_of, width: int,
             if with_ids:  # of each key the smallest doc_id in the batch
                 owner = np.full(len(keys), np.iinfo(np.int64).max)
                 np.minimum.at(owner, own, _owners(ids, ends, starts))
-            yield B.slices(batch, keys, bounds, owner, runs.astype(np.int64).tobytes())
+            yield B.slices(batch, keys, bounds, owner, state.astype(np.int8).tobytes() + runs.astype(np.int64).tobytes())
 
     sent = B.answered(stored, replies).mapInArrow(send, B.SENT)
-    return B.ask(sent, answer, n_buckets), n_buckets
+    return B.ask(sent, n_buckets, answer), n_buckets
+
+
+def _known(ids: list) -> np.ndarray:
+    """doc_ids as numbers; null counts as smallest."""
+    return np.array([np.iinfo(np.int64).min if x is None else x for x in ids], np.int64)
 
 
 def _owners(ids: list, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """doc_id of the document that each start lies in; null counts as smallest."""
-    known = np.array([np.iinfo(np.int64).min if x is None else x for x in ids], np.int64)
-    return known[np.searchsorted(ends, starts, "right")]
+    """doc_id of the document that each start lies in."""
+    return _known(ids)[np.searchsorted(ends, starts, "right")]
 
 
 def _first_in_batch(own: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -130,8 +161,8 @@ def _first_in_batch(own: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> n
     return first
 
 
-def _run_starts(note: bytes | None) -> np.ndarray:
-    lo, hi = np.frombuffer(note or b"", np.int64).reshape(2, -1)
+def _run_starts(note: bytes) -> np.ndarray:
+    lo, hi = np.frombuffer(note, np.int64).reshape(2, -1)
     size = hi - lo
     return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
@@ -154,11 +185,14 @@ def removal(docs: DataFrame, elements_of, width: int, least: int, answer, keep_t
     anchor_replies, anchor_buckets = _ask_anchors(stored, elements_of, width, least)
     replies, n_buckets = _ask_windows(stored, anchor_replies, elements_of, width, least, anchor_buckets, answer)
     earlier = answer is B.not_first
+    whole_from = 2 if earlier else 1  # the first of equal texts stays where only later windows go
 
     def remove(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, ends, data, answers in B.each_batch(rows):
             elements, element_ends = elements_of(data, ends)
-            starts = _run_starts(B.note_of(answers))
+            note = B.note_of(answers)
+            state = np.frombuffer(note[:len(ids)], np.int8)
+            starts = _run_starts(note[len(ids):])
             _, bounds, own, _ = B.sorted_keys(B.fingerprints(elements, starts, width), B.fingerprints(
                 elements, starts, width, 1), n_buckets)
             hit = B.read_answers(answers, bounds)
@@ -167,6 +201,8 @@ def removal(docs: DataFrame, elements_of, width: int, least: int, answer, keep_t
             else:
                 hit = (hit | (np.bincount(own, minlength=int(bounds[-1])) > 1))[own]
             gone = B.covered(starts[hit], width, len(elements))
+            lens = np.diff(element_ends, prepend=0)
+            gone |= np.repeat((state >= whole_from) & (lens >= width), lens)
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_elements", "n_removed", "n_spans", "kept",
                                                     "kept_sha256")}
             a = 0
