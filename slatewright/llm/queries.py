@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewright.llm import decontamination, mixing, sharding, substrings, suffixes, tokenfiles
+from slatewright.llm import decontamination, mixing, sharding, substrings, suffixes, tokenfiles, toxicity
 from slatewright.llm.shared import documents, shared_path
 
 
@@ -28,6 +28,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+                         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
     return mixed.select("doc_id", "source", "copy", "rate")
@@ -47,6 +55,7 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_decontamination": op9_decontamination,
