@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewright.llm import decontamination, mixing, sharding, substrings, suffixes, tokenfiles, toxicity
+from slatewright.llm import decontamination, jaccard, mixing, sharding, substrings, suffixes, tokenfiles, toxicity
 from slatewright.llm.shared import documents, shared_path
 
 
@@ -51,6 +51,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(documents(spark, sf_dir), benchmark, size=10))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(documents(spark, sf_dir), width=4, percent=85)
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
