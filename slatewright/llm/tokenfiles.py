@@ -8,10 +8,12 @@ blocks (``rangecoder``); segments are ordered by (part, seq).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,15 +29,18 @@ END_ID = 0
 SEGMENT_IDS = rangecoder.BLOCK * rangecoder.LANES
 #: A blank amid or before other white space may join it in one token.
 _JOINED_BLANK = re.compile(r"\s (?:\s|$)|^ ")
-_CACHED_PIECES = 200_000
+_CACHED_PIECES = 300_000
+#: Fixed value: the public word pattern of byte-level vocabularies; used for Latin letters, on which all
+#: versions of Unicode agree.
+_PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 class PieceEncoder:
     """Whole texts through the tokenizers library, one call per distinct piece.
 
     A token of a byte-level vocabulary with the usual word pattern never spans a blank
-    that follows a visible character, so a text is cut before such blanks and each
-    distinct piece is encoded once and remembered. Texts that have other runs of white
+    that follows a visible character, so a text is cut before such blanks; each distinct
+    piece, and each word of the pattern within it, is encoded once and remembered. Texts that have other runs of white
     space around blanks, or that may hold special tokens, are encoded in one call.
     """
 
@@ -48,18 +53,29 @@ class PieceEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         encoder = self
 
+        class Words(dict):
+            def __missing__(self, word: str) -> bytes:
+                if len(self) >= _CACHED_PIECES:
+                    self.clear()
+                self[word] = found = encoder.whole(word)
+                return found
+
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= _CACHED_PIECES:
                     self.clear()
-                self[piece] = found = encoder.whole(" " + piece)
+                if max(piece, default="") < "\u0250":
+                    found = b"".join(map(encoder.words.__getitem__, _PATTERN.findall(" " + piece)))
+                else:
+                    found = encoder.whole(" " + piece)
+                self[piece] = found
                 return found
 
+        self.words = Words()
         self.pieces = Pieces()
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u2").tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian 16-bit numbers."""
