@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewright.llm import decontamination, jaccard, mixing, sharding, substrings, suffixes, tokenfiles, toxicity
+from slatewright.llm import decontamination, imatch, jaccard, mixing, sharding, substrings, suffixes, tokenfiles, toxicity
 from slatewright.llm.shared import documents, shared_path
 
 
@@ -46,6 +46,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("n_elements").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_likeness(documents(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.digest(decontamination.contamination(documents(spark, sf_dir), benchmark, size=10))
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
 }
