@@ -61,8 +61,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     hashed = F.concat(*[_placed(windows(F.col("w"), n), n) for n in lengths]) if lengths else None
     one = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("length"), F.lit(None).cast("long").alias("hash")))
     # the row at -1 stands for the document itself, so that documents without hits stay
-    rows = base.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.inline(
-        one if hashed is None else F.concat(one, hashed)))
+    hashed = base.select("doc_id", "text_hash", F.size("w").alias("n_words"),
+                         (one if hashed is None else F.concat(one, hashed)).alias("windows"))
+    rows = hashed.select("doc_id", "text_hash", "n_words", F.inline("windows"))
     hashes = known.select(F.xxhash64("words").alias("hash"), "length").distinct().withColumn("known", F.lit(True))
     met = rows.join(hinted(hashes), ["hash", "length"], "left").where("pos < 0 OR known")
     found = F.when(F.col("pos") >= 0, F.struct("pos", "length"))
@@ -104,7 +105,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Da
 
 
 def digest(found: DataFrame) -> DataFrame:
-    listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    listed = F.concat_ws(",", F.sort_array(F.transform("items", lambda x: x.cast("string"))))
     return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"),
                         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                         F.sha2(F.coalesce(listed, F.lit("")), 256).alias("items_sha256"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewright.llm import decontamination, imatch, jaccard, mixing, sharding, substrings, suffixes, tokenfiles, toxicity
+from slatewright.llm import decontamination, imatch, jaccard, langid, mixing, sharding, substrings, suffixes, tokenfiles, toxicity
 from slatewright.llm.shared import documents, shared_path
 
 
@@ -28,6 +29,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(documents(spark, sf_dir))
+    return langid.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -63,12 +69,16 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
+    "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
