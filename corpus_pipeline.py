@@ -32,10 +32,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = jaccard.linked_components(docs, width=5, percent=80)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    ids = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    if ids.isEmpty():  # as usual; then the texts are shuffled once
+        return left
     single = left.join(ids, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = left.join(ids, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return single.union(repeated)
+    return single.union(left.join(ids, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,8 +129,11 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def store(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Batches of whole documents, written once and bucketed by batch id.
+def store(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES, passing: str | None = None) -> DataFrame:
+    """Batches of whole documents, written once and bucketed by batch id, below the shared folder.
+
+    With the table name ``passing`` they go to the warehouse, which the cluster shares as
+    well, so that DROP TABLE deletes them once what was asked of them is stored.
 
     A row holds doc_ids (null stays null), the texts' end offsets and their bytes (a null
     text has none). A document longer than ``batch_bytes`` is a batch of its own.
@@ -166,9 +169,10 @@ def store(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFra
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, BATCHES)
     path = shared_path(spark, name)
-    table = "llm_" + path.rsplit("/", 1)[-1].replace("-", "_")
-    (rows.write.format("parquet").option("compression", "zstd").option("path", path)
-     .bucketBy(max(1, shuffle_partitions(spark)), "batch").saveAsTable(table))
+    table = passing or "llm_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    writer = rows.write.format("parquet").option("compression", "zstd")
+    writer = writer if passing else writer.option("path", path)
+    writer.bucketBy(max(1, shuffle_partitions(spark)), "batch").saveAsTable(table)
     return spark.table(table)
 
 

@@ -13,6 +13,7 @@ comparison, so a group of copies costs its size and not its square.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -92,7 +93,8 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
     the whole set if it has such a prefix or is light, else null; rare: how many counted
     shingles occur nowhere else; sketch: parities of the set's hashes.
     """
-    stored = B.store(docs, "shingles")
+    passing = f"llm_shingles_{uuid.uuid4().hex}"
+    stored = B.store(docs, "shingles", passing=passing)
     n_buckets = B.bucket_count(stored, 8 * COUNTED / 6)
     limit = np.uint64(int(COUNTED * (1 << 64)) - 1)
     light = most_light(percent)
@@ -140,7 +142,9 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
                  ("shingles", pa.list_(pa.int64()))]))
 
     replies = B.ask(stored.mapInArrow(send, B.SENT), n_buckets, B.holders, ids_type="uint8")
-    return B.answered(stored, replies).mapInArrow(describe, SETS)
+    found = settle(B.answered(stored, replies).mapInArrow(describe, SETS), "shingle-sets")
+    docs.sparkSession.sql(f"DROP TABLE {passing}")
+    return found
 
 
 def _least_partner(n: int, percent: int) -> int:
@@ -248,7 +252,7 @@ def linked_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERC
     nothing. Rows with equal doc_id keep their own sets and share the id; rows with null doc_id
     have no id to link by and get a null component. An empty table gives no rows.
     """
-    sets = settle(shingle_sets(docs, width, percent), "shingle-sets")
+    sets = shingle_sets(docs, width, percent)
     classes = settle(
         sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class_a", "class_b").agg(
             F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("rare").alias("rare"),
