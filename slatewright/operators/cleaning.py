@@ -68,29 +68,33 @@ def duplicate_items(items: DataFrame, key: str = "item_id") -> DataFrame:
     return items.groupBy(key).count().where("count > 1")
 
 
-def k_core(log: DataFrame, min_rows: int = 5, max_rounds: int = 1_000) -> DataFrame:
+def k_core(log: DataFrame, min_rows: int = 5) -> DataFrame:
     """Largest sub-log where each session and each item has ``min_rows`` rows.
 
-    Each round counts both sides at once and semi-joins the log; the surviving log is
-    written to the checkpoint folder, because the plan would otherwise grow with the
-    number of rounds.  The result does not depend on the order of removal.
+    Rows are counted once by session and once by item. Each round removes the keys of
+    both kinds that have too few, and takes the rows they had off the other side's
+    counts, until none fails. Only counts and removed keys are written between rounds;
+    the log is filtered once at the end. The result does not depend on the order.
     """
-    kept = cut_lineage(log)
-    n_rows = kept.count()
-    for _ in range(max_rounds):
-        sessions = _frequent(kept, "session_id", min_rows)
-        trimmed = kept.join(sessions, "session_id", "left_semi")
-        items = _frequent(trimmed, "item_id", min_rows)
-        trimmed = cut_lineage(trimmed.join(items, "item_id", "left_semi"))
-        remaining = trimmed.count()
-        if remaining == n_rows:
-            return trimmed
-        kept, n_rows = trimmed, remaining
-    raise RuntimeError(f"no stable core after {max_rounds} rounds")
-
-
-def _frequent(log: DataFrame, key: str, min_rows: int) -> DataFrame:
-    return log.groupBy(key).count().where(F.col("count") >= min_rows).select(key)
+    sides = ("session_id", "item_id")
+    counts = {key: cut_lineage(log.groupBy(key).agg(F.count(F.lit(1)).alias("n"))) for key in sides}
+    removed = {key: counts[key].select(key).limit(0) for key in sides}
+    quiet = 0
+    while quiet < 2:
+        for key, other in (sides, sides[::-1]):
+            failing = cut_lineage(counts[key].where(F.col("n") < min_rows).select(key))
+            if failing.isEmpty():
+                quiet += 1
+                continue
+            quiet = 0
+            lost = (log.join(failing, key, "left_semi").join(removed[other], other, "left_anti")
+                    .groupBy(other).agg(F.count(F.lit(1)).alias("_lost")))
+            removed[key] = cut_lineage(removed[key].union(failing))
+            counts[key] = cut_lineage(counts[key].where(F.col("n") >= min_rows))
+            left = counts[other].join(lost, other, "left")
+            counts[other] = cut_lineage(left.select(other, (F.col("n") - F.coalesce("_lost", F.lit(0))).alias("n")))
+    return log.join(removed["session_id"], "session_id", "left_anti").join(
+        removed["item_id"], "item_id", "left_anti").select(*log.columns)
 
 
 def fill_unnamed(items: DataFrame, dim: int, placeholder: str = "Unknown item") -> DataFrame:

@@ -29,10 +29,13 @@ def parsed(completions: DataFrame, task: str, k: int = 20) -> DataFrame:
 
 
 def answer_counts(rows: DataFrame) -> DataFrame:
-    """``case_id, name, n, first``: repeats of an answer over the candidates of a case."""
+    """``case_id, name, n, first``: repeats of an answer over the candidates of a case.
+
+    ``first`` orders the answers by their first (candidate, rank); both fit into 32 bits.
+    """
     return rows.groupBy("case_id", "name").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.col("candidate") * 100_000 + F.col("rank")).alias("first"))
+        F.min(F.shiftleft(F.col("candidate").cast("long"), 32) + F.col("rank")).alias("first"))
 
 
 def name_index(names: DataFrame) -> DataFrame:
@@ -62,12 +65,17 @@ def fill_unmatched(rows: DataFrame, name_vectors: DataFrame, items: DataFrame, k
                    ) -> DataFrame:
     """``case_id, rank, item_id``: unmatched names become the nearest unused item.
 
-    A slate of k names rules out at most k - 1 items, so k candidates per name always
-    suffice.
+    A slate of n names rules out at most n - 1 items, so n candidates suffice for a name in
+    slates of up to n names: ``k``, or more where a slate is longer. A name without a
+    vector keeps its rank with a NULL item.
     """
-    near = _nearest_per_name(name_vectors.join(unmatched_names(rows), "name", "left_semi"), items, k)
-    with_near = rows.join(near, "name", "left").where(
-        F.col("item_id").isNotNull() | F.col("near_id").isNotNull())
+    sizes = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = rows.where(F.col("item_id").isNull()).join(sizes, "case_id").groupBy("name").agg(
+        F.greatest(F.lit(k), F.max("_n")).alias("_most"))
+    most = wanted.agg(F.max("_most")).first()[0] or k
+    near = _nearest_per_name(name_vectors.join(wanted, "name", "left_semi"), items, int(most))
+    near = near.join(wanted, "name").where(F.col("place") <= F.col("_most")).drop("_most")
+    with_near = rows.join(near, "name", "left")
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["rank", "place"])
@@ -79,11 +87,12 @@ def fill_unmatched(rows: DataFrame, name_vectors: DataFrame, items: DataFrame, k
                 continue
             if not np.isnan(mine):
                 chosen[rank] = int(mine)
-            elif int(near_id) not in used:
+            elif not pd.isna(near_id) and int(near_id) not in used:
                 used.add(int(near_id))
                 chosen[rank] = int(near_id)
-        return pd.DataFrame({"case_id": frame["case_id"].iloc[0], "rank": list(chosen),
-                             "item_id": list(chosen.values())})
+        ranks = list(dict.fromkeys(frame["rank"]))
+        return pd.DataFrame({"case_id": frame["case_id"].iloc[0], "rank": ranks,
+                             "item_id": pd.array([chosen.get(r) for r in ranks], "Int64")})
 
     columns = with_near.select("case_id", "rank", "item_id", "place", "near_id")
     return spread(columns, "case_id").groupBy("case_id").applyInPandas(

@@ -255,12 +255,13 @@ def negative_samples(item_counts: DataFrame, n: int, seed: int, groups: int,
     """``grp, item_id``: ``groups`` independent samples of n items without replacement.
 
     Weighted sampling by exponential race: an item's key is ``-ln(u) / weight`` and the
-    n smallest keys win, which has the law of drawing one item after the other.
+    n smallest keys win, which has the law of drawing one item after the other. Keys are
+    compared by their logarithm, so that rounding is relative at any sum of weights.
     """
     spread = item_counts.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     u = seeded_uniform(seed, "grp", "item_id")
     weight = F.col("count").cast("double") if weighted else F.lit(1.0)
-    race = spread.withColumn("_key", F.round(-F.log(u) / weight, 12))
+    race = spread.withColumn("_key", F.round(F.log(-F.log(u)) - F.log(weight), 9))
     return top_n(race, ["grp"], [F.col("_key"), F.col("item_id")], n).select("grp", "item_id")
 
 

@@ -73,11 +73,12 @@ def popularity_switch(neural: DataFrame, embedding: DataFrame, last_items: DataF
     """One model where the last prompt item is popular, the other one elsewhere.
 
     ``last_items`` holds ``case_id, item_id``; ``cutoffs`` holds ``quantile, cutoff``
-    (a handful of rows, attached to each case as one array).
+    (a handful of rows, attached to each case as one array). An item without a known
+    popularity has none, so it counts as 0.
     """
     levels = cutoffs.agg(F.collect_list(F.struct("quantile", "cutoff"))).scalar()
-    known = last_items.join(popularity, "item_id").select(
-        "case_id", "popularity", F.explode(levels).alias("_l"))
+    known = last_items.join(popularity, "item_id", "left").select(
+        "case_id", F.coalesce("popularity", F.lit(0)).alias("popularity"), F.explode(levels).alias("_l"))
     choice = known.select("case_id", F.col("_l.quantile").alias("param"),
                           (F.col("popularity") >= F.col("_l.cutoff")).alias("_popular"))
     pool = neural.select("case_id", "rank", "item_id", F.lit(True).alias("_popular")).unionByName(
@@ -90,11 +91,14 @@ def popularity_switch(neural: DataFrame, embedding: DataFrame, last_items: DataF
 
 def popularity_filter(slates: DataFrame, popularity: DataFrame, cutoffs: DataFrame, k: int
                       ) -> DataFrame:
-    """Drop unpopular items, best-ranked first, while the slate is longer than k."""
+    """Drop unpopular items, best-ranked first, while the slate is longer than k.
+
+    Items without a known popularity count as 0.
+    """
     levels = cutoffs.agg(F.collect_list(F.struct("quantile", "cutoff"))).scalar()
     unique = slates.groupBy("case_id", "item_id").agg(F.min("rank").alias("rank"))
-    known = unique.join(popularity, "item_id").withColumn("_l", F.explode(levels))
-    low = F.col("popularity") < F.col("_l.cutoff")
+    known = unique.join(popularity, "item_id", "left").withColumn("_l", F.explode(levels))
+    low = F.coalesce("popularity", F.lit(0)) < F.col("_l.cutoff")
     rows = known.select(F.col("_l.quantile").alias("param"), "case_id", "rank", "item_id",
                         low.cast("int").alias("_low"))
     whole = Window.partitionBy(*KEYS)

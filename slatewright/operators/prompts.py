@@ -15,18 +15,14 @@ from slatewright.operators.ranking import rank_overall
 MAX_TOKENS = 4096
 
 
-def named_lists(rows: DataFrame, names: DataFrame, order: str = "pos",
-                max_items: int | None = MAX_TOKENS) -> DataFrame:
-    """``case_id, names``: item names in order.
+def named_lists(rows: DataFrame, names: DataFrame, order: str = "pos") -> DataFrame:
+    """``case_id, names``: item names in order, of every case and every item.
 
-    A list of more items than the token limit cannot fit a prompt, so such cases are
-    set aside before their rows are gathered; ``None`` keeps every case.
+    An item without a name keeps its place and is called by its id. Token limits apply
+    to whole examples, in :func:`training_split`.
     """
-    if max_items is not None:
-        sizes = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
-        fitting = sizes.where(F.col("_n") <= max_items).select("case_id")
-        rows = rows.join(fitting, "case_id", "left_semi")
-    joined = rows.join(names.select("item_id", "name"), "item_id")
+    label = F.coalesce("name", F.concat(F.lit("item "), F.col("item_id").cast("string")))
+    joined = rows.join(names.select("item_id", "name"), "item_id", "left").withColumn("name", label)
     packed = F.array_sort(F.collect_list(F.struct(order, "name")))
     return joined.groupBy("case_id").agg(F.transform(packed, lambda x: x["name"]).alias("names"))
 
@@ -126,17 +122,29 @@ def training_split(examples: DataFrame, lengths: DataFrame, share: float = 0.2,
                    ) -> DataFrame:
     """Adds ``split`` and ``n_tokens``; drops cases that are too short or too long.
 
-    The first ``int(share * n)`` of all shuffled cases are for validation.
+    The first ``int(share * n)`` of all shuffled cases are for validation. The cases that
+    the token limit drops are those of :func:`beyond_limit`.
     """
+    counted = _split_examples(examples, lengths, share, seed, min_length, tokens)
+    return counted.where(F.col("n_tokens") <= max_tokens) if max_tokens is not None else counted
+
+
+def beyond_limit(examples: DataFrame, lengths: DataFrame, share: float = 0.2, seed: int = 42,
+                 min_length: int = 2, max_tokens: int = MAX_TOKENS, tokens=words) -> DataFrame:
+    """The examples that :func:`training_split` rejects for their number of tokens."""
+    return _split_examples(examples, lengths, share, seed, min_length, tokens).where(
+        F.col("n_tokens") > max_tokens)
+
+
+def _split_examples(examples, lengths, share, seed, min_length, tokens):
     n = lengths.count()
     keyed = lengths.withColumn("_key", seeded_key(seed, "case_id"))
     shuffled = rank_overall(keyed, [F.col("_key"), F.col("case_id")],
                             chunk=[key_bucket(F.col("_key"))], name="_rank")
     side = F.when(F.col("_rank") <= int(share * n), "validation").otherwise("train")
     kept = shuffled.where(F.col("length") >= min_length).select("case_id", side.alias("split"))
-    counted = examples.join(kept, "case_id").withColumn(
+    return examples.join(kept, "case_id").withColumn(
         "n_tokens", message_tokens(F.col("messages"), tokens))
-    return counted.where(F.col("n_tokens") <= max_tokens) if max_tokens is not None else counted
 
 
 def token_cost(examples: DataFrame, cost_per_token: float, bound: float | None = None

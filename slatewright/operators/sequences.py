@@ -7,23 +7,21 @@ from pyspark.sql import functions as F
 
 from slatewright.functions import sequences as S
 from slatewright.operators.cases import as_arrays
+from slatewright.operators.ranking import top_n
 
 
 def sequence_table(rows: DataFrame, length: int, key: str = "case_id") -> DataFrame:
     """``key, sequence``: last ``length`` known items, padded with -1 on the left.
 
-    Rows beyond the last ``length`` known items are cut before they are gathered.
+    Unknown ids leave gaps in the places, so the last known items are taken by order; what
+    lies before them is cut before rows are gathered.
     """
-    known = rows.where(F.col("item_id") != S.PADDING)
-    arrays = as_arrays(known, [key], None if _has_gaps(rows) else length)
+    known = rows.where(F.col("item_id") != S.PADDING).select(key, "pos", "item_id")
+    recent = top_n(known, [key], [F.desc("pos")], length)
+    arrays = as_arrays(recent, [key])
     return arrays.select(key, S.padded(F.col("items"), length).alias("sequence"))
 
 
-def _has_gaps(rows: DataFrame) -> bool:
-    """Whether unknown ids leave gaps, so that the last places are not the last items."""
-    return not rows.where(F.col("item_id") == S.PADDING).isEmpty()
-
-
 def next_item_rows(rows: DataFrame, length: int, key: str = "case_id") -> DataFrame:
     """``key, input, target``: targets are the inputs shifted by one."""
     table = sequence_table(rows, length + 1, key)

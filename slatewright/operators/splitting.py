@@ -220,11 +220,12 @@ def close_gaps(log: DataFrame, keys: Sequence[str] = (),
 
 
 def inner_validation(log: DataFrame, fraction: float, seed: int,
-                     at_most: int = 500) -> DataFrame:
-    """``session_id, role``: up to 500 random sessions held back for early stopping."""
+                     at_most: int | None = None) -> DataFrame:
+    """``session_id, role``: random sessions held back for early stopping, ``at_most`` so many."""
     ranked = shuffled_sessions(log, seed)
     n = _count(log.select("session_id").distinct())
-    n_val = min(math.ceil(fraction * n), at_most)
+    n_val = math.ceil(fraction * n)
+    n_val = n_val if at_most is None else min(n_val, at_most)
     return ranked.select("session_id", F.when(F.col("session_rank") <= n_val, "validation")
                          .otherwise("train").alias("role"))
 

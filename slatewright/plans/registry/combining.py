@@ -97,7 +97,7 @@ add("popularity_switch_h3", popularity_switch, f""",{RECS},{POPULARITY}
   SELECT param, case_id, rank, r.item_id FROM lasts JOIN pops USING (item_id), cuts
   JOIN recs r USING (case_id) WHERE r.model = CASE WHEN p >= cut THEN 'follow' ELSE 'popular' END""".replace(
     "FROM lasts JOIN pops USING (item_id), cuts\n  JOIN recs r USING (case_id) WHERE",
-    "FROM (SELECT case_id, param, p >= cut AS hot FROM lasts JOIN pops USING (item_id), cuts)"
+    "FROM (SELECT case_id, param, coalesce(p, 0) >= cut AS hot FROM lasts LEFT JOIN pops USING (item_id), cuts)"
     "\n  JOIN recs r USING (case_id) WHERE").replace("p >= cut THEN", "hot THEN"), *NEED)
 
 
@@ -107,9 +107,9 @@ def popularity_filter(spark, sf_dir):
 
 
 FILTERED = """
-  low AS (SELECT param, case_id, rank, r.item_id, p < cut AS is_low, count(*) OVER w AS n,
-                 sum((p < cut)::INT) OVER (w ORDER BY rank) AS nth
-          FROM {recs} r JOIN {pops} pops ON pops.item_id = r.item_id, cuts
+  low AS (SELECT param, case_id, rank, r.item_id, coalesce(p, 0) < cut AS is_low, count(*) OVER w AS n,
+                 sum((coalesce(p, 0) < cut)::INT) OVER (w ORDER BY rank) AS nth
+          FROM {recs} r LEFT JOIN {pops} pops ON pops.item_id = r.item_id, cuts
           WINDOW w AS (PARTITION BY param, case_id)),
   kept AS (SELECT param, case_id, item_id, row_number() OVER (PARTITION BY param, case_id ORDER BY rank) AS rank
            FROM low WHERE NOT is_low OR nth > n - {k})"""

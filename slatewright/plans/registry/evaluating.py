@@ -230,8 +230,8 @@ def sampled(weighted):
 def sampled_sql(weight):
     return f"""
   , race AS (SELECT grp, item_id, row_number() OVER (PARTITION BY grp ORDER BY round(
-      -ln((('0x' || substr(md5('42:' || grp || ':' || item_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)
-      / {weight}, 12), item_id) AS rn FROM counts, range(0, 16) r(grp)),
+      ln(-ln((('0x' || substr(md5('42:' || grp || ':' || item_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
+      - ln({weight}::DOUBLE), 9), item_id) AS rn FROM counts, range(0, 16) r(grp)),
   cut AS (SELECT t.case_id, p.item_id, p.rank, t.item_id = p.item_id AS hit,
                  ('0x' || substr(md5('42:' || t.case_id), 1, 8))::BIGINT % 16 AS grp
           FROM truths t, popular p WHERE p.rank <= 1000),

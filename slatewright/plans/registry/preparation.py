@@ -341,7 +341,7 @@ add("evolving_truths_d19", lambda s, d: cases.evolving_truths(dataset(s, d).test
 
 add("inner_validation_d21", lambda s, d: splitting.inner_validation(dataset(s, d).train, 0.1, 42), """
   SELECT session_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || session_id), session_id) <=
-         least(ceil(0.1::DOUBLE * count(*) OVER ()), 500) THEN 'validation' ELSE 'train' END AS role
+         ceil(0.1::DOUBLE * count(*) OVER ()) THEN 'validation' ELSE 'train' END AS role
   FROM (SELECT DISTINCT session_id FROM train)""", "train")
 
 

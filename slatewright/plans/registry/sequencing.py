@@ -76,8 +76,14 @@ add("cloze_prediction_q8", lambda s, d: Q.cloze_prediction_rows(rows(s, d), N, F
     "case_id", *joined("input")),
     SEQ.format(n=N) + f" SELECT case_id, input || ',{MASK}' AS input FROM (SELECT case_id, {agg('x', 'input', 'i >= 2')} FROM seq GROUP BY 1)",
     *NEED)
-add("multi_hot_p12", lambda s, d: Q.multi_hot(dataset(s, d).prompts, 1000, True), """
-  SELECT case_id, item_id, count(*) AS n FROM prompts WHERE item_id BETWEEN 0 AND 999 GROUP BY 1, 2""", "prompts")
+def whole_space(spark, sf_dir):
+    """All item ids of the catalogue; an id outside would be an error."""
+    space = workload.table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] + 1
+    return Q.multi_hot(dataset(spark, sf_dir).prompts, space)
+
+
+add("multi_hot_p12", whole_space, """
+  SELECT case_id, item_id, count(*) AS n FROM prompts GROUP BY 1, 2""", "prompts")
 
 
 def recent(spark, sf_dir):

@@ -155,9 +155,9 @@ add("classify_examples_l6", lambda s, d: shown(L.chat_examples(
          {filled(chat.CHOICE_USER, choices='c')}, a]) AS content FROM pl JOIN na USING (case_id), br""", *NEED)
 
 
-def training(spark, sf_dir):
+def training(spark, sf_dir, max_tokens=None):
     lengths = dataset(spark, sf_dir).prompts.groupBy("case_id").agg(F.count(F.lit(1)).alias("length"))
-    return L.training_split(single_examples(spark, sf_dir), lengths, 0.2, 42, 2, 180)
+    return L.training_split(single_examples(spark, sf_dir), lengths, 0.2, 42, 2, max_tokens)
 
 
 TOKENS = " + ".join(f"len(regexp_split_to_array(trim({x}, ' ' || chr(10)), '\\s+')) + 4" for x in (
@@ -167,19 +167,19 @@ TRAINING = f""", {LINES},
               <= floor(0.2 * count(*) OVER ()) THEN 'validation' ELSE 'train' END AS split FROM pl),
   ex AS (SELECT case_id, split, {TOKENS} AS n_tokens FROM pl JOIN gl USING (case_id) JOIN sides USING (case_id)
          WHERE sides.n >= 2)"""
-add("training_split_l7", lambda s, d: training(s, d).select("case_id", "split", "n_tokens"), TRAINING + """
+add("training_split_l7", lambda s, d: training(s, d, 180).select("case_id", "split", "n_tokens"), TRAINING + """
   SELECT case_id, split, n_tokens::INTEGER AS n_tokens FROM ex WHERE n_tokens <= 180""", "prompts", "truths")
 add("token_cost_l8", lambda s, d: L.token_cost(training(s, d), 0.008, 400.0).withColumn(
     "cost", F.round("cost", 6)), TRAINING + """
   SELECT split, count(*) AS n_examples, sum(n_tokens)::BIGINT AS n_tokens, round(sum(n_tokens) * 0.008, 6)::DOUBLE AS cost,
-         sum(n_tokens) * 0.008 <= 400.0 AS within_bound FROM ex WHERE n_tokens <= 180 GROUP BY 1""",
+         sum(n_tokens) * 0.008 <= 400.0 AS within_bound FROM ex GROUP BY 1""",
     "prompts", "truths")
 add("chat_json_lines_s12", lambda s, d: L.to_json_lines(training(s, d)), TRAINING + f"""
   SELECT split, to_json(struct_pack(messages := [
            struct_pack("role" := 'system', content := {quoted(chat.SINGLE_SYSTEM)}),
            struct_pack("role" := 'user', content := {filled(chat.SINGLE_USER)}),
            struct_pack("role" := 'assistant', content := g)]))::VARCHAR AS value
-  FROM ex JOIN pl USING (case_id) JOIN gl USING (case_id) WHERE n_tokens <= 180""", "prompts", "truths")
+  FROM ex JOIN pl USING (case_id) JOIN gl USING (case_id)""", "prompts", "truths")
 
 
 def conversation_lines(spark, sf_dir):
@@ -282,10 +282,10 @@ def vector_names(spark, sf_dir):
     return items, names, plain.unionByName(altered)
 
 
-def vector_completions(spark, sf_dir, k=8):
-    """The first ``k`` prompt items of a case as answers, every third one altered."""
+def vector_completions(spark, sf_dir):
+    """The prompt items of a case as answers, every third one altered."""
     data = dataset(spark, sf_dir, on_vectors=True)
-    rows = data.prompts.where(F.col("pos") <= k)
+    rows = data.prompts
     odd = (F.col("item_id") + F.col("case_id")) % 3 == 0
     name = F.concat(F.when(odd, "the item ").otherwise("item "), F.col("item_id").cast("string"))
     return data, rows.select("case_id", F.lit(0).alias("candidate"), F.col("pos").cast("int").alias("rank"),
@@ -301,11 +301,12 @@ def fill_unmatched(spark, sf_dir):
 # The walk as recursion over ranks: used items are carried along.
 FILL = """
   , rows AS (SELECT case_id, pos AS rank, CASE WHEN (item_id + case_id) % 3 <> 0 THEN item_id END AS own, item_id AS src
-             FROM vprompts WHERE pos <= 8),
+             FROM vprompts),
   given AS (SELECT case_id, coalesce(list(DISTINCT own) FILTER (WHERE own IS NOT NULL), []) AS used FROM rows GROUP BY 1),
   near AS (SELECT a.item_id AS src, b.item_id AS near_id, row_number() OVER (PARTITION BY a.item_id
              ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.item_id) AS place FROM vecs a, vecs b),
-  short AS (SELECT src, list(near_id ORDER BY place) AS l FROM near WHERE place <= 8 GROUP BY 1),
+  short AS (SELECT src, list(near_id ORDER BY place) AS l FROM near
+            WHERE place <= (SELECT max(n) FROM (SELECT count(*) AS n FROM rows GROUP BY case_id)) GROUP BY 1),
   walk AS (
     SELECT case_id, 0::BIGINT AS rank, NULL::BIGINT AS item_id, used FROM given
     UNION ALL
@@ -320,7 +321,7 @@ SQL["fill_unmatched_l15"] = sql(FILL, *VECTOR_NEED).replace("WITH ", "WITH RECUR
 
 def replace_repeats(spark, sf_dir):
     """Whole prompts as single answers, so repeated items are repeated answers."""
-    data, rows = vector_completions(spark, sf_dir, 1 << 30)
+    data, rows = vector_completions(spark, sf_dir)
     items, names, vectors = vector_names(spark, sf_dir)
     other = data.truths.select("case_id", "item_id")
     return C.replace_repeats(C.answer_counts(rows), names, vectors, items, other, 10)

@@ -19,9 +19,10 @@ def running_prompts(clicks: DataFrame, n_items: int, gap_seconds: int,
 
     ``clicks`` holds ``session_id, item_id, ts, order_id``.  State keeps the last
     ``n_items`` clicks of the running session, whatever its length; a pause longer than
-    ``gap_seconds`` starts a new session, and when the watermark passes the end of a
-    session its prompt is emitted once more as closed and its state dropped.  Clicks
-    older than the watermark are not counted.
+    ``gap_seconds`` starts a new session. A session that ends so within a micro-batch is
+    emitted as closed in the same one; when the watermark passes the end of the running
+    one, its prompt is emitted once more as closed and its state dropped.  Clicks older
+    than the watermark are not counted.
     """
     gap_us = gap_seconds * 1_000_000
 
@@ -32,16 +33,16 @@ def running_prompts(clicks: DataFrame, n_items: int, gap_seconds: int,
             items, times, orders = state.get
             kept = pd.DataFrame({"us": times, "order_id": orders, "item_id": items})
         closed = state.hasTimedOut
+        sessions = [kept]
         if not closed:
-            for frame in frames:
-                part = frame[["us", "order_id", "item_id"]]
-                kept = pd.concat([kept, part]) if len(kept) else part
-                kept = kept.sort_values(["us", "order_id"]).tail(n_items)
-            pause = kept["us"].diff().fillna(0) > gap_us
-            if pause.any():
-                kept = kept[pause[::-1].cumsum()[::-1].shift(-1, fill_value=0) == 0]
-        row = pd.DataFrame({"case_id": [key[0]], "items": [kept["item_id"].astype("int64").tolist()],
-                            "last_us": [int(kept["us"].iloc[-1])], "closed": [closed]})
+            parts = [frame[["us", "order_id", "item_id"]] for frame in frames]
+            kept = pd.concat([kept, *parts] if len(kept) else parts).sort_values(["us", "order_id"])
+            number = (kept["us"].diff().fillna(0) > gap_us).cumsum()
+            sessions = [part.tail(n_items) for _, part in kept.groupby(number)]
+            kept = sessions[-1]
+        row = pd.DataFrame({"case_id": key[0], "items": [s["item_id"].astype("int64").tolist() for s in sessions],
+                            "last_us": [int(s["us"].iloc[-1]) for s in sessions],
+                            "closed": [True] * (len(sessions) - 1) + [closed]})
         if closed:
             state.remove()
         else:
