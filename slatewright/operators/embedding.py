@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -130,7 +131,8 @@ def cached_embeddings(texts: DataFrame, cache: DataFrame, engine: str,
     """(all, missing): vectors of distinct texts, and those computed just now.
 
     ``cache`` holds ``text, engine, embedding``.  Only texts it lacks reach ``embed``,
-    ``batch_size`` at a time; append the second result to the cache table.
+    ``batch_size`` at a time. Both results are lazy and each use of the second embeds anew:
+    :func:`embeddings_through_cache` stores it and embeds every text once.
     """
     wanted = texts.select("text").distinct()
     known = cache.where(F.col("engine") == engine).select("text", "embedding")
@@ -147,3 +149,23 @@ def cached_embeddings(texts: DataFrame, cache: DataFrame, engine: str,
     fresh = fresh.select("text", F.lit(engine).alias("engine"), "embedding")
     reused = wanted.join(known, "text")
     return reused.unionByName(fresh.select("text", "embedding")), fresh
+
+
+def embeddings_through_cache(texts: DataFrame, path: str, engine: str,
+                             embed: Callable[[Sequence[str]], Sequence[Sequence[float]]],
+                             batch_size: int = 250) -> DataFrame:
+    """``text, embedding`` of distinct texts through the cache table at ``path``.
+
+    What the table lacks is embedded, one call per text, and appended to it; the result
+    is read from the table. A missing table is begun.
+    """
+    spark = texts.sparkSession
+    schema = "text string, engine string, embedding array<double>"
+    try:
+        cache = spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        cache = spark.createDataFrame([], schema)
+    _, fresh = cached_embeddings(texts, cache, engine, embed, batch_size)
+    fresh.write.mode("append").parquet(path)
+    known = spark.read.schema(schema).parquet(path).where(F.col("engine") == engine)
+    return texts.select("text").distinct().join(known.select("text", "embedding"), "text")

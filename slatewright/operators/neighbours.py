@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewright.functions.decay import NEIGHBOUR_FLOOR, check_decay, decay_weight
@@ -349,8 +349,12 @@ def following_only(candidates: DataFrame, prompt_items: DataFrame,
 
 def recommend_neighbours(prompts: DataFrame, train: DataFrame, k: int,
                          options: NeighbourOptions = NeighbourOptions(),
-                         items: DataFrame | None = None, model: str | None = None) -> DataFrame:
-    """``model, case_id, rank, item_id, score`` for all prompts in one job."""
+                         items: DataFrame | None = None, model: str | None = None,
+                         allowed: DataFrame | None = None) -> DataFrame:
+    """``model, case_id, rank, item_id, score`` for all prompts in one job.
+
+    ``allowed`` (``item_id``) restricts the items that may be shown, before they are ranked.
+    """
     cells = session_item_weights(train)
     weights, idf = described_weights(train), inverse_frequency(cells)
     prompt_items = prompt_vectors(
@@ -367,6 +371,8 @@ def recommend_neighbours(prompts: DataFrame, train: DataFrame, k: int,
     scores = scored_candidates(close, cells, prompt_items, idf, options)
     if options.sequential_filter:
         scores = following_only(scores, prompt_items, successors(train))
+    if allowed is not None:
+        scores = scores.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
     scores = scores.withColumn("score", F.round("score", 9))
     best = top_n(scores, ["case_id"], [F.desc("score"), F.col("item_id")], k)
     return best.select(F.lit(model or options.model_name()).alias("model"), "case_id", "rank",
@@ -396,11 +402,4 @@ def recommend_one(prompt: list[int], train: DataFrame, k: int = 20,
     spark = train.sparkSession
     rows = spark.createDataFrame([(0, i + 1, int(x)) for i, x in enumerate(prompt)],
                                  "case_id long, pos long, item_id long")
-    if allowed is None:
-        return recommend_neighbours(rows, train, k, options, items)
-    n_items = train.select("item_id").distinct().count()
-    full = recommend_neighbours(rows, train, n_items, options, items)
-    kept = full.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
-    order = Window.partitionBy("case_id").orderBy("rank")
-    return (kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-            .select("model", "case_id", F.col("_r").alias("rank"), "item_id", "score"))
+    return recommend_neighbours(rows, train, k, options, items, allowed=allowed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slatewright.operators import cases, splitting
 from slatewright.plans import workload
@@ -66,15 +67,14 @@ def dataset(spark: SparkSession, sf_dir: str, on_vectors: bool = False) -> Datas
     log = log_table(spark, sf_dir)
     if on_vectors:
         log = workload.on_vector_items(log, spark, sf_dir)
-    memo: dict[str, Dataset] = {}
+    options = splitting.SplitOptions()
+    # roles depend on the sessions' times only, so both lanes share them
+    roles = stored(spark, sf_dir, "roles", lambda: options.roles(log))
 
-    def fresh() -> Dataset:
-        if "d" not in memo:
-            memo["d"] = load_and_split(log)
-        return memo["d"]
+    def side(role: str) -> DataFrame:
+        return splitting.with_roles(log, roles).where(F.col("role") == role).drop("role")
 
-    def part(name: str) -> DataFrame:
-        return stored(spark, sf_dir, tag + name, lambda: getattr(fresh(), name))
-
-    test = part("test")
-    return Dataset(log, part("train"), test, cases.prompts(test), cases.ground_truths(test))
+    train = stored(spark, sf_dir, tag + "train", lambda: side("train"))
+    test = stored(spark, sf_dir, tag + "test", lambda: splitting.drop_untrained(train, side("test"))
+                  if options.filter_non_trained else side("test"))
+    return Dataset(log, train, test, cases.prompts(test), cases.ground_truths(test))

@@ -342,6 +342,21 @@ SQL["recommend_one_prompt_k24"] = template(
     "SELECT rank, item_id, score FROM ranked WHERE rank <= 20 AND case_id ="
     " (SELECT case_id FROM prompts ORDER BY pos DESC, case_id LIMIT 1)")
 
+
+
+def masked_query(spark, sf_dir):
+    """All prompts, with every third item allowed to be shown."""
+    data = dataset(spark, sf_dir)
+    allowed = data.train.where("item_id % 3 = 0").select("item_id")
+    return N.recommend_neighbours(data.prompts, data.train, 10, N.NeighbourOptions(), allowed=allowed).drop("model")
+
+
+QUERIES["recommend_masked_k24"] = masked_query
+SQL["recommend_masked_k24"] = template(N.NeighbourOptions(), """
+  SELECT case_id, r AS rank, item_id, score FROM (
+    SELECT case_id, item_id, score, row_number() OVER (PARTITION BY case_id ORDER BY rank) AS r FROM ranked WHERE item_id % 3 = 0)
+  WHERE r <= 10""")
+
 # --- vectors ----------------------------------------------------------------------------
 
 EMB = N.NeighbourOptions(use_item_embeddings=True, prompt_strategy="mean", train_strategy="mean",

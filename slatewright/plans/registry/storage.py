@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from slatewright.operators import evaluation as E
+from slatewright.operators.embedding import embeddings_through_cache
 from slatewright.plans import workload
 from slatewright.plans.prepared import dataset, log_table
 from slatewright.plans.registry.common import sql
@@ -42,6 +43,46 @@ add("session_files_s1_s7", sessions, """
          strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM raw_log GROUP BY 1""", "raw_log")
 
 
+def review_files(spark, sf_dir):
+    """Orders as a folder of JSON-lines reviews."""
+    path = folder(spark, "reviews")
+    workload.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("reviewerID"), F.col("o_orderkey").cast("string").alias("asin"),
+        F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', o_orderdate)").alias("unixReviewTime")).write.json(path)
+    return readers.read_reviews(spark, path)
+
+
+add("review_files_s2", review_files, """
+  SELECT o_custkey::VARCHAR AS user, o_orderkey::VARCHAR AS item,
+         epoch(o_orderdate)::BIGINT AS unix_time, 1.0::DOUBLE AS reward FROM orders""")
+
+
+def lookup_files(spark, sf_dir):
+    path = folder(spark, "lookup")
+    workload.names(spark, sf_dir).withColumn("other", F.lit("x")).write.option("header", True).csv(path)
+    return readers.read_lookup(spark, path, ["item_id", "name"]).withColumn("item_id", F.col("item_id").cast("long"))
+
+
+add("lookup_files_s6", lookup_files, """
+  SELECT p_partkey AS item_id, p_name || ' #' || p_partkey AS name FROM part""")
+
+
+def embedding_write_back(spark, sf_dir):
+    """Names of small parts, then all names, through one cache table; the embedder counts characters."""
+    path = folder(spark, "cache")
+    part = workload.table(spark, sf_dir, "part")
+    letters = lambda mark: lambda texts: [[len(t), mark] for t in texts]
+    small = part.where("p_size < 20").select(F.col("p_name").alias("text"))
+    embeddings_through_cache(small, path, "letters", letters(0.0))
+    everything = embeddings_through_cache(part.select(F.col("p_name").alias("text")), path, "letters", letters(1.0))
+    return everything.select("text", F.col("embedding")[0].alias("n"), F.col("embedding")[1].alias("fresh"))
+
+
+add("embedding_write_back_e13", embedding_write_back, """
+  SELECT p_name AS text, length(p_name)::DOUBLE AS n, min(CASE WHEN p_size < 20 THEN 0.0 ELSE 1.0 END)::DOUBLE AS fresh
+  FROM part GROUP BY 1""")
+
+
 def mappings(spark, sf_dir):
     path = folder(spark, "mapping")
     writers.write_mapping(mapping(spark, sf_dir), path)

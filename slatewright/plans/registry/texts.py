@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from slatewright.functions import chat
@@ -12,6 +14,8 @@ from slatewright.plans.prepared import dataset
 from slatewright.plans.registry.common import sql
 from slatewright.plans.registry.embeddings import NEED as VECTOR_NEED
 from slatewright.plans.registry.evaluating import NEED, RECS, two_models
+from slatewright.session import ensure_checkpoint_dir
+from slatewright.sources import writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -174,12 +178,23 @@ add("token_cost_l8", lambda s, d: L.token_cost(training(s, d), 0.008, 400.0).wit
   SELECT split, count(*) AS n_examples, sum(n_tokens)::BIGINT AS n_tokens, round(sum(n_tokens) * 0.008, 6)::DOUBLE AS cost,
          sum(n_tokens) * 0.008 <= 400.0 AS within_bound FROM ex GROUP BY 1""",
     "prompts", "truths")
-add("chat_json_lines_s12", lambda s, d: L.to_json_lines(training(s, d)), TRAINING + f"""
+CHAT_LINES = TRAINING + f"""
   SELECT split, to_json(struct_pack(messages := [
            struct_pack("role" := 'system', content := {quoted(chat.SINGLE_SYSTEM)}),
            struct_pack("role" := 'user', content := {filled(chat.SINGLE_USER)}),
            struct_pack("role" := 'assistant', content := g)]))::VARCHAR AS value
-  FROM ex JOIN pl USING (case_id) JOIN gl USING (case_id)""", "prompts", "truths")
+  FROM ex JOIN pl USING (case_id) JOIN gl USING (case_id)"""
+add("chat_json_lines_s12", lambda s, d: L.to_json_lines(training(s, d)), CHAT_LINES, "prompts", "truths")
+
+
+def chat_files(spark, sf_dir):
+    """The lines as files below a folder for each split."""
+    path = f"{ensure_checkpoint_dir(spark)}/chat-{uuid.uuid4().hex}"
+    writers.write_chat_examples(L.to_json_lines(training(spark, sf_dir)), path)
+    return spark.read.option("basePath", path).text(path).select("split", "value")
+
+
+add("chat_files_s12", chat_files, CHAT_LINES, "prompts", "truths")
 
 
 def conversation_lines(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewright.operators.ranking import rank_within
+from slatewright.sources.tables import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +31,13 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``session_id, item_id, ts, reward, pos`` with ``pos`` 1-based in session order."""
+    """``session_id, item_id, ts, reward, pos`` with ``pos`` 1-based in session order.
+
+    Ranking reads its input several times, so the join is stored first.
+    """
+    joined = stored(spark, sf_dir, "raw", lambda: raw_log(spark, sf_dir))
     order = [F.col(c) for c in ("ts", "t1", "t2", "item_id", "t4", "t5", "t6")]
-    return rank_within(raw_log(spark, sf_dir), ["session_id"], order,
+    return rank_within(joined, ["session_id"], order,
                        chunk=[F.to_date("ts")]).select(
         "session_id", "item_id", "ts", "reward", "pos")
 

@@ -22,7 +22,7 @@ def stored(spark: SparkSession, source: str, name: str,
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _written:
         digest = hashlib.md5(source.encode()).hexdigest()[:12]
-        path = f"{ensure_checkpoint_dir(spark)}/prepared/{digest}/{name}"
+        path = f"{ensure_checkpoint_dir(spark)}/prepared/{key[0]}/{digest}/{name}"
         build().write.mode("overwrite").parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
