@@ -9,8 +9,10 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatewright.operators import cases, splitting
 from slatewright.operators import evaluation as E
 from slatewright.operators.embedding import SimilarityOptions, recommend_similar
+from slatewright.operators.hybrids import diversity_filter, rank_ensemble
 from slatewright.operators.neighbours import NeighbourOptions, recommend_neighbours
 from slatewright.operators.popularity import item_counts, recommend_popular
 from slatewright.operators.reduction import reduce_embeddings
@@ -87,6 +89,73 @@ def run_models(models: Sequence[Recommender], data: Dataset, top_ks: Sequence[in
                       n_items=counts.agg(F.count(F.lit(1))).scalar())
 
 
+def run_folds(models: Sequence[Recommender], data: Dataset, folds: DataFrame,
+              top_ks: Sequence[int] = (10, 20), metrics: Sequence[str] = E.DEFAULT_METRICS,
+              n_withheld: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(reports with ``fold``, their means) over ``folds`` (``session_id, fold, role``).
+
+    Every fold fits on its own training sessions and is judged on its validation
+    sessions, without items that it has not trained. Folds are a handful, and each is a
+    whole run.
+    """
+    reports = None
+    for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):
+        labelled = splitting.with_roles(data.train, folds.where(F.col("fold") == fold).drop("fold"))
+        train = labelled.where("role = 'train'").drop("role")
+        test = splitting.drop_untrained(train, labelled.where("role = 'validation'").drop("role"))
+        part = Dataset(data.train, train, test, cases.prompts(test, n_withheld),
+                       cases.ground_truths(test, n_withheld), items=data.items)
+        report = run_models(models, part, top_ks, metrics).withColumn("fold", F.lit(fold))
+        reports = report if reports is None else reports.unionByName(report)
+    return reports, E.average_reports(reports)
+
+
+@dataclass(frozen=True)
+class Diverse:
+    """Re-ranker: an item too like one kept before it goes."""
+
+    items: DataFrame = field(repr=False)
+    threshold: float = 0.2
+
+    def rerank(self, recs, k):
+        kept = diversity_filter(recs, self.items, [self.threshold], k, ("model", "case_id"))
+        return kept.drop("param").join(recs.select("model", "case_id", "item_id", "score"), ["model", "case_id", "item_id"])
+
+
+@dataclass(frozen=True)
+class Reranked:
+    """A recommender whose slates of ``pool`` items a re-ranker cuts to k."""
+
+    model: Recommender
+    reranker: Reranker
+    pool: int = 100
+
+    def fit(self, train, items=None):
+        return replace(self, model=self.model.fit(train, items))
+
+    def recommend(self, prompts, k):
+        return self.reranker.rerank(self.model.recommend(prompts, max(self.pool, k)), k)
+
+
+@dataclass(frozen=True)
+class Ensemble:
+    """Two recommenders as one slate: the first ``r`` ranks of one, then the other's."""
+
+    first: Recommender
+    second: Recommender
+    r: int = 5
+    name: str = "ensemble"
+
+    def fit(self, train, items=None):
+        return replace(self, first=self.first.fit(train, items), second=self.second.fit(train, items))
+
+    def recommend(self, prompts, k):
+        slates = [m.recommend(prompts, k).drop("model", "score") for m in (self.first, self.second)]
+        merged = rank_ensemble(*slates, [self.r], k).where(F.col("param") == self.r).drop("param")
+        return merged.select(F.lit(self.name).alias("model"), "case_id", "rank", "item_id",
+                             (F.lit(1.0) / F.col("rank")).alias("score"))
+
+
 def run_trials(make: Callable[[int], Recommender], data: Dataset, n_trials: int = 5,
                top_ks: Sequence[int] = (10, 20)) -> tuple[DataFrame, DataFrame]:
     """(reports with ``trial``, best trial by NDCG at 20) of a model with a seed."""
