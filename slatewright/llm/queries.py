@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewright.llm import decontamination, imatch, jaccard, langid, mixing, sharding, substrings, suffixes, tokenfiles, toxicity
+from slatewright.llm import decontamination, imatch, jaccard, langid, mixing, oracles, sharding, substrings, suffixes, tokenfiles, toxicity
 from slatewright.llm.shared import documents, shared_path
 
 
@@ -44,7 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
-    return mixed.select("doc_id", "source", "copy", "rate")
+    return mixed.select("doc_id", "source", "copy", F.round("rate", 9).alias("rate"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
