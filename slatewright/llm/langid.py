@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatewright.llm.shared import hashed_sample, settle
+
 #: The most rows with a known language that are used to fit, chosen by a hash of their doc_id.
 FIT_ROWS = 8_000
 MOST_GRAMS = 4_000
@@ -70,9 +72,11 @@ class TextModel:
 
 def fit(docs: DataFrame, most_rows: int = FIT_ROWS, most_grams: int = MOST_GRAMS) -> TextModel:
     """Counts n-grams by language over at most ``most_rows`` documents; counts are summed in each partition, and
-    ``most_grams`` of each language reach the driver. Null languages and texts are left out."""
-    rows = (docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
+    ``most_grams`` of each language reach the driver. Null languages, texts and ids are left out."""
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    # ids are chosen first: texts are not brought together
+    chosen = hashed_sample(usable.select("doc_id"), "doc_id", most_rows).distinct()
+    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -85,8 +89,6 @@ def fit(docs: DataFrame, most_rows: int = FIT_ROWS, most_grams: int = MOST_GRAMS
 
     counts = (rows.select("lang", "text").mapInArrow(count, "lang string, gram string, n bigint")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    from pyspark.sql import Window
-
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = counts.withColumn("_rank", F.row_number().over(top)).where(F.col("_rank") <= most_grams).drop("_rank").collect()
     by_lang: dict[str, dict[str, int]] = {}
@@ -151,8 +153,6 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     text or known declarations get what is left; null html is empty; repeated rows count
     as pages; an empty table gives no rows, a model without languages null.
     """
-    from slatewright.llm.shared import settle
-
     langs = model.languages
     if not langs:
         return pages.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),

@@ -46,5 +46,18 @@ def position(df: DataFrame, keys: list[str], column: str, name: str) -> DataFram
             .drop("_part", "_mark", "_shift"))
 
 
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``.
+
+    A threshold that leaves a few more than wanted comes first, so that neither the
+    tasks nor the one that cuts the rest hold more than some multiple of ``most`` together.
+    """
+    n = rows.count()
+    if n > most:
+        kept = int((1 << 62) * min(1.0, 1.2 * (most + 100) / n))
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64(key), 2) < kept)
+    return rows.orderBy(F.shiftrightunsigned(F.xxhash64(key), 2), key).limit(most)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

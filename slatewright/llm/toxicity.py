@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatewright.llm.shared import hashed_sample
+
 #: The most labelled rows that are used to fit, chosen by a hash of their doc_id.
 FIT_ROWS = 20_000
 MOST_TERMS = 512
@@ -204,7 +206,7 @@ def fit_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFr
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
              .where("toxic = _most").select("doc_id", "toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = hashed_sample(known, "doc_id", most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
