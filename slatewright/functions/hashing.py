@@ -16,8 +16,3 @@ def seeded_uniform(seed: int, *parts: Column | str) -> Column:
     """Uniform double in (0, 1) from the first eight hex digits of the key."""
     head = F.conv(F.substring(seeded_key(seed, *parts), 1, 8), 16, 10).cast("double")
     return (head + F.lit(0.5)) / F.lit(4294967296.0)
-
-
-def key_bucket(key: Column, digits: int = 3) -> Column:
-    """Leading hex digits of a shuffle key: equal-sized buckets in key order."""
-    return F.substring(key, 1, digits)

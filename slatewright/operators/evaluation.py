@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewright.functions.hashing import key_bucket, seeded_uniform
+from slatewright.functions.hashing import seeded_uniform
 from slatewright.operators.popularity import popular_array
 from slatewright.operators.ranking import rank_overall, top_n
 
@@ -243,11 +243,8 @@ def case_curve(cases: DataFrame, metric: str) -> DataFrame:
     """``model, top_k, case_id, value, place``: every case with its own place."""
     value = F.round(F.col(f"`{metric}`"), 9)
     keyed = cases.select("model", "top_k", "case_id", value.alias("value"))
-    bucket = key_bucket(F.md5(F.col("case_id").cast("string")))
-    order = [F.desc("value"), F.col("_bucket"), F.col("case_id")]
     from slatewright.operators.ranking import rank_within
-    return rank_within(keyed.withColumn("_bucket", bucket), ["model", "top_k"], order,
-                       chunk=[-F.col("value"), F.col("_bucket")], name="place").drop("_bucket")
+    return rank_within(keyed, ["model", "top_k"], [F.desc("value"), F.col("case_id")], name="place")
 
 
 def negative_samples(item_counts: DataFrame, n: int, seed: int, groups: int,

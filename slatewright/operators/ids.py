@@ -15,17 +15,16 @@ from slatewright.operators.ranking import rank_overall, rerank
 UNKNOWN = -1
 
 
-def dense_ids(log: DataFrame, column: str, first_seen: Sequence[str],
-              chunk: Sequence[Column]) -> DataFrame:
+def dense_ids(log: DataFrame, column: str, first_seen: Sequence[str]) -> DataFrame:
     """``column, idx``: 0-based ids by first appearance under ``first_seen``.
 
-    Only one row per distinct value is ordered; ``chunk`` must ascend with it.
+    Only one row per distinct value is ordered.
     """
     order = F.struct(*first_seen)
     firsts = log.groupBy(column).agg(F.min(order).alias("_first"))
     firsts = firsts.select(column, "_first.*") if column not in first_seen else \
         firsts.select(column, *[F.col(f"_first.{c}").alias(c) for c in first_seen if c != column])
-    ranked = rank_overall(firsts, [F.col(c) for c in first_seen], chunk, name="_rank")
+    ranked = rank_overall(firsts, [F.col(c) for c in first_seen], name="_rank")
     return ranked.select(column, (F.col("_rank") - 1).alias("idx"))
 
 

@@ -116,8 +116,7 @@ def normalised_prompts(prompts: DataFrame, train: DataFrame,
     firsts = rows.groupBy("case_id", "item_id").agg(F.min("pos").alias("_old"))
     known = firsts.join(train.select("item_id").distinct(), "item_id", "left_semi")
     lengths = prompts.groupBy("case_id").agg(F.max("pos").alias("_rows"))
-    numbered = rank_within(known, ["case_id"], [F.col("_old")], sizes=lengths,
-                           chunk=[F.floor(F.col("_old") / 100_000)]).drop("_old")
+    numbered = rank_within(known, ["case_id"], [F.col("_old")], sizes=lengths).drop("_old")
     sizes = numbered.groupBy("case_id").agg(F.max("pos").alias("n"))
     return numbered.join(sizes, "case_id")
 

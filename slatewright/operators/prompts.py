@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewright.functions.chat import TASKS, fill, message, message_tokens, words
-from slatewright.functions.hashing import key_bucket, seeded_key
+from slatewright.functions.hashing import seeded_key
 from slatewright.functions.text import numbered_list
 from slatewright.operators.ranking import rank_overall
 
@@ -139,8 +139,7 @@ def beyond_limit(examples: DataFrame, lengths: DataFrame, share: float = 0.2, se
 def _split_examples(examples, lengths, share, seed, min_length, tokens):
     n = lengths.count()
     keyed = lengths.withColumn("_key", seeded_key(seed, "case_id"))
-    shuffled = rank_overall(keyed, [F.col("_key"), F.col("case_id")],
-                            chunk=[key_bucket(F.col("_key"))], name="_rank")
+    shuffled = rank_overall(keyed, [F.col("_key"), F.col("case_id")], name="_rank")
     side = F.when(F.col("_rank") <= int(share * n), "validation").otherwise("train")
     kept = shuffled.where(F.col("length") >= min_length).select("case_id", side.alias("split"))
     return examples.join(kept, "case_id").withColumn(

@@ -4,7 +4,7 @@ A plain ``row_number() over (partition by key)`` sorts a whole key in one task.
 The functions here give the same numbers but split what may be large:
 
 * ``rank_overall``  numbers a whole table without a one-task sort,
-* ``rank_within``   numbers rows per key; keys above ``hot_rows`` are split,
+* ``rank_within``   numbers rows per key; keys above ``hot_rows`` are sorted by ranges,
 * ``top_n``         keeps the best n per key, cutting map-side before the shuffle.
 """
 
@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatewright.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 # Spark prunes row_number() <= n before the shuffle only up to this n
 # (default of spark.sql.optimizer.windowGroupLimitThreshold).
@@ -38,64 +40,45 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(FAN_OUT * n, *columns)
 
 
-def rank_overall(df: DataFrame, order: Sequence[Column], chunk: Sequence[Column],
-                 name: str = "pos") -> DataFrame:
+def rank_overall(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
     """1-based position of every row under ``order`` over the whole table.
 
-    ``chunk`` columns must ascend with ``order`` (equal order values share a chunk).
-    Rows are numbered inside their chunk and shifted by the size of earlier chunks, so
-    the only one-task window runs over the table of chunk sizes.
+    A range shuffle sorts, whatever the distribution of the keys: busy days and sparse ids
+    only move its bounds. The sorted rows are written, and each partition's own numbers
+    are shifted by the sizes of those before it; the only one-task step adds up one
+    number per partition. Ties in all of ``order`` may take each other's place.
     """
-    return _chunked(df, [], order, chunk, name)
-
-
-def rank_within(df: DataFrame, key: Sequence[str], order: Sequence[Column],
-                chunk: Sequence[Column], name: str = "pos", hot_rows: int = HOT_ROWS,
-                sizes: DataFrame | None = None) -> DataFrame:
+    marked = cut_lineage(df.orderBy(*order).withColumn("_mark", F.monotonically_increasing_id()))
+    part = F.shiftright("_mark", 33)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return (marked.withColumn("_part", part).join(shifts, "_part")
+            .withColumn(name, (F.col("_shift") + own).cast("long")).drop("_part", "_mark", "_shift"))
+
+
+def rank_within(df: DataFrame, key: Sequence[str], order: Sequence[Column], name: str = "pos",
+                hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """1-based position of every row inside its key under ``order``.
 
-    Keys with at most ``hot_rows`` rows are numbered by one window partition.  Larger
-    keys are cut into ``chunk`` pieces as in :func:`rank_overall`.  There are at most
-    ``rows / hot_rows`` such keys, which bounds the broadcast list (a few megabytes for
-    10^12 rows at the default).  ``sizes`` (``key, _rows``) may give an upper bound of
+    Keys with at most ``hot_rows`` rows are numbered by one window partition. The rows of
+    larger keys are ranked together by key and order as in :func:`rank_overall`, and each
+    key's first place is taken off. ``sizes`` (``key, _rows``) may give an upper bound of
     the rows per key that is cheaper to compute than counting ``df``.
     """
     key = list(key)
     if sizes is None:
         sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") > hot_rows).select(*key, F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(hot), key, "left")
-    pieces = [F.when(F.col("_hot"), piece) for piece in chunk]
-    names = [f"_chunk{i}" for i in range(len(pieces))]
-    marked = marked.withColumns(dict(zip(names, pieces)))
-    window = Window.partitionBy(*key, *names).orderBy(*order)
-    local = marked.withColumn("_local", F.row_number().over(window))
-    pieces_of_hot = (df.join(F.broadcast(hot.drop("_hot")), key)
-                     .groupBy(*key, *[c.alias(n) for c, n in zip(chunk, names)])
-                     .agg(F.count(F.lit(1)).alias("_n")))
-    before = Window.partitionBy(*key).orderBy(*names).rowsBetween(
-        Window.unboundedPreceding, -1)
-    shifts = pieces_of_hot.select(
-        *key, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    joined = local.join(shifts, [*key, *names], "left")
-    position = F.col("_local") + F.coalesce(F.col("_shift"), F.lit(0))
-    return joined.withColumn(name, position.cast("long")).drop(
-        "_hot", "_local", "_shift", *names)
-
-
-def _chunked(df, key, order, chunk, name):
-    names = [f"_chunk{i}" for i in range(len(chunk))]
-    pieces = df.withColumns(dict(zip(names, chunk)))
-    local = pieces.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*key, *names).orderBy(*order)))
-    sizes = pieces.groupBy(*key, *names).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*key).orderBy(*names).rowsBetween(
-        Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        *key, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    joined = local.join(shifts, [*key, *names])
-    return joined.withColumn(name, (F.col("_local") + F.col("_shift")).cast("long")).drop(
-        "_local", "_shift", *names)
+    hot = cut_lineage(sizes.where(F.col("_rows") > hot_rows).select(*key))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")
+    if hot.isEmpty():
+        return df.withColumn(name, number)
+    placed = rank_overall(df.join(hot, key, "left_semi"), [*[F.col(c) for c in key], *order], "_place")
+    first = placed.groupBy(*key).agg(F.min("_place").alias("_first"))
+    large = placed.join(first, key).withColumn(name, F.col("_place") - F.col("_first") + 1)
+    usual = df.join(hot, key, "left_anti").withColumn(name, number)
+    return usual.unionByName(large.drop("_place", "_first"))
 
 
 def top_n(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int,

@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatewright.functions.hashing import key_bucket, seeded_key
+from slatewright.functions.hashing import seeded_key
 from slatewright.operators.ranking import rank_overall, rank_within
 
 
@@ -26,7 +26,7 @@ def session_times(log: DataFrame) -> DataFrame:
 def sessions_in_time(log: DataFrame) -> DataFrame:
     """``session_id, max_ts, session_rank`` with rank 1 for the earliest session."""
     return rank_overall(session_times(log), [F.col("max_ts"), F.col("session_id")],
-                        chunk=[F.to_date("max_ts")], name="session_rank")
+                        name="session_rank")
 
 
 def shuffled_sessions(log: DataFrame, seed: int) -> DataFrame:
@@ -34,7 +34,6 @@ def shuffled_sessions(log: DataFrame, seed: int) -> DataFrame:
     keyed = log.select("session_id").distinct().withColumn(
         "_key", seeded_key(seed, "session_id"))
     return rank_overall(keyed, [F.col("_key"), F.col("session_id")],
-                        chunk=[key_bucket(F.col("_key"))],
                         name="session_rank").drop("_key")
 
 
@@ -215,8 +214,7 @@ def close_gaps(log: DataFrame, keys: Sequence[str] = (),
                sizes: DataFrame | None = None) -> DataFrame:
     """Positions 1..n again per session, in the old order; long sessions are split."""
     return rank_within(log.withColumnRenamed("pos", "_old"), [*keys, "session_id"],
-                       [F.col("_old")], chunk=[F.floor(F.col("_old") / 100_000)],
-                       sizes=sizes).drop("_old")
+                       [F.col("_old")], sizes=sizes).drop("_old")
 
 
 def inner_validation(log: DataFrame, fraction: float, seed: int,

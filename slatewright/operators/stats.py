@@ -78,8 +78,7 @@ def length_histogram(log: DataFrame, longest: int) -> DataFrame:
 def popularity_curve(log: DataFrame) -> DataFrame:
     """``place, item_id, n``: items by interaction count."""
     counts = rows_per(log, "item_id")
-    return rank_overall(counts, [F.desc("n"), F.col("item_id")],
-                        chunk=[-F.col("n"), F.floor(F.col("item_id") / 65536)], name="place")
+    return rank_overall(counts, [F.desc("n"), F.col("item_id")], name="place")
 
 
 def norm_range(items: DataFrame) -> DataFrame:

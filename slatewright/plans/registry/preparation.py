@@ -154,8 +154,7 @@ add("vector_lengths_p9", lambda s, d: cleaning.vector_lengths(
 
 
 def mapping(spark, sf_dir):
-    return ids.dense_ids(log_table(spark, sf_dir), "item_id", ["ts", "session_id", "pos"],
-                         [F.to_date("ts")])
+    return ids.dense_ids(log_table(spark, sf_dir), "item_id", ["ts", "session_id", "pos"])
 
 
 MAP = """mapping AS (SELECT item_id, row_number() OVER (ORDER BY ts, session_id, pos) - 1 AS idx
@@ -170,7 +169,7 @@ def test_in_dense(spark, sf_dir):
     """All sessions in the ids of the early half; later items are unknown."""
     log = log_table(spark, sf_dir)
     early = log.where("ts < timestamp_ntz '1995-09-01'")
-    known = ids.dense_ids(early, "item_id", ["ts", "session_id", "pos"], [F.to_date("ts")])
+    known = ids.dense_ids(early, "item_id", ["ts", "session_id", "pos"])
     return ids.to_dense(log.select("session_id", "pos", "item_id"), known)
 
 
@@ -183,7 +182,7 @@ add("to_dense_i2", test_in_dense, f""", {EARLY}
 def dense_arrays(spark, sf_dir):
     log = log_table(spark, sf_dir)
     early = log.where("ts < timestamp_ntz '1995-09-01'")
-    known = ids.dense_ids(early, "item_id", ["ts", "session_id", "pos"], [F.to_date("ts")])
+    known = ids.dense_ids(early, "item_id", ["ts", "session_id", "pos"])
     lists = cases.as_arrays(log, ["session_id"]).withColumnRenamed("session_id", "case_id")
     return ids.arrays_to_dense(lists, known).select(
         "case_id", F.array_join("items", ",").alias("items"))
@@ -201,7 +200,7 @@ add("to_original_i4", lambda s, d: ids.to_original(ids.to_dense(
 def known_slates(spark, sf_dir):
     rows = log_table(spark, sf_dir)
     early = rows.where("ts < timestamp_ntz '1995-09-01'")
-    known = ids.dense_ids(early, "item_id", ["ts", "session_id", "pos"], [F.to_date("ts")])
+    known = ids.dense_ids(early, "item_id", ["ts", "session_id", "pos"])
     slates = rows.select(F.col("session_id").alias("case_id"), F.col("pos").alias("rank"), "item_id")
     return ids.map_known(slates, known).select("case_id", F.col("rank").cast("long"), "item_id")
 

@@ -111,7 +111,7 @@ add("distinct_lists_p14_p15", distinct_lists, """
 def initial_vectors(spark, sf_dir):
     """All axes of the reduced vectors in first-appearance order of their items."""
     train = dataset(spark, sf_dir, on_vectors=True).train
-    mapping = ids.dense_ids(train, "item_id", ["ts", "session_id", "pos"], [F.to_date("ts")])
+    mapping = ids.dense_ids(train, "item_id", ["ts", "session_id", "pos"])
     reduced = reduction.reduce_pca(workload.vectors(spark, sf_dir), 64)
     return Q.initial_vectors(mapping, reduced).select("idx", F.round(norm("embedding"), 6).alias("length"))
 

@@ -88,8 +88,7 @@ def rolling(spark, sf_dir):
     """Order totals in key order as a training curve; the whole table is one series."""
     from slatewright.operators.ranking import rank_overall
     orders = workload.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    series = rank_overall(orders, [F.col("o_orderkey")], [F.floor(F.col("o_orderkey") / 65536)],
-                          name="n").withColumn("step", F.col("n") - 1)
+    series = rank_overall(orders, [F.col("o_orderkey")], name="n").withColumn("step", F.col("n") - 1)
     return rounded(stats.rolling_mean(series, "o_totalprice", chunk=1024).select("step", "rolling"),
                    "rolling", digits=8)
 

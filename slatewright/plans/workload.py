@@ -37,8 +37,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     joined = stored(spark, sf_dir, "raw", lambda: raw_log(spark, sf_dir))
     order = [F.col(c) for c in ("ts", "t1", "t2", "item_id", "t4", "t5", "t6")]
-    return rank_within(joined, ["session_id"], order,
-                       chunk=[F.to_date("ts")]).select(
+    return rank_within(joined, ["session_id"], order).select(
         "session_id", "item_id", "ts", "reward", "pos")
 
 

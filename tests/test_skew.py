@@ -20,13 +20,13 @@ def rows(spark):
 
 def test_rank_within_splits_hot_keys(rows):
     plain = rows.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("v", "id")))
-    split = rank_within(rows, ["k"], [F.col("v"), F.col("id")], [F.floor(F.col("v") / 7)], hot_rows=200)
+    split = rank_within(rows, ["k"], [F.col("v"), F.col("id")], hot_rows=200)
     a = {(r["id"], r["pos"]) for r in plain.collect()}
     assert a == {(r["id"], r["pos"]) for r in split.select("id", "pos").collect()}
 
 
 def test_rank_overall(rows):
-    got = rank_overall(rows, [F.desc("v"), F.col("id")], [-F.floor(F.col("v") / 5)])
+    got = rank_overall(rows, [F.desc("v"), F.col("id")])
     order = [r["id"] for r in got.orderBy("pos").collect()]
     assert order == [r["id"] for r in rows.orderBy(F.desc("v"), "id").collect()]
 
@@ -116,3 +116,14 @@ def test_rolling_mean_over_chunks(spark):
     expected = [None] * 15 + [sum(x[i - 15:i + 1]) / 16 for i in range(15, 500)]
     assert got == pytest.approx(expected) if None not in got else got[:15] == [None] * 15
     assert got[15:] == pytest.approx(expected[15:])
+
+
+def test_one_busy_day_and_sparse_ids(spark):
+    """All rows on one day with random 64-bit ids: ranges, not days or id blocks, cut the sort."""
+    busy = spark.range(20_000).select(F.xxhash64("id").alias("item_id"), F.lit("2024-01-01").cast("date").alias("ts"))
+    got = rank_overall(busy, [F.col("ts"), F.col("item_id")])
+    expected = busy.withColumn("pos", F.row_number().over(Window.orderBy("ts", "item_id")).cast("long"))
+    assert got.select(expected.columns).exceptAll(expected).isEmpty() and got.count() == 20_000
+    assert rank_overall(busy.limit(0), [F.col("ts")]).count() == 0
+    within = rank_within(busy, ["ts"], [F.col("item_id")], hot_rows=100)
+    assert within.select(expected.columns).exceptAll(expected).isEmpty() and within.count() == 20_000
