@@ -269,13 +269,13 @@ def candidate_items_query(spark, sf_dir):
     return N.scored_candidates(close, weights, prompt_items, idf, SIM).groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         # summed as decimals, so that the order of summing does not matter
-        F.round(F.sum(F.round("score", 8).cast("decimal(28,8)")).cast("double"), 6).alias("total"))
+        F.round(F.sum(F.round("score", 12).cast("decimal(28,12)")), 6).cast("double").alias("total"))
 
 
 QUERIES["candidate_items_k15_k19"] = candidate_items_query
 SQL["candidate_items_k15_k19"] = template(
     SIM, "SELECT case_id, count(*) AS n_items,"
-         " round(sum(round(score, 8)::DECIMAL(28, 8))::DOUBLE, 6) AS total FROM scores GROUP BY 1")
+         " round(sum(round(score, 12)::DECIMAL(28, 12)), 6)::DOUBLE AS total FROM scores GROUP BY 1")
 
 
 def successors_query(spark, sf_dir):
