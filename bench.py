@@ -25,6 +25,7 @@ HEADLINES = (
     "recommend_similar_cosine_e6_e9_e10", "recommend_similar_euclidean_e8", "pair_distances_a9",
     "pca_16_v1", "rank_ensemble_h1", "popularity_filter_h4", "diversity_filter_h5",
     "list_examples_l6", "parse_list_l11", "fill_unmatched_l15", "next_items_q2", "cloze_q4_q5_q6",
+    "similarity_cutoffs_a15", "match_report_l17", "online_prompts_st1",
 )
 
 
