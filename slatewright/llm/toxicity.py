@@ -1,6 +1,7 @@
 """Toxicity: a lexicon learned from labels, matched through spelling errors, judged in context.
 
-A term of the lexicon is a word, or a stem that begins words. The lexicon is kept as a
+A term of the lexicon is a word, or a stem that begins words; the words a stem was learned
+from stand beside it, so that their misspellings are found too. The lexicon is kept as a
 trie. A word of a text runs through it together with the Levenshtein automaton of the
 word: the states reached are the trie nodes whose prefix lies within the allowed number
 of edits, so misspelled terms are found without comparing the word with every term. Each
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,11 +27,11 @@ from slatewright.llm.shared import hashed_sample
 #: The most labelled rows that are used to fit, chosen by a hash of their doc_id.
 FIT_ROWS = 20_000
 MOST_TERMS = 512
-CANDIDATES = 50 * MOST_TERMS
 WINDOW = 5
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 _CACHED_WORDS = 300_000
+_COUNTED_TERMS = 500_000
 
 #: Signs and words of quotation or report.
 QUOTES = "\"“”„«»‘’"
@@ -58,8 +58,18 @@ def respelled(token: str) -> str:
 
 
 def allowed_edits(term: str, stem: bool) -> int:
-    """Short terms and stems must be spelled as they are; longer words may miss by one edit."""
-    return int(not stem and len(term) >= 5)
+    """Short terms must be spelled as they are; longer ones may miss by one edit, words of 10 letters by two.
+
+    A stem says nothing about the end of a word, so it takes 7 letters until an edit is allowed."""
+    return int(len(term) >= 7) if stem else int(len(term) >= 5) + int(len(term) >= 10)
+
+
+def _pieces(term: str, edits: int) -> list[tuple[int, str]]:
+    """(start, letters) of parts with a letter between them, one more than edits: some part is as it was, the first
+    one at its place, the last one at its distance from the end, others shifted by ``edits`` at most."""
+    size = (len(term) - edits) // (edits + 1)
+    starts = [i * (size + 1) for i in range(edits)] + [len(term) - size]
+    return [(a, term[a:a + size]) for a in starts]
 
 
 class Trie:
@@ -67,22 +77,26 @@ class Trie:
 
     def __init__(self, terms: dict[tuple[str, bool], float]) -> None:
         self.root: dict = {}
-        self.pieces: dict[int, list[tuple[int, set[str], set[str]]]] = {}
+        #: What parts of words can hold a term with edits: by length of the word for words, for stems by none.
+        self.pieces: dict[int, dict[tuple[int, int], set[str]]] = {}
+        self.beginnings: dict[tuple[int, int], set[str]] = {}
         for (term, stem), weight in terms.items():
-            node = self.root
+            node, most = self.root, allowed_edits(term, stem)
             for c in term:
+                node["most"] = max(most, node.get("most", 0))
                 node = node.setdefault(c, {})
-            node.setdefault("", []).append((stem, allowed_edits(term, stem), weight))
-            if allowed_edits(term, stem):
-                # one edit leaves at least so much of the beginning or of the end as it was
-                keep = (len(term) - 1) // 2
-                for size in (len(term) - 1, len(term), len(term) + 1):
-                    kinds = self.pieces.setdefault(size, [])
-                    own = next((x for x in kinds if x[0] == keep), None)
-                    if own is None:
-                        kinds.append(own := (keep, set(), set()))
-                    own[1].add(term[:keep])
-                    own[2].add(term[-keep:])
+            node["most"] = max(most, node.get("most", 0))
+            node.setdefault("", []).append((stem, most, weight))
+            for start, letters in _pieces(term, most) if most else ():
+                for shift in range(-most, most + 1) if start else (0,):
+                    at = (start + shift, start + shift + len(letters))
+                    if stem:
+                        self.beginnings.setdefault(at, set()).add(letters)
+                    elif start + len(letters) < len(term):
+                        for size in range(len(term) - most, len(term) + most + 1):
+                            self.pieces.setdefault(size, {}).setdefault(at, set()).add(letters)
+                    else:
+                        self.pieces.setdefault(len(term) + shift, {}).setdefault(at, set()).add(letters)
 
     def match(self, word: str) -> tuple[float, int] | None:
         """Weight and edits of the best matching term: fewest edits, then greatest weight."""
@@ -96,25 +110,28 @@ class Trie:
             best = max([w for stem, _, w in node.get("", ()) if not stem] + [best or 0.0]) or None
         if best is not None:
             return best, 0
-        if any(word[:k] in heads or word[-k:] in tails for k, heads, tails in self.pieces.get(len(word), ())):
-            near = self._near(word, 1)
+        if (any(word[a:b] in known for (a, b), known in self.pieces.get(len(word), {}).items())
+                or any(word[a:b] in known for (a, b), known in self.beginnings.items())):
+            near = self._near(word)
             return None if near is None else (-near[1], near[0])
         return None
 
-    def _near(self, word: str, most: int) -> tuple[int, float] | None:
+    def _near(self, word: str) -> tuple[int, float] | None:
         n, best = len(word), None
         # state of the automaton: least edits by the number of read letters of the word, alive ones only
-        stack = [(self.root, {i: i for i in range(min(n, most) + 1)}, {}, "")]
+        stack = [(self.root, {i: i for i in range(min(n, self.root.get("most", 0)) + 1)}, {}, "")]
         while stack:
             node, state, before, last = stack.pop()
             for stem, edits, weight in node.get("", ()):
-                cost = state.get(n, most + 1)
-                if not stem and cost <= min(edits, most) and (best is None or (cost, -weight) < best):
+                # a stem is left wherever the word goes on
+                cost = min(state.values()) if stem else state.get(n, edits + 1)
+                if cost <= edits and (best is None or (cost, -weight) < best):
                     best = (cost, -weight)
             for c, child in node.items():
-                if not c:
+                if len(c) != 1:
                     continue
                 step: dict[int, int] = {}
+                most = child["most"]
                 for i, cost in state.items():
                     if i < n and word[i] == c and cost < step.get(i + 1, most + 1):
                         step[i + 1] = cost
@@ -214,10 +231,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS, most_term
     """Learns lexicon and weights from ``labels.toxic`` of a bounded number of rows; without toxic ones the lexicon
     is empty.
 
-    Document counts of words and word beginnings are summed by Spark. Candidates occur in
-    toxic texts and hardly elsewhere. The lexicon is built greedily: the candidate that
-    explains most toxic texts not explained so far goes in, so that copies of one text
-    don't fill it. What reaches the driver is bounded by ``most_rows``.
+    Document counts of words and word beginnings, in toxic texts and in others, are summed
+    and compared by Spark. Candidates occur in toxic texts and hardly elsewhere. The lexicon
+    is built greedily: the candidate that explains most toxic texts not explained so far
+    goes in, so that copies of one text don't fill it. Beside a chosen stem go the words of
+    toxic texts that it begins, however rare. What reaches the driver is bounded by
+    ``most_rows``.
     """
     rows = fit_rows(docs, labels, most_rows).cache()
     try:
@@ -234,17 +253,14 @@ def _fit(rows: DataFrame, most_terms: int) -> ToxicityModel:
         return ToxicityModel()
 
     least = max(4, round(0.004 * n_toxic))
-    inside = _term_counts(rows.where("toxic <> 0")).where(F.col("n") >= least)
-    candidates = {(r.term, r.stem): r.n for r in inside.orderBy(F.desc("n"), "term", "stem").limit(
-        CANDIDATES).collect()}
-    outside = {(r.term, r.stem): r.n for r in _term_counts(rows.where("toxic = 0"), set(candidates)).collect()}
-    clear = {t: n for t, n in candidates.items() if n >= 0.95 * (n + outside.get(t, 0))}  # labels have errors
-    strongest = set(sorted(clear, key=lambda t: (-clear[t], t))[:8 * most_terms])
-    holders: dict[tuple[str, bool], set[int]] = {t: set() for t in strongest}
-    for r in _term_documents(rows.where("toxic <> 0"), strongest).collect():
+    counted = _term_counts(rows)
+    clear = {(r.term, r.stem): (r.n_in, r.n_out) for r in counted.where(f"n_in >= {least} AND {_PURE}").orderBy(
+        F.desc("n_in"), "term", "stem").limit(8 * most_terms).collect()}
+    holders: dict[tuple[str, bool], set[int]] = {t: set() for t in clear}
+    for r in _term_documents(rows.where("toxic <> 0"), set(clear)).collect():
         holders[r.term, r.stem].update(r.docs)
-    model = ToxicityModel(_cover({t: (d, clear[t], outside.get(t, 0)) for t, d in holders.items()},
-                                 n_toxic, n_other, least, most_terms))
+    terms = _cover({t: (d, *clear[t]) for t, d in holders.items()}, n_toxic, n_other, least, most_terms)
+    model = ToxicityModel({**_stem_words(rows, terms), **terms})
     scored = features(rows.select("doc_id", "text", "toxic"), model, "toxic").groupBy("features", "toxic").count().collect()
     x = np.array([[1.0, *r.features] for r in scored]).reshape(-1, 1 + len(FEATURES))
     y = np.array([float(bool(r.toxic)) for r in scored])
@@ -257,22 +273,53 @@ def _terms(text: str | None) -> set[tuple[str, bool]]:
     return {(w, False) for w in found if len(w) >= 3} | {(w[:k], True) for w in found for k in STEM_LENGTHS if len(w) > k}
 
 
-def _term_counts(rows: DataFrame, only: set | None = None) -> DataFrame:
-    """term, stem, n: in how many texts; summed in each partition before the shuffle."""
+#: Labels have errors.
+_PURE = "n_in >= 0.95 * (n_in + n_out)"
+
+
+def _term_counts(rows: DataFrame, stems: set[str] | None = None) -> DataFrame:
+    """term, stem, n_in, n_out: in how many toxic and other texts; summed in each partition before the shuffle.
+
+    With ``stems`` only the words that begin with one of them."""
+    lengths = sorted({len(t) for t in stems or ()})
+
+    def of(text: str | None) -> set[tuple[str, bool]]:
+        if stems is None:
+            return _terms(text)
+        return {(w, False) for w in {plain(t) for t in set((text or "").split())}
+                if any(len(w) > k and w[:k] in stems for k in lengths)}
+
+    def listed(found: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.bool_()),
+             pa.array([a for a, _ in found.values()], pa.int64()), pa.array([b for _, b in found.values()], pa.int64())],
+            names=["term", "stem", "n_in", "n_out"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found: dict = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(_terms(text) if only is None else _terms(text) & only)
-        listed = list(found.items())
-        for a in range(0, len(listed), 50_000):
-            part = listed[a:a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([t for (t, _), _ in part]), pa.array([s for (_, s), _ in part]),
-                                              pa.array([n for _, n in part], pa.int64())], names=["term", "stem", "n"])
-
-    return (rows.select("text").mapInArrow(count, "term string, stem boolean, n bigint")
-            .groupBy("term", "stem").agg(F.sum("n").alias("n")))
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for term in of(text):
+                    a, b = found.get(term, (0, 0))
+                    found[term] = (a + 1, b) if toxic else (a, b + 1)
+                if len(found) >= _COUNTED_TERMS:
+                    yield listed(found)
+                    found = {}
+        yield listed(found)
+
+    return (rows.select("text", F.col("toxic") != 0)
+            .mapInArrow(count, "term string, stem boolean, n_in bigint, n_out bigint")
+            .groupBy("term", "stem").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out")))
+
+
+def _stem_words(rows: DataFrame, terms: dict[tuple[str, bool], float]) -> dict[tuple[str, bool], float]:
+    """The words of toxic texts, and hardly of others, that a chosen stem begins, with the weight of the longest one."""
+    stems = {t: w for (t, stem), w in terms.items() if stem}
+    if not stems:
+        return {}
+    found = _term_counts(rows, set(stems)).where(f"n_in > 0 AND {_PURE}").select("term").collect()
+    return {(r.term, False): stems[max((r.term[:k] for k in range(1, len(r.term)) if r.term[:k] in stems), key=len)]
+            for r in found}
 
 
 def _term_documents(rows: DataFrame, only: set) -> DataFrame:

@@ -249,6 +249,32 @@ def test_held_out_accuracy(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_misspelled_inflections(spark):
+    rng = random.Random(6)
+    clean = ["".join(rng.choice("bcfghk") + rng.choice("aou") for _ in range(3)) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(900):
+        words = [rng.choice(clean) for _ in range(12)]
+        if i % 3 == 0:
+            words[rng.randrange(12)] = rng.choice(["idiot", "idiots", "idiotic"])
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    model = toxicity.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any(stem and "idiot".startswith(t) for t, stem in model.terms)
+    trie = toxicity.Trie(model.terms)
+    for word in ("idoit", "iddiot", "idoits", "diotic"):
+        assert trie.match(word) is not None and trie.match(word)[1] == 1, word
+        assert toxicity.Scorer(model).score(word) > toxicity.Scorer(model).score(""), word
+    assert trie.match("idiotical")[1] == 0 and trie.match("idol") is None
+
+
+def test_bound_of_edits_grows_with_length():
+    trie = toxicity.Trie({("disgusting", False): 4.0, ("worthle", True): 3.0, ("moron", False): 2.0})
+    assert trie.match("disgsutnig") == (4.0, 2) and trie.match("dsgustin") == (4.0, 2) and trie.match("xdisxgusting") == (4.0, 2)
+    assert trie.match("dsgsutnig") is None and trie.match("mroonn") is None
+    assert trie.match("worhtlessly") == (3.0, 1) and trie.match("xworthlessly") == (3.0, 1) and trie.match("worhtelss") is None
+
+
 def test_no_labels(spark):
     docs, labels = labelled(spark, 20)
     model = toxicity.fit(docs, labels.limit(0))
