@@ -29,6 +29,20 @@ def test_shards_match_the_mixture(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_written_shards_hold_all_rows(spark, tmp_path):
+    listed = rows(90) + [rows()[5]] * 3 + [(5, "other", "s1", 0.1, 2, 1), (None, "x", None, 0.2, 3, 1), (None, "x", None, 0.3, 4, 1)] + [
+        (None, None, "s0", 0.5, 7, 1)] * 2
+    docs = spark.createDataFrame(listed, CLASH).drop("_copies").repartition(5)
+    sharding.write_shards(docs, f"{tmp_path}/shards", shards=4)
+    got = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert Counter((r.doc_id, r.text, r.source, r.rate) for r in got) == Counter(r[:4] for r in listed)
+    placed = Counter((r.doc_id, r.source, r.shard, r.slot) for r in sharding.assign_shards(docs, shards=4).collect())
+    assert Counter((r.doc_id, r.source, r.shard, r.slot) for r in got) == placed
+    sharding.write_shards(mixing.mix(docs, target_rows=200), f"{tmp_path}/mixed", shards=4)
+    mixed = Counter((r.doc_id, r.text) for r in mixing.mix(docs, target_rows=200).collect())
+    assert Counter((r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/mixed").collect()) == mixed
+
+
 def test_more_shards_than_rows_and_none(spark):
     docs = spark.createDataFrame(rows(3), CLASH)
     assert sorted(r.slot for r in sharding.assign_shards(docs, shards=10).collect()) == [0, 0, 0]
