@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewright.llm import decontamination, jaccard, mixing, sharding, toxicity
-from slatewright.llm.shared import documents, settle
+from slatewright.llm.shared import documents, position, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHARDS = 24
@@ -25,18 +25,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect the document with the smallest doc_id stays: five-word shingles, 0.8 or more.
+    """Of each group that links connect one row stays: five-word shingles, 0.8 or more.
 
-    Documents without doc_id have no group and stay; rows that repeat a doc_id are one document, of which one row stays.
+    Rows are what is linked, whatever their doc_id: the row with the smallest doc_id stays, any row with one before
+    those without. Rows that share a doc_id but no likeness all stay, and so do texts without words.
     """
-    groups = jaccard.linked_components(docs, width=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
-    if ids.isEmpty():  # as usual; then the texts are shuffled once
-        return left
-    single = left.join(ids, "doc_id", "left_anti").select(*COLUMNS)
-    return single.union(left.join(ids, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():  # as usual; then doc_ids stand for rows, and the texts are shuffled once
+        return _first_of_groups(docs.select(*COLUMNS), "doc_id").select(*COLUMNS)
+    marked = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64("text")).withColumn("_tie", F.monotonically_increasing_id())
+    numbered = position(marked, [F.asc_nulls_last("doc_id"), "_hash", "_tie"], "_row", "numbered-rows")
+    return _first_of_groups(numbered, "_row").select(*COLUMNS)
+
+
+def _first_of_groups(docs: DataFrame, node: str) -> DataFrame:
+    """The rows of ``docs`` with the smallest ``node`` of their group; ``node`` is unique."""
+    groups = jaccard.linked_components(docs.select(F.col(node).alias("doc_id"), "text"), width=5, percent=80)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(node))
+    return docs.join(gone, node, "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewright.session import ensure_checkpoint_dir
@@ -28,7 +28,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def position(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+def position(df: DataFrame, keys: list[str | Column], column: str, name: str) -> DataFrame:
     """``df`` settled with a gapless position from 0 in the order of ``keys``.
 
     A range shuffle sorts; the rows of the partitions before it shift a partition's own

@@ -315,6 +315,16 @@ def test_held_out_languages(spark):
 
 # --- pipeline ----------------------------------------------------------------------
 
+def test_near_duplicates_are_rows(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(0, a), (1, a), (1, b), (2, b), (3, c), (None, c + " more"), (None, c), (None, "alone it is"), (4, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS + ", lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == list(corpus_pipeline.COLUMNS)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(
+        [(0, a), (1, b), (3, c), (None, "alone it is"), (4, None), (4, ""), (None, None)])
+
+
 def test_pipeline(spark, tmp_path):
     """Against the stages by brute force: planted documents go, clean ones stay."""
     docs, labels = labelled(spark, 300)
