@@ -53,14 +53,21 @@ def cumulative(rate) -> F.Column:
         F.array(F.lit(1.0)))
 
 
+def _name(names: list[str], prefix: str = "") -> F.Column:
+    """What a row is drawn by: its doc_id, or without one a hash of the whole row."""
+    doc_id = F.col(f"{prefix}doc_id")
+    return F.when(doc_id.isNotNull(), doc_id.cast("string")).otherwise(
+        F.concat(F.lit("null|"), F.xxhash64(*[F.col(f"{prefix}{c}") for c in names]).cast("string")))
+
+
 def replicated(docs: DataFrame, rates: DataFrame, seed: str = "mixing") -> DataFrame:
     """``docs`` with _copies: the Poisson quantile at a uniform number hashed from doc_id.
 
     The number of a row depends on seed, doc_id and source alone, so reruns, retries and
-    other partitionings repeat it. Rows that repeat a doc_id repeat its number.
+    other partitionings repeat it. Rows that repeat a doc_id repeat its number. Rows without
+    doc_id have the number of their whole content.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("d.doc_id").cast("string"),
-                                                                          F.lit("null")))), 1, 13), 16, 10)
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), _name(docs.columns, "d."))), 1, 13), 16, 10)
     tables = rates.select(F.col("source").alias("_source"), "rate", cumulative(F.col("rate")).alias("_below"))
     joined = docs.alias("d").join(tables, F.col("d.source").eqNullSafe(F.col("_source")))
     return (joined.withColumn("_u", u.cast("double") / F.lit(float(1 << 52)))
@@ -82,6 +89,5 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: i
     drawn = replicated(docs.select(*names), rates, seed).where("_copies > 0")
     copies = drawn.select(*[F.col(f"d.{c}") for c in names], "rate",
                           F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
-    key = F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-                            F.col("copy").cast("string")))
+    key = F.md5(F.concat_ws("|", F.lit(seed + "-order"), _name(names), F.col("copy").cast("string")))
     return copies.withColumn("_key", key).orderBy("_key").drop("_key")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewright.llm import decontamination, imatch, jaccard, langid, mixing, oracles, sharding, substrings, suffixes, tokenfiles, toxicity
-from slatewright.llm.shared import documents, shared_path
+from slatewright.llm.shared import documents, settle, shared_path
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
+    # whole documents are copied, shuffled and written; without that Spark would leave the texts out
+    mixed = settle(mixing.mix(documents(spark, sf_dir)), "mixed")
     return mixed.select("doc_id", "source", "copy", F.round("rate", 9).alias("rate"))
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from slatewright.llm import mixing, sharding
+from slatewright.llm import mixing, queries, sharding
 
 CLASH = "doc_id long, text string, source string, rate double, shard int, _copies int"
 
@@ -62,6 +62,24 @@ def test_mixing_meets_rates(spark):
     assert Counter((r.doc_id, r.copy) for r in mixed.collect()) == Counter((r.doc_id, r.copy) for r in again.collect())
 
 
+def test_rows_without_id_are_drawn_apart(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s", 0.5, 7, 1) for i in range(400)], CLASH).select("doc_id", "text", "source")
+    n = Counter(r.text for r in mixing.mix(docs, target_rows=400).collect())
+    assert 300 <= sum(n.values()) <= 500 and 200 <= len(n) < 300 and max(n.values()) >= 2
+    order = [int(r.text.split()[1]) for r in mixing.mix(docs, target_rows=400).collect() if r.text]
+    assert order != sorted(order)
+
+
+def test_query_mixes_whole_documents(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(rows(), CLASH).select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, mix = [], mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda docs: seen.append(mix(docs)) or seen[0])
+    got = queries.op6_mixing(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "source", "copy", "rate"] and "text" in seen[0].columns
+    written = spark.read.parquet(got.inputFiles()[0].rsplit("/", 1)[0])
+    assert Counter((r.doc_id, r.text, r.copy) for r in written.collect()) == Counter((r.doc_id, r.text, r.copy) for r in seen[0].collect())
+
+
 def test_poisson_law(spark):
     import math
 
