@@ -394,11 +394,17 @@ def embedding_lookups(prompt_items: DataFrame, train: DataFrame, items: DataFram
     return ours, theirs
 
 
-def recommend_one(prompt: list[int], train: DataFrame, k: int = 20,
+def recommend_one(prompt: DataFrame | list[int], train: DataFrame, k: int = 20,
                   options: NeighbourOptions = NeighbourOptions(), items: DataFrame | None = None,
                   allowed: DataFrame | None = None) -> DataFrame:
-    """Slate of a single prompt; ``allowed`` restricts the items that may be shown."""
-    spark = train.sparkSession
-    rows = spark.createDataFrame([(0, i + 1, int(x)) for i, x in enumerate(prompt)],
-                                 "case_id long, pos long, item_id long")
+    """Slate of a single prompt; ``allowed`` restricts the items that may be shown.
+
+    A prompt that is a table already (case_id, pos, item_id) stays in Spark, however long;
+    a list is for one at hand.
+    """
+    if isinstance(prompt, DataFrame):
+        rows = prompt.select("case_id", "pos", "item_id")
+    else:
+        rows = train.sparkSession.createDataFrame([(0, i + 1, int(x)) for i, x in enumerate(prompt)],
+                                                  "case_id long, pos long, item_id long")
     return recommend_neighbours(rows, train, k, options, items, allowed=allowed)

@@ -334,9 +334,9 @@ SQL["sequential_filter_k18"] = template(
 def single_prompt_query(spark, sf_dir):
     """The longest prompt of the split, recommended on its own from the whole log."""
     data = dataset(spark, sf_dir)
-    longest = data.prompts.orderBy(F.desc("pos"), "case_id").select("case_id").first()[0]
-    rows = data.prompts.where(F.col("case_id") == longest).orderBy("pos").collect()
-    return N.recommend_one([r["item_id"] for r in rows], data.train, 20).drop("model", "case_id")
+    longest = data.prompts.orderBy(F.desc("pos"), "case_id").select("case_id").limit(1)
+    prompt = data.prompts.join(F.broadcast(longest), "case_id")  # one row
+    return N.recommend_one(prompt, data.train, 20).drop("model", "case_id")
 
 
 QUERIES["recommend_one_prompt_k24"] = single_prompt_query

@@ -90,3 +90,23 @@ def test_sessions_that_end_within_a_batch_are_emitted(spark, tmp_path):
     query.awaitTermination()
     got = sorted((r["items"], r.closed) for r in spark.table("ended_sessions").collect())
     assert got[:2] == [([10, 11], True), ([20], False)]
+
+
+def test_one_prompt_as_a_table(spark):
+    from slatewright.operators import neighbours as N
+
+    train = spark.createDataFrame([(s, (s + k) % 9, 1000 + s * 10 + k, 1.0, k + 1) for s in range(30) for k in range(4)],
+                                  "session_id long, item_id long, ts long, reward double, pos long")
+    prompt = [0, 3, 5]
+    table = spark.createDataFrame([(77, i + 1, x, "more") for i, x in enumerate(prompt)], "case_id long, pos long, item_id long, other string")
+    listed = N.recommend_one(prompt, train, 5).select("rank", "item_id", "score").collect()
+    assert listed and sorted(N.recommend_one(table, train, 5).select("rank", "item_id", "score").collect()) == sorted(listed)
+
+
+def test_json_report_holds_every_metric(spark, monkeypatch):
+    from slatewright.plans.registry import evaluating
+
+    report = spark.createDataFrame([("m", 10, "NDCG", 0.5), ("m", 10, "Catalog coverage", 0.25)], "model string, top_k int, metric string, value double")
+    monkeypatch.setattr(evaluating, "two_model_report", lambda s, d: report)
+    (row,) = evaluating.QUERIES["report_json_n14"](spark, "").collect()
+    assert "Catalog coverage@10" in row.json and "NDCG@10" in row.json
