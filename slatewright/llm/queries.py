@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewright.llm import decontamination, imatch, jaccard, langid, mixing, oracles, sharding, substrings, suffixes, tokenfiles, toxicity
+from slatewright.llm import alignment, decontamination, imatch, jaccard, langid, mixing, oracles, sharding, substrings, suffixes, tokenfiles, toxicity
 from slatewright.llm.shared import documents, settle, shared_path
 
 
@@ -66,6 +66,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(documents(spark, sf_dir), width=4, percent=85)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    definitions = alignment.Definitions.read(*(str(public_tokenizers.path(x)) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+    return alignment.corpus_digest(documents(spark, sf_dir), definitions)
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
@@ -77,6 +84,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
