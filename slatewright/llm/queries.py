@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewright.llm import alignment, decontamination, imatch, jaccard, langid, mixing, oracles, sharding, substrings, suffixes, tokenfiles, toxicity
+from slatewright.llm import alignment, decontamination, imatch, jaccard, langid, mixing, oracles, sharding, spelling, substrings, suffixes, tokenfiles, toxicity, urlfilter
 from slatewright.llm.shared import documents, settle, shared_path
 
 
@@ -66,6 +66,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(documents(spark, sf_dir), width=4, percent=85)
 
 
+#: The rules of the query's contract.
+URL_RULES = [
+    urlfilter.Rule("allow", "com"), urlfilter.Rule("block", "example.com", "/en/"), urlfilter.Rule("allow", "www.example.com", "/en/"),
+    urlfilter.Rule("block", "net", "/es/"), urlfilter.Rule("block", "net", "/fr/"),
+]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # labels and pages share one space of ids: a page is bad if its label says toxic or of low quality
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), outcomes, URL_RULES)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(documents(spark, sf_dir))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +102,8 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_url_filter": op11_url_filter,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
