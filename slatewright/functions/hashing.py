@@ -16,3 +16,9 @@ def seeded_uniform(seed: int, *parts: Column | str) -> Column:
     """Uniform double in (0, 1) from the first eight hex digits of the key."""
     head = F.conv(F.substring(seeded_key(seed, *parts), 1, 8), 16, 10).cast("double")
     return (head + F.lit(0.5)) / F.lit(4294967296.0)
+
+
+def seeded_fraction(seed: int, *parts: Column | str) -> Column:
+    """Uniform double in [0, 1) with 52 bits, for draws from long lists."""
+    head = F.conv(F.substring(seeded_key(seed, *parts), 1, 13), 16, 10).cast("bigint")
+    return head / F.lit(4503599627370496.0)

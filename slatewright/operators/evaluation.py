@@ -13,9 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewright.functions.hashing import seeded_uniform
+from slatewright.operators.draws import negative_samples
 from slatewright.operators.popularity import popular_array
-from slatewright.operators.ranking import rank_overall, top_n
+from slatewright.operators.ranking import rank_overall
 
 # Metric names and groups.
 RANKING = ("NDCG", "HitRate", "MRR")
@@ -247,35 +247,11 @@ def case_curve(cases: DataFrame, metric: str) -> DataFrame:
     return rank_within(keyed, ["model", "top_k"], [F.desc("value"), F.col("case_id")], name="place")
 
 
-def negative_samples(item_counts: DataFrame, n: int, seed: int, groups: int,
-                     weighted: bool = True) -> DataFrame:
-    """``grp, item_id``: ``groups`` independent samples of n items without replacement.
-
-    Weighted sampling by exponential race: an item's key is ``-ln(u) / weight`` and the
-    n smallest keys win, which has the law of drawing one item after the other. Keys are
-    compared by their logarithm, so that rounding is relative at any sum of weights.
-    """
-    spread = item_counts.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    u = seeded_uniform(seed, "grp", "item_id")
-    weight = F.col("count").cast("double") if weighted else F.lit(1.0)
-    race = spread.withColumn("_key", F.round(F.log(-F.log(u)) - F.log(weight), 9))
-    return top_n(race, ["grp"], [F.col("_key"), F.col("item_id")], n).select("grp", "item_id")
-
-
 def sampled_slates(recs: DataFrame, truths: DataFrame, item_counts: DataFrame, top_l: int,
-                   n_negatives: int, seed: int, weighted: bool = True, groups: int = 64
-                   ) -> DataFrame:
-    """Top-l slates reduced to sampled negatives and the truth, ranked again.
-
-    Each case uses one of ``groups`` samples, chosen by hash.  A sample per case would
-    need every item for every case; shared samples have the same law for each case and
-    cost ``groups * items`` rows.
-    """
-    negatives = negative_samples(item_counts, n_negatives, seed, groups, weighted)
-    group = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("case_id").cast(
-        "string"))), 1, 8), 16, 10).cast("long") % groups
-    cut = recs.where(F.col("rank") <= top_l).withColumn("grp", group)
-    sampled = cut.join(negatives.withColumn("_neg", F.lit(True)), ["grp", "item_id"], "left")
+                   n_negatives: int, seed: int, weighted: bool = True) -> DataFrame:
+    """Top-l slates reduced to the case's own sample of negatives and the truth, ranked again."""
+    negatives = negative_samples(recs, item_counts, n_negatives, seed, weighted).withColumn("_neg", F.lit(True))
+    sampled = recs.where(F.col("rank") <= top_l).join(negatives, ["case_id", "item_id"], "left")
     relevant = truths.select("case_id", "item_id", F.lit(True).alias("_true")).distinct()
     kept = (sampled.join(relevant, ["case_id", "item_id"], "left")
             .where(F.col("_neg").isNotNull() | F.col("_true").isNotNull()))
@@ -286,12 +262,12 @@ def sampled_slates(recs: DataFrame, truths: DataFrame, item_counts: DataFrame, t
 
 def sampled_evaluate(recs: DataFrame, truths: DataFrame, item_counts: DataFrame,
                      top_l: int = 100, top_k: int = 10, n_negatives: int = 100,
-                     seed: int = 42, weighted: bool = True, groups: int = 64) -> DataFrame:
-    """Leave-one-out ranking metrics against sampled negatives, ``sampled_`` prefixed."""
+                     seed: int = 42, weighted: bool = True) -> DataFrame:
+    """Leave-one-out ranking metrics against sampled negatives, ``sampled_`` prefixed. Each case has its own sample."""
     withheld = truths.groupBy("case_id").count().where("count > 1")
     if not withheld.isEmpty():
         raise ValueError("sampled evaluation needs exactly one truth per case")
-    slates = sampled_slates(recs, truths, item_counts, top_l, n_negatives, seed, weighted, groups)
+    slates = sampled_slates(recs, truths, item_counts, top_l, n_negatives, seed, weighted)
     cases = recs.select("model", "case_id").distinct()
     return evaluate(slates, truths, (top_k,), RANKING, cases=cases, prefix="sampled_")
 

@@ -1,31 +1,38 @@
 """Session-based nearest neighbours as joins, aggregates and top-n cuts.
 
-Popular items.  An item in ``df`` sessions meets every prompt that holds it, so items
-with ``df > hot_df`` are never joined in full.  Their sessions enter the sample through
-short lists that provably contain everything the sample can use:
-
-* random, recent, greedy idf: the order of sessions inside one item does not depend on
-  the prompt, so the first ``sample_size`` sessions of each hot item suffice;
+What is learned from the training log is a :class:`slatewright.operators.index.NeighbourIndex`:
+numbered lists of the sessions of each item, and the items of each session. A prompt whose items'
+lists are short together meets all their sessions. Otherwise only what the sample needs is read:
+
+* random: the case draws (item, number) pairs by hash, rejects repeats and sessions it was to reach
+  by a rarer item, and so gets a uniform sample of its own;
+* recent: lists are numbered by recency, so the first ``sample_size`` of each suffice;
+* greedy idf: rare items' lists are read whole, the item that overfills the sample is drawn from;
 * idf: sessions are grouped by the set of hot items they hold; all sessions of a set
   get the same hot score, so ``sample_size`` sessions per set suffice.
 
-After sampling, the contribution of hot items is added for the sampled pairs only.  The
-result is identical to joining everything.
+What the sampled sessions share with the prompt is then taken from the sessions' own items.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewright.functions.decay import NEIGHBOUR_FLOOR, check_decay, decay_weight
 from slatewright.functions.hashing import seeded_key
 from slatewright.functions.similarity import MEASURES, measure
-from slatewright.functions.vectors import cosine, dot, tail
+from slatewright.functions.vectors import cosine, dot
+from slatewright.operators.draws import drawn_places
 from slatewright.operators.embedding import session_vectors
+from slatewright.operators.index import NeighbourIndex, described_weights, inverse_frequency, session_item_weights, successors
 from slatewright.operators.ranking import rank_within, spread, top_n
+from slatewright.session import cut_lineage
+
+__all__ = ["NeighbourIndex", "NeighbourOptions", "described_weights", "inverse_frequency", "recommend_neighbours",
+           "recommend_one", "session_item_weights", "successors"]
 
 SAMPLINGS = ("random", "recent", "idf", "idf_greedy")
 
@@ -50,12 +57,15 @@ class NeighbourOptions:
     prompt_strategy: str = "last"
     train_strategy: str = "last"
     hot_df: int = 50_000
+    draw_factor: int = 8  #: lists longer than this many samples together are drawn from, not read whole
 
     def __post_init__(self):
         if self.sample_size < 1:
             raise ValueError(f"sample_size must be a positive integer, got {self.sample_size}")
         if not 1 <= self.k <= self.sample_size:
             raise ValueError(f"k must lie between 1 and sample_size, got {self.k}")
+        if self.draw_factor < 1:
+            raise ValueError(f"draw_factor must be a positive integer, got {self.draw_factor}")
         if self.sampling not in SAMPLINGS:
             raise ValueError(f"unknown sampling {self.sampling!r}; choose one of {SAMPLINGS}")
         if self.similarity not in ("cosine", "dot", *MEASURES):
@@ -82,30 +92,6 @@ class NeighbourOptions:
         return "V-SKNN" if self.decay is not None else "SKNN"
 
 
-def session_item_weights(train: DataFrame) -> DataFrame:
-    """``session_id, item_id, w``: summed integer reward of each cell."""
-    return train.groupBy("session_id", "item_id").agg(
-        F.sum(F.col("reward").cast("long")).cast("double").alias("w"))
-
-
-def inverse_frequency(weights: DataFrame) -> DataFrame:
-    """``item_id, df, idf`` with ``idf = 1 + ln(sessions / df)``."""
-    total = weights.select("session_id").distinct().agg(F.count(F.lit(1))).scalar()
-    counted = weights.groupBy("item_id").agg(F.count(F.lit(1)).alias("df"))
-    return counted.withColumn("idf", F.lit(1.0) + F.log(total.cast("double") / F.col("df")))
-
-
-def successors(train: DataFrame) -> DataFrame:
-    """``item_id, next_item``: items that follow an item immediately, once each.
-
-    Joined on (session, position), which spreads long sessions over all tasks.
-    """
-    here = train.select("session_id", "pos", "item_id")
-    there = train.select("session_id", (F.col("pos") - 1).alias("pos"),
-                         F.col("item_id").alias("next_item"))
-    return here.join(there, ["session_id", "pos"]).select("item_id", "next_item").distinct()
-
-
 def normalised_prompts(prompts: DataFrame, train: DataFrame,
                        last_n_items: int | None = None) -> DataFrame:
     """``case_id, item_id, pos, n``: last items, first occurrences, known items, renumbered."""
@@ -130,112 +116,146 @@ def prompt_vectors(prompt_items: DataFrame, decay: str | None) -> DataFrame:
     return spread(weighted.join(norms, "case_id"), "case_id")
 
 
-def described_weights(train: DataFrame) -> DataFrame:
-    """Cell weights with the norm, size and end time of their session."""
-    weights = session_item_weights(train)
-    per_session = weights.groupBy("session_id").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s_norm"),
-        F.count(F.lit(1)).alias("s_size"))
-    ends = train.groupBy("session_id").agg(F.max("ts").alias("s_end"))
-    return weights.join(per_session.join(ends, "session_id"), "session_id")
-
-
 def _sample_order(options: NeighbourOptions):
-    shuffle = seeded_key(options.seed, "session_id")
+    """Of sessions in a case; ``draw`` is null for those that were not drawn."""
+    shuffle = [F.asc_nulls_last("draw"), seeded_key(options.seed, "case_id", "session_id"), F.col("session_id")]
     return {
-        "random": [shuffle, F.col("session_id")],
+        "random": shuffle,
         "recent": [F.desc("s_end"), F.desc("session_id")],
         "idf": [F.desc("idf_sum"), F.col("session_id")],
-        "idf_greedy": [F.col("best"), shuffle, F.col("session_id")],
+        "idf_greedy": [F.col("best"), *shuffle],
     }[options.sampling]
 
 
-def _item_order(options: NeighbourOptions):
-    """Order of the sessions inside one item, the same for every prompt."""
-    if options.sampling == "recent":
-        return [F.desc("s_end"), F.desc("session_id")]
-    return [seeded_key(options.seed, "session_id"), F.col("session_id")]
+_PAIR_SUMS = ("both", "dot", "idf_sum")
 
 
-_PAIR_SUMS = ("both", "dot", "idf_sum")
+def _item_rank(df="df", item="item_id"):
+    """The rarity of an item as one sortable number: frequency, then item id."""
+    rank = F.col(df).cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col(item)
+    return rank.cast("decimal(38,0)")
 
 
-def _pair_aggregates(rows: DataFrame, *more) -> DataFrame:
-    """One row per (case, session) from rows of shared items.
+def _pair_aggregates(rows: DataFrame, *more: str) -> DataFrame:
+    """One row per (case, session, ``more``) from rows of shared items.
 
-    ``best`` is the rarest shared item as one sortable number: frequency, then item id.
-    Every aggregate is of fixed width, so Spark hashes instead of sorting.
+    ``best`` is the rarest shared item. Every aggregate is of fixed width, so Spark hashes instead of sorting.
     """
-    best = F.col("df").cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + \
-        F.col("item_id")
-    best = best.cast("decimal(38,0)")
-    return rows.groupBy("case_id", "session_id").agg(
+    pairs = rows.groupBy("case_id", "session_id", *more).agg(
         F.count(F.lit(1)).alias("both"), F.sum(F.col("pw") * F.col("w")).alias("dot"),
-        F.sum("idf").alias("idf_sum"), F.max("pos").alias("last_pos"), F.min(best).alias("best"),
-        *[F.max(c).alias(c) for c in ("n", "p_norm", "s_norm", "s_size", "s_end")], *more)
+        F.sum("idf").alias("idf_sum"), F.max("pos").alias("last_pos"), F.min(_item_rank()).alias("best"),
+        *[F.max(c).alias(c) for c in ("n", "p_norm", "s_norm", "s_size", "s_end")])
+    return pairs.withColumn("idf_sum", F.round("idf_sum", 9))
 
 
-def _rounded_idf_sum(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("idf_sum", F.round("idf_sum", 9))
+def overlaps(keys: DataFrame, scored: DataFrame, index: NeighbourIndex, *more: str) -> DataFrame:
+    """What the prompts and sessions of ``keys`` (case_id, session_id, ``more``) share. The sessions' items lie by
+    session, so only the keys are shuffled to them."""
+    items = keys.join(index.cells, "session_id")
+    return _pair_aggregates(items.join(scored, ["case_id", "item_id"]), *more)
 
 
-def sampled_pairs(prompt_items: DataFrame, weights: DataFrame, idf: DataFrame,
-                  options: NeighbourOptions) -> DataFrame:
+def sampled_pairs(prompt_items: DataFrame, index: NeighbourIndex, options: NeighbourOptions) -> DataFrame:
     """Sampled (case, session) pairs with their overlap statistics.
 
     Columns: ``both, dot, idf_sum, last_pos`` over the shared items, and the sizes and
     norms of both sides.
     """
-    scored = prompt_items.join(idf.select("item_id", "df", "idf"), "item_id")
-    hot = idf.where(F.col("df") > options.hot_df).select("item_id")
+    scored = prompt_items.join(index.items, "item_id")
+    if options.sampling == "idf":
+        return _idf_pairs(scored, index, options)
+    at_most = options.draw_factor * options.sample_size
+    totals = scored.groupBy("case_id").agg(F.sum("df").alias("_total"))
+    marked = scored.join(totals, "case_id")
+    long = cut_lineage(marked.where(F.col("_total") > at_most).drop("_total"))
+    whole = _pair_aggregates(marked.where(F.col("_total") <= at_most).drop("_total").join(index.postings.drop("number"), "item_id"))
+    pairs = whole.withColumn("draw", F.lit(None).cast("long"))
+    if not long.isEmpty():
+        few = {"random": _drawn_pairs, "recent": _recent_pairs, "idf_greedy": _greedy_pairs}[options.sampling]
+        pairs = pairs.unionByName(few(long, index, options))
+    return top_n(pairs, ["case_id"], _sample_order(options), options.sample_size, name="sample_rank").drop("draw")
+
+
+def _recent_pairs(scored: DataFrame, index: NeighbourIndex, options: NeighbourOptions) -> DataFrame:
+    lists = index.postings.where(F.col("number") <= options.sample_size).select("item_id", "session_id", "s_end")
+    seen = scored.select("case_id", "item_id").join(lists, "item_id").select("case_id", "session_id", "s_end").distinct()
+    latest = top_n(seen, ["case_id"], _sample_order(options), options.sample_size, name="_r").select("case_id", "session_id")
+    return overlaps(latest, scored, index).withColumn("draw", F.lit(None).cast("long"))
+
+
+def _drawn_pairs(scored: DataFrame, index: NeighbourIndex, options: NeighbourOptions) -> DataFrame:
+    """A uniform sample of the sessions that share an item with the case, drawn from its items' lists laid end to end."""
+    return _draws(scored, scored.select("case_id", "item_id", "df"), index, options)
+
+
+def _greedy_pairs(scored: DataFrame, index: NeighbourIndex, options: NeighbourOptions) -> DataFrame:
+    """Sessions of the rare items, and draws from the first item that is sure to overfill the sample."""
+    overfull = scored.where(F.col("df") > options.draw_factor * options.sample_size)
+    first = overfull.groupBy("case_id").agg(F.min(_item_rank()).alias("_stop"))
+    marked = scored.join(first, "case_id", "left")
+    rare = marked.where(F.col("_stop").isNull() | (_item_rank() < F.col("_stop"))).select("case_id", "item_id")
+    seen = rare.join(index.postings.select("item_id", "session_id"), "item_id").select("case_id", "session_id").distinct()
+    read = overlaps(seen, scored, index).withColumn("draw", F.lit(None).cast("long"))
+    last = marked.where(_item_rank() == F.col("_stop")).select("case_id", "item_id", "df")
+    return read.unionByName(_draws(scored, last, index, options))
+
+
+def _draws(scored: DataFrame, lists: DataFrame, index: NeighbourIndex, options: NeighbourOptions) -> DataFrame:
+    """Pairs with the number of the draw that found them, ``sample_size`` a case or more.
+
+    Each place in the case's ``lists`` (case_id, item_id, df) is as likely as any other. A session counts only if it
+    is drawn by the rarest item that it shares with the case, so all sessions are equally likely; repeats keep their
+    first draw. Cases that still lack sessions draw twice as often in the next round. One that has drawn as often as
+    its lists are long reads the rest of them, in the order of its own hashes (``draw`` is null).
+    """
+    n, seed = options.sample_size, options.seed
+    spans = cut_lineage(lists.withColumn("lo", F.sum("df").over(
+        Window.partitionBy("case_id").orderBy("item_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("df")))
+    waiting = spans.groupBy("case_id").agg(F.sum("df").alias("_total"))
+    places = index.postings.select("item_id", "number", "session_id")
+    found, start, size = None, 0, 2 * n
+    while True:
+        drawn = drawn_places(waiting, spans, "case_id", "_total", "df", seed, start, start + size)
+        hits = (drawn.withColumn("number", F.col("place") + 1).join(places, ["item_id", "number"])
+                .groupBy("case_id", "session_id", F.col("item_id").alias("_by"), "df").agg(F.min("draw").alias("draw")))
+        new = overlaps(hits.select("case_id", "session_id", "_by", F.col("df").alias("_df"), "draw"), scored, index, "_by", "_df", "draw")
+        new = new.where(F.col("best") == _item_rank("_df", "_by")).drop("_by", "_df")
+        if found is not None:
+            new = found.unionByName(new.join(found.select("case_id", "session_id"), ["case_id", "session_id"], "left_anti"))
+        found, start, size = cut_lineage(new), start + size, 2 * size
+        enough = found.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+        waiting = cut_lineage(waiting.join(enough, "case_id", "left_anti"))
+        if waiting.isEmpty():
+            return found
+        exhausted = waiting.where(F.col("_total") <= start).select("case_id")
+        if not exhausted.isEmpty():
+            rest = (lists.join(exhausted, "case_id", "left_semi").select("case_id", "item_id")
+                    .join(places.drop("number"), "item_id").select("case_id", "session_id").distinct()
+                    .join(found.select("case_id", "session_id"), ["case_id", "session_id"], "left_anti"))
+            found = cut_lineage(found.unionByName(overlaps(rest, scored, index).withColumn("draw", F.lit(None).cast("long"))))
+            waiting = cut_lineage(waiting.where(F.col("_total") > start))
+            if waiting.isEmpty():
+                return found
+
+
+def _idf_pairs(scored: DataFrame, index: NeighbourIndex, options: NeighbourOptions) -> DataFrame:
+    hot = index.items.where(F.col("df") > options.hot_df).select("item_id")
+    weights = index.postings.drop("number")
     if hot.isEmpty():
-        pairs = _rounded_idf_sum(_pair_aggregates(scored.join(weights, "item_id")))
-        return top_n(pairs, ["case_id"], _sample_order(options), options.sample_size,
-                     name="sample_rank")
-    # At most rows / hot_df items are hot, which bounds the broadcast.
-    hot = F.broadcast(hot)
+        pairs = _pair_aggregates(scored.join(weights, "item_id"))
+        return top_n(pairs, ["case_id"], _sample_order(options), options.sample_size, name="sample_rank")
     light = scored.join(hot, "item_id", "left_anti")
     hot_prompts = scored.join(hot, "item_id", "left_semi")
     hot_weights = weights.join(hot, "item_id", "left_semi")
-    pairs = _pair_aggregates(light.join(weights, "item_id"))
-    pairs = pairs.withColumn("rest", F.lit(0.0))
-    if options.sampling == "idf":
-        extra = _hot_idf_pairs(hot_prompts, hot_weights, options)
-    else:
-        lists = top_n(hot_weights, ["item_id"], _item_order(options), options.sample_size)
-        extra = _pair_aggregates(hot_prompts.join(lists, "item_id"))
-        # Overlap sums of hot items are completed after sampling.
-        extra = extra.withColumns({c: F.lit(0).cast(t) for c, t in (
-            ("both", "long"), ("dot", "double"), ("idf_sum", "double"), ("last_pos", "long"))})
-        extra = extra.withColumn("rest", F.lit(0.0))
-    merged = pairs.unionByName(extra).groupBy("case_id", "session_id").agg(
+    pairs = _pair_aggregates(light.join(weights, "item_id")).withColumn("rest", F.lit(0.0))
+    merged = pairs.unionByName(_hot_idf_pairs(hot_prompts, hot_weights, options)).groupBy("case_id", "session_id").agg(
         *[F.sum(c).alias(c) for c in _PAIR_SUMS], F.max("last_pos").alias("last_pos"),
         F.min("best").alias("best"), F.max("rest").alias("rest"),
         *[F.max(c).alias(c) for c in ("n", "p_norm", "s_norm", "s_size", "s_end")])
-    if options.sampling == "idf":
-        merged = _complete_idf(merged, hot_prompts, hot_weights)
-    sampled = top_n(merged.withColumn("_light_idf", F.col("idf_sum")).withColumn(
-        "idf_sum", F.round(F.col("idf_sum") + F.col("rest"), 9)),
-        ["case_id"], _sample_order(options), options.sample_size, name="sample_rank")
-    return _add_hot(sampled, hot_prompts, hot_weights)
-
-
-def _add_hot(sampled, hot_prompts, hot_weights):
-    """Add what hot items contribute to pairs that are in the sample already."""
-    keys = sampled.select("case_id", "session_id")
-    rows = (keys.join(hot_prompts.select("case_id", "item_id", "pos", "pw", "idf"), "case_id")
-            .join(hot_weights.select("session_id", "item_id", "w"), ["session_id", "item_id"]))
-    more = rows.groupBy("case_id", "session_id").agg(
-        F.count(F.lit(1)).alias("h_both"), F.sum(F.col("pw") * F.col("w")).alias("h_dot"),
-        F.sum("idf").alias("h_idf"), F.max("pos").alias("h_pos"))
-    joined = sampled.join(more, ["case_id", "session_id"], "left")
-    zero = F.lit(0)
-    return joined.withColumns({
-        "both": F.col("both") + F.coalesce("h_both", zero),
-        "dot": F.col("dot") + F.coalesce("h_dot", F.lit(0.0)),
-        "idf_sum": F.round(F.col("_light_idf") + F.coalesce("h_idf", F.lit(0.0)), 9),
-        "last_pos": F.greatest("last_pos", F.coalesce("h_pos", zero)),
-    }).drop("h_both", "h_dot", "h_idf", "h_pos", "rest", "_light_idf")
+    merged = _complete_idf(merged, hot_prompts, hot_weights)
+    sampled = top_n(merged.withColumn("idf_sum", F.round(F.col("idf_sum") + F.col("rest"), 9)),
+                    ["case_id"], _sample_order(options), options.sample_size, name="sample_rank")
+    return overlaps(sampled.select("case_id", "session_id", "sample_rank"), scored, index, "sample_rank")
 
 
 def _signatures(rows: DataFrame, key: str) -> DataFrame:
@@ -296,16 +316,11 @@ def item_similarity(pairs: DataFrame, name: str, n_items) -> DataFrame:
     return pairs.withColumn("sim", F.round(value, 9))
 
 
-def vector_similarity(pairs: DataFrame, prompt_vecs: DataFrame, session_vecs: DataFrame,
-                      name: str, concat: bool = False) -> DataFrame:
-    """Adds ``sim`` from session vectors; ``concat`` compares the trailing values."""
+def vector_similarity(pairs: DataFrame, prompt_vecs: DataFrame, session_vecs: DataFrame, name: str) -> DataFrame:
+    """Adds ``sim`` from one vector a prompt and one a session."""
     joined = (pairs.join(prompt_vecs.select("case_id", F.col("vector").alias("_x")), "case_id")
               .join(session_vecs.select("session_id", F.col("vector").alias("_y")), "session_id"))
-    x, y = F.col("_x"), F.col("_y")
-    if concat:
-        shared = F.least(F.size("_x"), F.size("_y"))
-        x, y = tail(x, shared), tail(y, shared)
-    value = dot(x, y) if name == "dot" else cosine(x, y)
+    value = dot(F.col("_x"), F.col("_y")) if name == "dot" else cosine(F.col("_x"), F.col("_y"))
     return joined.withColumn("sim", F.round(value, 9)).drop("_x", "_y")
 
 
@@ -346,30 +361,30 @@ def following_only(candidates: DataFrame, prompt_items: DataFrame,
         edges, ["_last", "item_id"], "left_semi").drop("_last")
 
 
-def recommend_neighbours(prompts: DataFrame, train: DataFrame, k: int,
+def recommend_neighbours(prompts: DataFrame, train: DataFrame | NeighbourIndex, k: int,
                          options: NeighbourOptions = NeighbourOptions(),
                          items: DataFrame | None = None, model: str | None = None,
                          allowed: DataFrame | None = None) -> DataFrame:
     """``model, case_id, rank, item_id, score`` for all prompts in one job.
 
-    ``allowed`` (``item_id``) restricts the items that may be shown, before they are ranked.
+    ``train`` is a fitted index, or a log from which one is built for this call. ``allowed`` (``item_id``)
+    restricts the items that may be shown, before they are ranked.
     """
-    cells = session_item_weights(train)
-    weights, idf = described_weights(train), inverse_frequency(cells)
+    index = train if isinstance(train, NeighbourIndex) else NeighbourIndex.of(train)
     prompt_items = prompt_vectors(
-        normalised_prompts(prompts, train, options.last_n_items), options.decay)
-    pairs = sampled_pairs(prompt_items, weights, idf, options)
-    if options.use_item_embeddings:
-        pairs = vector_similarity(
-            pairs, *embedding_lookups(prompt_items, train, items, options), options.similarity,
-            options.prompt_strategy == "concat")
+        normalised_prompts(prompts, index.items, options.last_n_items), options.decay)
+    pairs = sampled_pairs(prompt_items, index, options)
+    if options.use_item_embeddings and options.prompt_strategy == "concat":
+        pairs = trailing_similarity(pairs, prompt_items, index, items, options)
+    elif options.use_item_embeddings:
+        pairs = vector_similarity(pairs, *embedding_lookups(prompt_items, index, items, options), options.similarity)
     else:
-        n_items = idf.agg(F.count(F.lit(1))).scalar()
+        n_items = index.items.agg(F.count(F.lit(1))).scalar()
         pairs = item_similarity(pairs, options.similarity, n_items)
     close = nearest_sessions(pairs, options.k)
-    scores = scored_candidates(close, cells, prompt_items, idf, options)
+    scores = scored_candidates(close, index.cells, prompt_items, index.items, options)
     if options.sequential_filter:
-        scores = following_only(scores, prompt_items, successors(train))
+        scores = following_only(scores, prompt_items, index.follow)
     if allowed is not None:
         scores = scores.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
     scores = scores.withColumn("score", F.round("score", 9))
@@ -378,23 +393,41 @@ def recommend_neighbours(prompts: DataFrame, train: DataFrame, k: int,
                        "item_id", "score")
 
 
-def embedding_lookups(prompt_items: DataFrame, train: DataFrame, items: DataFrame,
+def embedding_lookups(prompt_items: DataFrame, index: NeighbourIndex, items: DataFrame,
                       options: NeighbourOptions) -> tuple[DataFrame, DataFrame]:
     """Vectors of the prompts and of the training sessions, each with its own decay."""
     rows = prompt_items.select("case_id", "pos", "n", "item_id")
     ours = session_vectors(rows, items, options.prompt_strategy, options.decay,
                            floor=NEIGHBOUR_FLOOR)
-    longest = None
-    if options.train_strategy == "concat":
-        # Values beyond the longest prompt are never compared.
-        longest = rows.agg(F.max("n")).first()[0]
-    theirs = session_vectors(train.select("session_id", "pos", "item_id"), items,
+    theirs = session_vectors(index.sequence.select("session_id", "pos", "item_id"), items,
                              options.train_strategy, options.train_decay, key="session_id",
-                             floor=NEIGHBOUR_FLOOR, max_items=longest)
+                             floor=NEIGHBOUR_FLOOR)
     return ours, theirs
 
 
-def recommend_one(prompt: DataFrame | list[int], train: DataFrame, k: int = 20,
+def trailing_similarity(pairs: DataFrame, prompt_items: DataFrame, index: NeighbourIndex, items: DataFrame,
+                        options: NeighbourOptions) -> DataFrame:
+    """Adds ``sim`` of the item vectors laid end to end, compared from the last one backwards over the shorter side.
+
+    Places from the end are joined, so nothing is gathered: a pair has one row for each place both sides have.
+    """
+    vectors = items.select("item_id", "embedding")
+
+    def side(rows: DataFrame, key: str, decay: str | None, name: str) -> DataFrame:
+        weight = decay_weight(decay, F.col("pos"), F.col("n"), NEIGHBOUR_FLOOR)
+        return (rows.join(vectors, "item_id")
+                .select(key, (F.col("n") - F.col("pos")).alias("_back"), F.transform("embedding", lambda v: v * weight).alias(name)))
+
+    ours = side(prompt_items, "case_id", options.decay, "_x")
+    theirs = side(index.sequence, "session_id", options.train_decay, "_y")
+    met = pairs.select("case_id", "session_id").join(ours, "case_id").join(theirs, ["session_id", "_back"])
+    sums = met.groupBy("case_id", "session_id").agg(*[F.sum(dot(F.col(a), F.col(b))).alias(c) for a, b, c in (
+        ("_x", "_y", "_xy"), ("_x", "_x", "_xx"), ("_y", "_y", "_yy"))])
+    value = F.col("_xy") if options.similarity == "dot" else F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))
+    return pairs.join(sums, ["case_id", "session_id"]).withColumn("sim", F.round(value, 9)).drop("_xy", "_xx", "_yy")
+
+
+def recommend_one(prompt: DataFrame | list[int], train: DataFrame | NeighbourIndex, k: int = 20,
                   options: NeighbourOptions = NeighbourOptions(), items: DataFrame | None = None,
                   allowed: DataFrame | None = None) -> DataFrame:
     """Slate of a single prompt; ``allowed`` restricts the items that may be shown.
@@ -405,6 +438,7 @@ def recommend_one(prompt: DataFrame | list[int], train: DataFrame, k: int = 20,
     if isinstance(prompt, DataFrame):
         rows = prompt.select("case_id", "pos", "item_id")
     else:
-        rows = train.sparkSession.createDataFrame([(0, i + 1, int(x)) for i, x in enumerate(prompt)],
-                                                  "case_id long, pos long, item_id long")
+        spark = (train.items if isinstance(train, NeighbourIndex) else train).sparkSession
+        rows = spark.createDataFrame([(0, i + 1, int(x)) for i, x in enumerate(prompt)],
+                                     "case_id long, pos long, item_id long")
     return recommend_neighbours(rows, train, k, options, items, allowed=allowed)

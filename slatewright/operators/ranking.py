@@ -58,6 +58,23 @@ def rank_overall(df: DataFrame, order: Sequence[Column], name: str = "pos") -> D
             .withColumn(name, (F.col("_shift") + own).cast("long")).drop("_part", "_mark", "_shift"))
 
 
+def running_total(df: DataFrame, order: Sequence[Column], weight: str, name: str = "before") -> DataFrame:
+    """The sum of ``weight`` over all rows before each row under ``order``, over the whole table.
+
+    As :func:`rank_overall`: a range shuffle sorts, each partition adds up its own rows, and the only one-task step
+    adds up one number per partition. ``order`` must not leave ties.
+    """
+    marked = cut_lineage(df.orderBy(*order).withColumn("_mark", F.monotonically_increasing_id())
+                         .withColumn("_part", F.spark_partition_id()))
+    sizes = marked.groupBy("_part").agg(F.sum(weight).alias("_sum"))
+    shifts = sizes.select("_part", F.coalesce(F.sum("_sum").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    own = F.coalesce(F.sum(weight).over(
+        Window.partitionBy("_part").orderBy("_mark").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("_own", own).join(shifts, "_part").withColumn(name, F.col("_shift") + F.col("_own")).drop(
+        "_mark", "_part", "_own", "_shift")
+
+
 def rank_within(df: DataFrame, key: Sequence[str], order: Sequence[Column], name: str = "pos",
                 hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """1-based position of every row inside its key under ``order``.

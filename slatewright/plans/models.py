@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewright.operators import cases, splitting
 from slatewright.operators import evaluation as E
 from slatewright.operators.embedding import SimilarityOptions, recommend_similar
 from slatewright.operators.hybrids import diversity_filter, rank_ensemble
+from slatewright.operators.index import NeighbourIndex
 from slatewright.operators.neighbours import NeighbourOptions, recommend_neighbours
 from slatewright.operators.popularity import item_counts, recommend_popular
 from slatewright.operators.reduction import reduce_embeddings
 from slatewright.plans.prepared import Dataset
+from slatewright.session import ensure_checkpoint_dir
 
 
 class Recommender(Protocol):
@@ -44,16 +47,24 @@ class Popular:
 
 @dataclass(frozen=True)
 class Neighbours:
+    """Session neighbours over a stored index; ``path`` says where it is kept, by default the shared folder."""
+
     options: NeighbourOptions = NeighbourOptions()
     name: str | None = None
-    train: DataFrame | None = field(default=None, repr=False)
+    path: str | None = None
+    index: NeighbourIndex | None = field(default=None, repr=False)
     items: DataFrame | None = field(default=None, repr=False)
 
     def fit(self, train, items=None):
-        return replace(self, train=train, items=items)
+        path = self.path or f"{ensure_checkpoint_dir(train.sparkSession)}/neighbours/{uuid.uuid4().hex}"
+        return replace(self, path=path, index=NeighbourIndex.fit(train, path), items=items)
+
+    def load(self, spark: SparkSession, items=None):
+        """The model whose index was stored below ``path`` before."""
+        return replace(self, index=NeighbourIndex.load(spark, self.path), items=items)
 
     def recommend(self, prompts, k):
-        return recommend_neighbours(prompts, self.train, k, self.options, self.items, self.name)
+        return recommend_neighbours(prompts, self.index, k, self.options, self.items, self.name)
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from slatewright.plans import workload
 from slatewright.plans.prepared import dataset
 from slatewright.plans.registry.common import sql
 from slatewright.plans.registry.evaluating import rounded
+from slatewright.session import ensure_checkpoint_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -20,13 +22,22 @@ SQL: dict[str, str] = {}
 SMALL = N.NeighbourOptions(k=20, sample_size=50)
 
 
+_fitted: dict[tuple, N.NeighbourIndex] = {}
+
+
+def fitted(spark, sf_dir, on_vectors=False) -> N.NeighbourIndex:
+    """The index of the training log, fitted once per application and read from its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, on_vectors)
+    if key not in _fitted:
+        path = f"{ensure_checkpoint_dir(spark)}/prepared/{key[0]}/neighbours-{uuid.uuid4().hex}"
+        _fitted[key] = N.NeighbourIndex.fit(dataset(spark, sf_dir, on_vectors).train, path)
+    return _fitted[key]
+
+
 def _inputs(spark, sf_dir, options, on_vectors=False):
-    data = dataset(spark, sf_dir, on_vectors)
-    weights = N.described_weights(data.train)
-    idf = N.inverse_frequency(N.session_item_weights(data.train))
-    prompt_items = N.prompt_vectors(
-        N.normalised_prompts(data.prompts, data.train, options.last_n_items), options.decay)
-    return data, weights, idf, prompt_items
+    index = fitted(spark, sf_dir, on_vectors)
+    prompts = dataset(spark, sf_dir, on_vectors).prompts
+    return index, N.prompt_vectors(N.normalised_prompts(prompts, index.items, options.last_n_items), options.decay)
 
 
 # --- SQL template -----------------------------------------------------------------------
@@ -61,13 +72,37 @@ MEASURE_SQL = {
 }
 
 ORDER_SQL = {
-    "random": "md5('42:' || session_id), session_id",
+    "random": "draw NULLS LAST, md5('42:' || case_id || ':' || session_id), session_id",
     "recent": "s_end DESC, session_id DESC",
     "idf": "idf_sum DESC, session_id",
-    "idf_greedy": "best, best_item, md5('42:' || session_id), session_id",
+    "idf_greedy": "best, best_item, draw NULLS LAST, md5('42:' || case_id || ':' || session_id), session_id",
 }
 
 
+def draws(o: N.NeighbourOptions) -> str:
+    """CTE ``drawn`` (case_id, session_id, draw) of the cases whose lists are drawn from."""
+    n, at_most = o.sample_size, o.draw_factor * o.sample_size
+    listed = "SELECT case_id, item_id, df FROM nprompt JOIN idf USING (item_id)"
+    spans = {
+        "random": f"""SELECT case_id, item_id, df, sum(df) OVER (PARTITION BY case_id ORDER BY item_id) - df AS lo,
+               sum(df) OVER (PARTITION BY case_id) AS total FROM ({listed}) QUALIFY total > {at_most}""",
+        "idf_greedy": f"""SELECT case_id, item_id, df, 0 AS lo, df AS total FROM ({listed}) WHERE df > {at_most}
+               QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY df, item_id) = 1""",
+    }.get(o.sampling)
+    if spans is None:
+        return "drawn AS (SELECT NULL::BIGINT AS case_id, NULL::BIGINT AS session_id, NULL::BIGINT AS draw WHERE false)"
+    return f"""spans AS ({spans}),
+  lists AS (SELECT item_id, session_id, row_number() OVER (PARTITION BY item_id ORDER BY s_end DESC, session_id DESC) AS number
+            FROM cells JOIN send USING (session_id)),
+  points AS (SELECT case_id, j, floor(('0x' || substr(md5('42:' || case_id || ':' || j), 1, 13))::BIGINT
+                                      / 4503599627370496.0::DOUBLE * total)::BIGINT AS x
+             FROM (SELECT case_id, total, unnest(range(0, ({2 * n} * (2 ** ceil(log2(total / {2.0 * n} + 1)) - 1))::BIGINT)) AS j
+                   FROM (SELECT DISTINCT case_id, total FROM spans))),
+  drawn AS (SELECT case_id, session_id, min(j) AS draw
+            FROM points JOIN spans USING (case_id) JOIN lists ON lists.item_id = spans.item_id AND number = x - lo + 1
+            JOIN pairs USING (case_id, session_id) WHERE x >= lo AND x < lo + df AND bst.i = spans.item_id GROUP BY 1, 2)"""
+
+
 def chain(o: N.NeighbourOptions, train="train", prompts="prompts") -> str:
     """CTEs up to ``recs`` for the item-overlap variants."""
     last = "" if o.last_n_items is None else (
@@ -103,9 +138,11 @@ def chain(o: N.NeighbourOptions, train="train", prompts="prompts") -> str:
     SELECT case_id, session_id, count(*) AS n_both, sum(pw * w) AS dot, round(sum(idf), 9) AS idf_sum,
            max(pos) AS last_pos, min(struct_pack(c := round(-idf, 9), i := item_id)) AS bst
     FROM pvec JOIN cells USING (item_id) JOIN idf USING (item_id) GROUP BY 1, 2),
+  {draws(o)},
   described AS (
-    SELECT pairs.*, bst.c AS best, bst.i AS best_item, n, p_norm, last_item, s_norm, s_size, s_end
-    FROM pairs JOIN pnorm USING (case_id) JOIN sess USING (session_id) JOIN send USING (session_id)),
+    SELECT pairs.*, bst.c AS best, bst.i AS best_item, n, p_norm, last_item, s_norm, s_size, s_end, draw
+    FROM pairs JOIN pnorm USING (case_id) JOIN sess USING (session_id) JOIN send USING (session_id)
+    LEFT JOIN drawn USING (case_id, session_id)),
   sampled AS (SELECT * FROM (
       SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {ORDER_SQL[o.sampling]}) AS sample_rank
       FROM described) WHERE sample_rank <= {o.sample_size}),
@@ -139,8 +176,7 @@ SQL["session_item_weights_k1"] = template(SMALL, "SELECT session_id, item_id, w
 
 
 def normalised_query(spark, sf_dir):
-    data = dataset(spark, sf_dir)
-    return N.normalised_prompts(data.prompts, data.train, 12)
+    return N.normalised_prompts(dataset(spark, sf_dir).prompts, fitted(spark, sf_dir).items, 12)
 
 
 QUERIES["normalised_prompts_k2"] = normalised_query
@@ -149,8 +185,8 @@ SQL["normalised_prompts_k2"] = template(
 
 
 def candidates_query(spark, sf_dir):
-    _, weights, _, prompt_items = _inputs(spark, sf_dir, SMALL)
-    pairs = prompt_items.join(weights, "item_id").groupBy("case_id", "session_id").agg(
+    index, prompt_items = _inputs(spark, sf_dir, SMALL)
+    pairs = prompt_items.join(index.postings, "item_id").groupBy("case_id", "session_id").agg(
         F.count(F.lit(1)).alias("n_both"))
     return pairs.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_sessions"),
                                         F.sum("n_both").alias("n_shared"))
@@ -163,8 +199,8 @@ SQL["candidate_sessions_k3"] = template(
 
 def _sample(options):
     def run(spark, sf_dir):
-        _, weights, idf, prompt_items = _inputs(spark, sf_dir, options)
-        return N.sampled_pairs(prompt_items, weights, idf, options).select(
+        index, prompt_items = _inputs(spark, sf_dir, options)
+        return N.sampled_pairs(prompt_items, index, options).select(
             "case_id", "sample_rank", "session_id")
     return run
 
@@ -176,10 +212,9 @@ for _name, _sampling in (("random_k4", "random"), ("recent_k5", "recent"), ("idf
     SQL[f"neighbour_sample_{_name}"] = template(
         _o, "SELECT case_id, sample_rank, session_id FROM sampled")
 
-# The dispatch by name with items above a low frequency bound treated as hot: the result
-# must be that of the full join.
+# The dispatch by name with low bounds, so that lists are drawn from or cut, and items are hot.
 for _sampling in N.SAMPLINGS:
-    _o = replace(SMALL, sampling=_sampling, hot_df=40)
+    _o = replace(SMALL, sampling=_sampling, hot_df=40, sample_size=20, draw_factor=1)
     QUERIES[f"neighbour_sample_hot_{_sampling}_k8"] = _sample(_o)
     SQL[f"neighbour_sample_hot_{_sampling}_k8"] = template(
         _o, "SELECT case_id, sample_rank, session_id FROM sampled")
@@ -196,8 +231,7 @@ DECAYS = ("constant_linear", "log", "harmonic", "harmonic_squared")
 
 
 def decay_query(spark, sf_dir):
-    data = dataset(spark, sf_dir)
-    rows = N.normalised_prompts(data.prompts, data.train)
+    rows = N.normalised_prompts(dataset(spark, sf_dir).prompts, fitted(spark, sf_dir).items)
     return rows.select("case_id", "pos", *[
         F.round(decay_weight(d, F.col("pos"), F.col("n"), N.NEIGHBOUR_FLOOR), 6).alias(d)
         for d in DECAYS])
@@ -209,7 +243,7 @@ SQL["position_decays_k10"] = template(SMALL, "SELECT case_id, pos, " + ", ".join
 
 
 def prompt_vector_query(spark, sf_dir):
-    prompt_items = _inputs(spark, sf_dir, replace(SMALL, decay="linear"))[3]
+    prompt_items = _inputs(spark, sf_dir, replace(SMALL, decay="linear"))[1]
     return rounded(prompt_items.select("case_id", "item_id", "pw", "p_norm"), "pw", "p_norm")
 
 
@@ -223,8 +257,8 @@ SIM = replace(SMALL, decay="harmonic")
 
 
 def similarity_query(spark, sf_dir):
-    _, weights, idf, prompt_items = _inputs(spark, sf_dir, SIM)
-    pairs = N.sampled_pairs(prompt_items, weights, idf, SIM)
+    index, prompt_items = _inputs(spark, sf_dir, SIM)
+    pairs = N.sampled_pairs(prompt_items, index, SIM)
     cosine = N.item_similarity(pairs, "cosine", None).select(
         "case_id", "session_id", "dot", F.col("sim").alias("cosine"))
     return rounded(cosine, "dot")
@@ -236,9 +270,9 @@ SQL["overlap_similarity_k12"] = template(
 
 
 def measures_query(spark, sf_dir):
-    _, weights, idf, prompt_items = _inputs(spark, sf_dir, SMALL)
-    n_items = idf.agg(F.count(F.lit(1))).scalar()
-    pairs = N.sampled_pairs(prompt_items, weights, idf, SMALL)
+    index, prompt_items = _inputs(spark, sf_dir, SMALL)
+    n_items = index.items.agg(F.count(F.lit(1))).scalar()
+    pairs = N.sampled_pairs(prompt_items, index, SMALL)
     return pairs.select("case_id", "session_id", *[
         F.round(measure(m, F.col("both"), F.col("s_size"), F.col("n"), n_items), 6).alias(m)
         for m in MEASURES])
@@ -250,8 +284,8 @@ SQL["set_similarities_k13_m1_m11"] = template(SMALL, "SELECT case_id, session_id
 
 
 def nearest_query(spark, sf_dir):
-    _, weights, idf, prompt_items = _inputs(spark, sf_dir, SIM)
-    pairs = N.item_similarity(N.sampled_pairs(prompt_items, weights, idf, SIM), "cosine", None)
+    index, prompt_items = _inputs(spark, sf_dir, SIM)
+    pairs = N.item_similarity(N.sampled_pairs(prompt_items, index, SIM), "cosine", None)
     close = N.sequential_weight(N.nearest_sessions(pairs, SIM.k))
     return rounded(close.select("case_id", "sim_rank", "session_id", "sim", "seq"), "seq")
 
@@ -263,10 +297,10 @@ SQL["nearest_sessions_k14_k16"] = template(
 
 
 def candidate_items_query(spark, sf_dir):
-    _, weights, idf, prompt_items = _inputs(spark, sf_dir, SIM)
-    pairs = N.item_similarity(N.sampled_pairs(prompt_items, weights, idf, SIM), "cosine", None)
+    index, prompt_items = _inputs(spark, sf_dir, SIM)
+    pairs = N.item_similarity(N.sampled_pairs(prompt_items, index, SIM), "cosine", None)
     close = N.nearest_sessions(pairs, SIM.k)
-    return N.scored_candidates(close, weights, prompt_items, idf, SIM).groupBy("case_id").agg(
+    return N.scored_candidates(close, index.cells, prompt_items, index.items, SIM).groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         # summed as decimals, so that the order of summing does not matter
         F.round(F.sum(F.round("score", 12).cast("decimal(28,12)")), 6).cast("double").alias("total"))
@@ -303,8 +337,7 @@ VARIANTS = {
 def _recommend(options):
     def run(spark, sf_dir):
         data = dataset(spark, sf_dir)
-        recs = N.recommend_neighbours(data.prompts, data.train, 20, options)
-        return recs
+        return N.recommend_neighbours(data.prompts, fitted(spark, sf_dir), 20, options)
     return run
 
 
@@ -318,11 +351,10 @@ for _name, _o in VARIANTS.items():
 
 
 def sequential_filter_query(spark, sf_dir):
-    _, weights, idf, prompt_items = _inputs(spark, sf_dir, SIM)
-    data = dataset(spark, sf_dir)
-    pairs = N.item_similarity(N.sampled_pairs(prompt_items, weights, idf, SIM), "cosine", None)
-    scores = N.scored_candidates(N.nearest_sessions(pairs, SIM.k), weights, prompt_items, idf, SIM)
-    return N.following_only(scores, prompt_items, N.successors(data.train)).select(
+    index, prompt_items = _inputs(spark, sf_dir, SIM)
+    pairs = N.item_similarity(N.sampled_pairs(prompt_items, index, SIM), "cosine", None)
+    scores = N.scored_candidates(N.nearest_sessions(pairs, SIM.k), index.cells, prompt_items, index.items, SIM)
+    return N.following_only(scores, prompt_items, index.follow).select(
         "case_id", "item_id")
 
 
@@ -336,7 +368,7 @@ def single_prompt_query(spark, sf_dir):
     data = dataset(spark, sf_dir)
     longest = data.prompts.orderBy(F.desc("pos"), "case_id").select("case_id").limit(1)
     prompt = data.prompts.join(F.broadcast(longest), "case_id")  # one row
-    return N.recommend_one(prompt, data.train, 20).drop("model", "case_id")
+    return N.recommend_one(prompt, fitted(spark, sf_dir), 20).drop("model", "case_id")
 
 
 QUERIES["recommend_one_prompt_k24"] = single_prompt_query
@@ -349,9 +381,9 @@ SQL["recommend_one_prompt_k24"] = template(
 
 def masked_query(spark, sf_dir):
     """All prompts, with every third item allowed to be shown."""
-    data = dataset(spark, sf_dir)
-    allowed = data.train.where("item_id % 3 = 0").select("item_id")
-    return N.recommend_neighbours(data.prompts, data.train, 10, N.NeighbourOptions(), allowed=allowed).drop("model")
+    index = fitted(spark, sf_dir)
+    allowed = index.items.where("item_id % 3 = 0").select("item_id")
+    return N.recommend_neighbours(dataset(spark, sf_dir).prompts, index, 10, N.NeighbourOptions(), allowed=allowed).drop("model")
 
 
 QUERIES["recommend_masked_k24"] = masked_query
@@ -366,16 +398,14 @@ EMB = N.NeighbourOptions(use_item_embeddings=True, prompt_strategy="mean", train
                          decay="harmonic", sample_size=200, k=50)
 EMB_LAST = replace(EMB, prompt_strategy="last", train_strategy="last", decay=None,
                    similarity="dot")
-EMB_CONCAT = replace(EMB, prompt_strategy="concat", train_strategy="concat", sample_size=40, k=20,
-                     last_n_items=8)
+EMB_CONCAT = replace(EMB, prompt_strategy="concat", train_strategy="concat", sample_size=40, k=20)
 
 
 def _recommend_vectors(options):
     def run(spark, sf_dir):
         data = dataset(spark, sf_dir, on_vectors=True)
-        recs = N.recommend_neighbours(data.prompts, data.train, 20, options,
+        return N.recommend_neighbours(data.prompts, fitted(spark, sf_dir, on_vectors=True), 20, options,
                                       workload.vectors(spark, sf_dir))
-        return recs
     return run
 
 
