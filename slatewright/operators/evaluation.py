@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewright.operators.draws import negative_samples
+from slatewright.operators.metrics import Metric, check, measured
 from slatewright.operators.popularity import popular_array
 from slatewright.operators.ranking import rank_overall
 
@@ -34,10 +35,16 @@ def metric_group(name: str) -> tuple[str, ...]:
     return GROUPS[name]
 
 
-def check_inputs(metrics: Sequence[str], item_counts=None, n_items=None) -> None:
+def check_inputs(metrics: Sequence[str | Metric], item_counts=None, n_items=None) -> None:
     """Every metric's required input must be there."""
     given = {"item_counts": item_counts is not None, "n_items": n_items is not None}
+    names = [m.name if isinstance(m, Metric) else m for m in metrics]
+    if len(set(names)) < len(names):
+        raise ValueError(f"metrics share a name: {names}")
     for name in metrics:
+        if isinstance(name, Metric):
+            check(name, given)
+            continue
         if name not in ALL_METRICS:
             raise ValueError(f"unknown metric {name!r}")
         for need in NEEDS.get(name, ()):
@@ -151,14 +158,23 @@ def catalog_coverage(recs: DataFrame, truths: DataFrame, top_ks: Sequence[int],
 
 
 def evaluate(recs: DataFrame, truths: DataFrame, top_ks: Sequence[int] = (10, 20),
-             metrics: Sequence[str] = DEFAULT_METRICS, keys: Sequence[str] = ("model",),
+             metrics: Sequence[str | Metric] = DEFAULT_METRICS, keys: Sequence[str] = ("model",),
              cases: DataFrame | None = None, item_counts: DataFrame | None = None,
              n_items: Column | int | None = None, prefix: str = "") -> DataFrame:
-    """``keys, top_k, metric, value``: means over cases, plus catalogue coverage."""
+    """``keys, top_k, metric, value``: means over cases, catalogue coverage, and metrics of one's own (:class:`Metric`)."""
     keys = list(keys)
     check_inputs(metrics, item_counts, n_items)
+    own = [m for m in metrics if isinstance(m, Metric)]
+    metrics = [m for m in metrics if not isinstance(m, Metric)]
     means = [m for m in metrics if m != "Catalog coverage"]
     parts = []
+    if own:
+        slates = aligned_slates(recs, truths, top_ks, keys, cases).withColumn("hits", hit_positions(F.col("slate"), F.col("truth")))
+        if isinstance(n_items, Column):
+            n_items_here = recs.sparkSession.range(1).select(n_items.alias("n")).first()[0]
+        else:
+            n_items_here = n_items
+        parts.append(measured(slates, keys, own, item_counts, n_items_here).withColumn("metric", F.concat(F.lit(prefix), "metric")))
     if means:
         cases_table = per_case(recs, truths, top_ks, means, keys, cases, item_counts)
         wide = cases_table.groupBy(*keys, "top_k").agg(*[F.avg(m).alias(m) for m in means])

@@ -15,6 +15,7 @@ from slatewright.operators import evaluation as E
 from slatewright.operators.embedding import SimilarityOptions, recommend_similar
 from slatewright.operators.hybrids import diversity_filter, rank_ensemble
 from slatewright.operators.index import NeighbourIndex
+from slatewright.operators.metrics import Metric
 from slatewright.operators.neighbours import NeighbourOptions, recommend_neighbours
 from slatewright.operators.popularity import item_counts, recommend_popular
 from slatewright.operators.reduction import reduce_embeddings
@@ -89,7 +90,7 @@ class Similar:
 
 
 def run_models(models: Sequence[Recommender], data: Dataset, top_ks: Sequence[int] = (10, 20),
-               metrics: Sequence[str] = E.DEFAULT_METRICS) -> DataFrame:
+               metrics: Sequence[str | Metric] = E.DEFAULT_METRICS) -> DataFrame:
     """Fit, recommend and evaluate several models on one split: one report table."""
     recs = None
     for model in models:
@@ -101,7 +102,7 @@ def run_models(models: Sequence[Recommender], data: Dataset, top_ks: Sequence[in
 
 
 def run_folds(models: Sequence[Recommender], data: Dataset, folds: DataFrame,
-              top_ks: Sequence[int] = (10, 20), metrics: Sequence[str] = E.DEFAULT_METRICS,
+              top_ks: Sequence[int] = (10, 20), metrics: Sequence[str | Metric] = E.DEFAULT_METRICS,
               n_withheld: int = 1) -> tuple[DataFrame, DataFrame]:
     """(reports with ``fold``, their means) over ``folds`` (``session_id, fold, role``).
 

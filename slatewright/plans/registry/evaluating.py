@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slatewright.operators import cases, splitting
 from slatewright.operators import evaluation as E
 from slatewright.operators import popularity as P
+from slatewright.operators.metrics import Metric
 from slatewright.operators.ranking import top_n
 from slatewright.plans.prepared import dataset
 from slatewright.plans.registry.common import metrics_sql, sql
@@ -262,6 +263,60 @@ add("hit_rate_by_length_a11", by_length, with_recs("""
   FROM case_values JOIN (SELECT case_id, count(*) AS length FROM prompts GROUP BY 1) USING (case_id)
   WHERE top_k = 20 AND length <= 40 GROUP BY 1, 2, 3"""), *NEED)
 
+class MedianRank(Metric):
+    """Median place of the first hit, over the cases that have one; a state counts places, so it has k numbers at most."""
+
+    name = "median rank"
+
+    def case(self, case):
+        return min(case.hits) if case.hits else None
+
+    def start(self):
+        return {}
+
+    def update(self, state, value):
+        return state if value is None else {**state, value: state.get(value, 0) + 1}
+
+    def merge(self, state, other):
+        return {v: state.get(v, 0) + other.get(v, 0) for v in {*state, *other}}
+
+    def finalise(self, state):
+        n, seen = sum(state.values()), 0
+        for value in sorted(state):
+            seen += state[value]
+            if 2 * seen >= n:
+                return value
+        return None
+
+
+class Familiarity(Metric):
+    """Mean share of all training clicks that a slate's items have."""
+
+    name, needs = "familiarity", ("item_counts", "n_items")
+
+    def case(self, case):
+        return sum(case.counts) / case.n_items
+
+
+def own_metrics(spark, sf_dir):
+    data, recs = two_models(spark, sf_dir)
+    counts = P.item_counts(data.train)
+    found = E.evaluate(recs, data.truths, (10, 20), ("HitRate", MedianRank(), Familiarity()), item_counts=counts,
+                       n_items=counts.agg(F.count(F.lit(1))).scalar())
+    return rounded(found, "value")
+
+
+add("own_metrics_n9_u1", own_metrics, with_recs("""
+  , k(top_k) AS (VALUES (10), (20)),
+  judged AS (SELECT r.*, k.top_k, (r.case_id, r.item_id) IN (SELECT case_id, item_id FROM truths) AS hit
+             FROM recs r JOIN k ON r.rank <= k.top_k WHERE r.case_id IN (SELECT case_id FROM truths)),
+  firsts AS (SELECT model, top_k, case_id, min(CASE WHEN hit THEN rank END) AS place, sum(coalesce(c, 0)) AS clicks
+             FROM judged LEFT JOIN counts USING (item_id) GROUP BY 1, 2, 3)
+  SELECT model, top_k, 'median rank' AS metric, round(quantile_disc(place, 0.5)::DOUBLE, 6) AS value FROM firsts GROUP BY 1, 2
+  UNION ALL SELECT model, top_k, 'familiarity', round(avg(clicks / (SELECT count(*) FROM counts)::DOUBLE), 6) FROM firsts GROUP BY 1, 2
+  UNION ALL SELECT model, top_k, 'HitRate', round(avg((place IS NOT NULL)::INT), 6) FROM firsts GROUP BY 1, 2"""), *NEED)
+
+
 add("unique_items_a16", lambda s, d: E.unique_item_count(two_models(s, d)[1], dataset(s, d).truths), f""",{RECS}
   SELECT count(DISTINCT item_id) AS n_items FROM (SELECT item_id FROM recs UNION ALL SELECT item_id FROM truths)""",
     *NEED)

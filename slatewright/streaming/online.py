@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from slatewright.operators.neighbours import NeighbourIndex, NeighbourOptions, recommend_neighbours
+from slatewright.session import cut_lineage
+
 PROMPT_SCHEMA = "case_id long, items array<long>, last_us long, closed boolean"
 STATE_SCHEMA = "items array<long>, times array<long>, orders array<long>"
 
@@ -73,12 +76,44 @@ def start_scoring(prompts: DataFrame, score: Callable[[DataFrame], DataFrame], p
     failure, so every batch is stored exactly once.
     """
     def handle(batch: DataFrame, number: int) -> None:
-        score(prompt_rows(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = cut_lineage(prompt_rows(batch))  # scoring reads them several times, the stream is evaluated once
+        score(rows).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = prompts.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def index_scorer(index: NeighbourIndex, k: int, options: NeighbourOptions = NeighbourOptions()) -> Callable[[DataFrame], DataFrame]:
+    """Slates of prompts from a stored index: a batch's prompts meet the index's buckets, and no log is read.
+
+    A prompt without any slate has one row without rank, so that it replaces an older slate of its case.
+    """
+    def score(rows: DataFrame) -> DataFrame:
+        slates = recommend_neighbours(rows, index, k, options).drop("model")
+        return rows.select("case_id").distinct().join(slates, "case_id", "left")
+
+    return score
+
+
+def latest_slates(spark: SparkSession, path: str) -> DataFrame:
+    """``case_id, rank, item_id, score``: of each case what its last batch with news stored."""
+    stored = spark.read.parquet(path)
+    last = stored.groupBy("case_id").agg(F.max("batch").alias("batch"))
+    return stored.join(last, ["case_id", "batch"]).where("rank IS NOT NULL").drop("batch")
+
+
+def replay(events: DataFrame, time: str, path: str, parts: int, files: int = 2) -> None:
+    """Stores a table below ``path`` as clicks would arrive: ``parts`` spans of time, one after the other, each in
+    ``files`` files."""
+    low, high = events.agg(F.min(F.unix_micros(F.col(time).cast("timestamp"))), F.max(F.unix_micros(F.col(time).cast("timestamp")))).first()
+    if low is None:
+        return
+    step = (high - low) // parts + 1
+    part = F.floor((F.unix_micros(F.col(time).cast("timestamp")) - low) / step)
+    for i in range(parts):
+        events.where(part == i).repartition(files).write.mode("append").parquet(path)
+
+
 def click_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*",
                  files_per_batch: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
