@@ -1,10 +1,9 @@
-"""Products of two vector tables, tile by tile.
+"""Products of two vector tables, block by block.
 
-Vectors are packed into blocks of bounded size; every block of the left table meets every
-block of the right one exactly once, inside an Arrow task that multiplies two matrices
-and emits only what is asked for (the best k per row, or counts).  Rows of single vector
-pairs never exist outside a task.  Left blocks are repeated once per right block, so the
-traffic is ``|left| * |right| / block size`` vectors.
+``nearest`` keeps each query in one task, which walks over the blocks of items with a running
+list of the best k: items of a checked size are broadcast, larger tables pass each task as a
+stream of blocks, once for every block of queries; queries are never copied. All-pairs counts
+meet in tiles of two blocks. Rows of single vector pairs never exist outside a task.
 """
 
 from __future__ import annotations
@@ -17,9 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatewright.operators.ranking import top_n
+from slatewright.session import cut_lineage
 
 BLOCK_ROWS = 4096
+#: Queries that a task ranks at once, and rows that their lists may hold together.
+QUERY_ROWS = 1024
+HELD_ROWS = 4_000_000
+#: Bins of a task's histogram of pairs, and their number in one coarse bin.
+BINS, COARSE = 1 << 20, 1 << 10
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Score added to items of the prompt, so that they come last.
@@ -86,76 +90,133 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -scores[chosen]))][:k]
 
 
+class _Best:
+    """The k best items of each query row, over any number of item blocks."""
+
+    def __init__(self, x: np.ndarray, k: int, measure: str, seen: pa.ListArray | None, strict: bool) -> None:
+        self.x, self.k, self.measure, self.seen, self.strict = x, k, measure, seen, strict
+        self.rows = [(np.empty(0, np.int64), np.empty(0)) for _ in range(len(x))]
+
+    def take(self, ids: np.ndarray, y: np.ndarray) -> None:
+        order = np.argsort(ids)
+        ids, y = ids[order], y[order]
+        scores = np.round(_scores(self.x, y, self.measure), 9)
+        if self.seen is not None:
+            _push_down(scores, self.seen, ids)
+        for row, own in enumerate(scores):
+            top = _best(own, ids, self.k)
+            if self.strict:
+                top = top[own[top] > SEEN_PENALTY / 2]
+            old_ids, old = self.rows[row]
+            if len(old):
+                all_ids, values = np.concatenate([old_ids, ids[top]]), np.concatenate([old, own[top]])
+                best = _best(values, all_ids, self.k)
+                self.rows[row] = all_ids[best], values[best]
+            else:
+                self.rows[row] = ids[top], own[top]
+
+    def table(self, queries: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        sizes = [len(ids) for ids, _ in self.rows]
+        columns = [np.repeat(queries, sizes), np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes] or [np.empty(0, np.int32)]),
+                   np.concatenate([ids for ids, _ in self.rows] or [np.empty(0, np.int64)]),
+                   np.concatenate([values for _, values in self.rows] or [np.empty(0)])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)],
+                                          names=names)
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine",
             query: str = "case_id", vector: str = "vector", item: str = "item_id",
-            embedding: str = "embedding", seen: str | None = None, strict: bool = False,
-            query_rows: int | None = None) -> DataFrame:
+            embedding: str = "embedding", seen: str | None = None, strict: bool = False) -> DataFrame:
     """``query, rank, item, score``: the k best items for each query vector.
 
     ``seen`` names an array column of item ids that are pushed to the end of the order
     (or left out with ``strict``).  ``k=-1`` returns the full order.  Scores are rounded
-    to nine decimals before ranking and ties go to the smaller id.
+    to nine decimals before ranking and ties go to the smaller id. A query is ranked where
+    it lies: its vector and list are moved once at most, however many items there are.
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}; choose one of {MEASURES}")
     n_items = items.count()
     k = n_items if k == -1 else min(k, n_items)
-    n_queries = query_rows if query_rows is not None else queries.count()
-    dim = items.select(F.size(embedding)).first()[0]
-    parallelism = queries.sparkSession.sparkContext.defaultParallelism
-    n_left, n_right = _blocks_for(n_queries, parallelism), _blocks_for(n_items)
-    extra = [F.col(seen).alias("seen")] if seen else []
-    left = _pack(queries, query, vector, n_left, "lb", extra)
-    right = _pack(items, item, embedding, n_right, "rb")
-    tiles = _meet(left, right, n_left, n_right, n_items * (dim * 8 + 24))
-
-    def score_tiles(batches):
+    dim = (items.select(F.size(embedding)).first() or [0])[0]
+    names, schema = [query, "rank", item, "score"], f"{query} long, rank int, {item} long, score double"
+    columns = [F.col(query).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *([F.col(seen).alias("seen")] if seen else [])]
+    item_columns = items.select(F.col(item).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    # a task holds the k best of so many queries at once
+    most = max(1, min(QUERY_ROWS, HELD_ROWS // max(1, k)))
+    context = queries.sparkSession.sparkContext
+
+    def parts(batch: pa.RecordBatch):
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            yield part.column(0).to_numpy(), _Best(x, k, measure, part.column(2) if seen else None, strict)
+
+    if n_items * (dim * 8 + 24) <= BROADCAST_BYTES:
+        held = item_columns.toArrow().combine_chunks()
+        flat = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False) if n_items else np.empty(0)
+        known = context.broadcast((held.column("id").to_numpy(), flat.reshape(n_items, -1) if n_items else np.empty((0, 0))))
+
+        def walk(batches):
+            ids, y = known.value
+            for batch in batches:
+                for query_ids, best in parts(batch):
+                    for at in range(0, len(ids), BLOCK_ROWS):
+                        best.take(ids[at:at + BLOCK_ROWS], y[at:at + BLOCK_ROWS])
+                    yield best.table(query_ids, names)
+
+        return queries.select(*columns).repartition(4 * context.defaultParallelism, "id").mapInArrow(walk, schema)
+
+    n_left = max(context.defaultParallelism, math.ceil(queries.count() / most))
+    n_right = _blocks_for(n_items)
+    entry = F.struct("id", "v", *(["seen"] if seen else []))
+    empty = F.array().cast("array<struct<id:bigint,v:array<double>>>")
+    left = (queries.select(*columns).groupBy(F.pmod(F.xxhash64("id"), F.lit(n_left)).alias("lb")).agg(F.collect_list(entry).alias("queries"))
+            .select("lb", F.lit(-1).cast("long").alias("rb"), "queries", empty.alias("items")))
+    right = (item_columns.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_right)).alias("rb"))
+             .agg(F.collect_list(F.struct("id", "v")).alias("items")))
+    blocks = right.withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))))
+    streams = left.unionByName(blocks.select("lb", "rb", F.lit(None).cast(left.schema["queries"].dataType).alias("queries"), "items"))
+    # a block of queries, and after it the items, block by block
+    streams = streams.repartition(n_left, "lb").sortWithinPartitions("lb", "rb")
+
+    def stream(batches):
+        block, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                q_ids, x, q_rows = _matrix(batch.column("lb_rows")[i])
-                i_ids, y, _ = _matrix(batch.column("rb_rows")[i])
-                order = np.argsort(i_ids)
-                i_ids, y = i_ids[order], y[order]
-                scores = np.round(_scores(x, y, measure), 9)
-                if seen:
-                    _push_down(scores, q_rows.field("seen"), i_ids)
-                case, found, value = [], [], []
-                for row in range(len(q_ids)):
-                    top = _best(scores[row], i_ids, k)
-                    case.append(np.full(len(top), q_ids[row]))
-                    found.append(i_ids[top])
-                    value.append(scores[row][top])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (case, found, value)],
-                    names=[query, item, "score"])
-
-    found = tiles.select("lb_rows", "rb_rows").mapInArrow(
-        score_tiles, f"{query} long, {item} long, score double")
-    if strict:
-        found = found.where(F.col("score") > SEEN_PENALTY / 2)
-    return top_n(found, [query], [F.desc("score"), F.col(item)], k).select(
-        query, "rank", item, "score")
+                if batch.column(1)[i].as_py() < 0:
+                    for ids, best in held:
+                        yield best.table(ids, names)
+                    block, rows = batch.column(0)[i].as_py(), batch.column(2)[i].values
+                    held = list(parts(pa.RecordBatch.from_arrays([rows.field(c) for c in ("id", "v", *(["seen"] if seen else []))],
+                                                                 names=["id", "v", *(["seen"] if seen else [])])))
+                elif batch.column(0)[i].as_py() == block:
+                    ids, y, _ = _matrix(batch.column(3)[i])
+                    for _, best in held:
+                        best.take(ids, y)
+        for ids, best in held:
+            yield best.table(ids, names)
+
+    return streams.mapInArrow(stream, schema)
 
 
 def _push_down(scores, seen_lists, item_ids):
-    offsets = seen_lists.offsets.to_numpy()
-    values = seen_lists.values.to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(len(scores)), np.diff(offsets))
-    values = values[offsets[0]:offsets[-1]]
+    sizes = np.array([len(x) if x is not None else 0 for x in seen_lists.to_pylist()], np.int64)
+    values = seen_lists.flatten().to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(scores)), sizes)
     at = np.searchsorted(item_ids, values)
     inside = at < len(item_ids)
     inside[inside] = item_ids[at[inside]] == values[inside]
     scores[rows[inside], at[inside]] += SEEN_PENALTY
 
 
-def pair_counts(items: DataFrame, edges: Sequence[tuple[float, float]], bins: int,
+def pair_counts(items: DataFrame, edges: Sequence[tuple[float, float]], bins: int = BINS,
                 measure: str = "cosine", item: str = "item_id",
                 embedding: str = "embedding") -> DataFrame:
     """``part, bin, n``: unordered item pairs per bin of each half-open value range.
 
     The bins of ``edges[part]`` split that range evenly; values outside every range are
-    not reported.  Counts are summed inside tasks, so a task emits at most
-    ``len(edges) * bins`` rows per tile.
+    not reported. A task keeps one histogram over all its tiles and emits it once.
     """
     n_items = items.count()
     dim = items.select(F.size(embedding)).first()[0]
@@ -166,25 +227,26 @@ def pair_counts(items: DataFrame, edges: Sequence[tuple[float, float]], bins: in
     ranges = [(float(lo), float(hi)) for lo, hi in edges]
 
     def count_tiles(batches):
+        totals = np.zeros((len(ranges), bins), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 same = batch.column("lb")[i].as_py() == batch.column("rb")[i].as_py()
                 _, x, _ = _matrix(batch.column("lb_rows")[i])
                 _, y, _ = _matrix(batch.column("rb_rows")[i])
-                values = np.clip(_scores(x, y, measure), -1.0, 1.0)
-                values = values[np.triu_indices(len(x), 1)] if same else values.ravel()
-                part, slot, n_pairs = [], [], []
-                for p, (lo, hi) in enumerate(ranges):
-                    inside = values[(values >= lo) & (values < hi)]
-                    at = np.floor((inside - lo) / ((hi - lo) / bins)).astype(np.int64)
-                    hits = np.bincount(np.minimum(at, bins - 1), minlength=bins)
-                    used = np.flatnonzero(hits)
-                    part.append(np.full(len(used), p))
-                    slot.append(used)
-                    n_pairs.append(hits[used])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c).astype(np.int64)) for c in (part, slot, n_pairs)],
-                    names=["part", "bin", "n"])
+                for at in range(0, len(x), 512):  # some rows at once, so that no whole tile of numbers is held twice
+                    values = np.clip(_scores(x[at:at + 512], y, measure), -1.0, 1.0)
+                    values = values[np.triu_indices(len(values), at + 1, len(y))] if same else values.ravel()
+                    for p, (lo, hi) in enumerate(ranges):
+                        inside = values[(values >= lo) & (values < hi)]
+                        slot = np.minimum(np.floor((inside - lo) / ((hi - lo) / bins)).astype(np.int64), bins - 1)
+                        if len(slot) > bins // 8:
+                            totals[p] += np.bincount(slot, minlength=bins)
+                        else:
+                            np.add.at(totals[p], slot, 1)
+        for p, own in enumerate(totals):
+            used = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), p, np.int64)), pa.array(used.astype(np.int64)), pa.array(own[used])],
+                                             names=["part", "bin", "n"])
 
     counted = tiles.select("lb", "rb", "lb_rows", "rb_rows").mapInArrow(
         count_tiles, "part long, bin long, n long")
@@ -192,14 +254,15 @@ def pair_counts(items: DataFrame, edges: Sequence[tuple[float, float]], bins: in
 
 
 def similarity_quantiles(items: DataFrame, quantiles: Sequence[float], item: str = "item_id",
-                         embedding: str = "embedding", bins: int = 8192,
-                         tolerance: float = 1e-12) -> list[float]:
+                         embedding: str = "embedding", bins: int = BINS,
+                         tolerance: float = 2e-12) -> list[float]:
     """Interpolated quantiles of the cosine over all unordered item pairs.
 
     The order statistics next to each quantile are located by counting: a pass counts
-    pairs per bin, the bins that hold a wanted rank are split again, and so on until
-    they are narrower than ``tolerance``.  Each pass is one tile product; only counts
-    reach the driver.  An ordered pair list has the same quantiles up to the position
+    pairs per bin, the bins that hold a wanted rank are split again, until they are no wider
+    than ``tolerance``, whose middle is taken. With BINS bins that is two products. The bins
+    stay in Spark; the driver sees sums of COARSE bins and the bins of the wanted ones.
+    An ordered pair list has the same quantiles up to the position
     of the interpolation, see :func:`ordered_pair_quantiles`.
     """
     n = items.count()
@@ -214,8 +277,8 @@ def similarity_quantiles(items: DataFrame, quantiles: Sequence[float], item: str
 
 
 def ordered_pair_quantiles(items: DataFrame, quantiles: Sequence[float], item: str = "item_id",
-                           embedding: str = "embedding", bins: int = 8192,
-                           tolerance: float = 1e-12) -> list[float]:
+                           embedding: str = "embedding", bins: int = BINS,
+                           tolerance: float = 2e-12) -> list[float]:
     """Quantiles over both directions of each pair (the off-diagonal matrix entries)."""
     n = items.count()
     entries = n * (n - 1)
@@ -233,17 +296,26 @@ def _order_statistics(items, wanted, item, embedding, bins, tolerance):
     place = {rank: (-1.0, top, rank) for rank in wanted}
     while max(hi - lo for lo, hi, _ in place.values()) > tolerance:
         ranges = sorted({(lo, hi) for lo, hi, _ in place.values()})
-        rows = pair_counts(items, ranges, bins, "cosine", item, embedding).collect()
-        counts = np.zeros((len(ranges), bins), dtype=np.int64)
-        for row in rows:
-            counts[row["part"], row["bin"]] = row["n"]
-        totals = counts.cumsum(axis=1)
+        counts = cut_lineage(pair_counts(items, ranges, bins, "cosine", item, embedding))
+        group = F.floor(F.col("bin") / COARSE)
+        coarse = np.zeros((len(ranges), -(-bins // COARSE)), np.int64)
+        for row in counts.groupBy("part", group.alias("bin")).agg(F.sum("n").alias("n")).collect():
+            coarse[row["part"], row["bin"]] = row["n"]
+        sums = coarse.cumsum(axis=1)
+        found = {rank: (part := ranges.index((lo, hi)), int(np.searchsorted(sums[part], inner, side="right")))
+                 for rank, (lo, hi, inner) in place.items()}
+        read = " OR ".join(f"(part = {part} AND bin >= {g * COARSE} AND bin < {(g + 1) * COARSE})" for part, g in sorted(set(found.values())))
+        fine = {}
+        for row in counts.where(read).collect():
+            fine.setdefault((row["part"], row["bin"] // COARSE), np.zeros(COARSE, np.int64))[row["bin"] % COARSE] = row["n"]
         for rank, (lo, hi, inner) in place.items():
-            part = ranges.index((lo, hi))
-            slot = int(np.searchsorted(totals[part], inner, side="right"))
+            part, g = found[rank]
+            inner -= int(sums[part][g - 1]) if g else 0
+            totals = fine[part, g].cumsum()
+            slot = int(np.searchsorted(totals, inner, side="right"))
             width = (hi - lo) / bins
-            before = int(totals[part][slot - 1]) if slot else 0
-            place[rank] = (lo + slot * width, lo + (slot + 1) * width, inner - before)
+            at = g * COARSE + slot
+            place[rank] = (lo + at * width, lo + (at + 1) * width, inner - (int(totals[slot - 1]) if slot else 0))
     return {rank: (lo + hi) / 2 for rank, (lo, hi, _) in place.items()}
 
 

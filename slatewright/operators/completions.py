@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from slatewright.functions.text import parse_delimited, parse_numbered, parse_single
 from slatewright.operators.blocks import nearest
 from slatewright.operators.ranking import spread, top_n
+from slatewright.session import cut_lineage
 
 
 def parsed(completions: DataFrame, task: str, k: int = 20) -> DataFrame:
@@ -53,12 +54,24 @@ def unmatched_names(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("item_id").isNull()).select("name").distinct()
 
 
-def _nearest_per_name(name_vectors: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """``name, place, near_id``: items by dot product with the name's vector."""
-    keyed = name_vectors.select("name", F.xxhash64("name").alias("case_id"), "vector")
-    near = nearest(keyed.select("case_id", "vector"), items, k, "dot")
-    return near.join(keyed.select("case_id", "name"), "case_id").select(
-        "name", F.col("rank").alias("place"), F.col("item_id").alias("near_id"))
+def _nearest_per_name(name_vectors: DataFrame, items: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``name, place, near_id``: the ``most`` items (``wanted``: name, most) nearest to each name by dot product.
+
+    Names are asked for in levels: those that want up to ``k`` items, up to twice as many, and so on. A name's list is
+    at most twice as long as it wants, and a long one lengthens no other.
+    """
+    wanted = cut_lineage(wanted)
+    longest, level, out = wanted.agg(F.max("most")).first()[0] or 0, k, None
+    lower = 0
+    while out is None or lower < longest:
+        asked = wanted.where((F.col("most") > lower) & (F.col("most") <= level))
+        keyed = name_vectors.join(asked, "name").select("name", "most", F.xxhash64("name").alias("case_id"), "vector")
+        near = nearest(keyed.select("case_id", "vector"), items, level, "dot")
+        part = near.join(keyed.select("case_id", "name", "most"), "case_id").where(F.col("rank") <= F.col("most")).select(
+            "name", F.col("rank").alias("place"), F.col("item_id").alias("near_id"))
+        out = part if out is None else out.unionByName(part)
+        lower, level = level, 2 * level
+    return out
 
 
 def fill_unmatched(rows: DataFrame, name_vectors: DataFrame, items: DataFrame, k: int
@@ -71,10 +84,8 @@ def fill_unmatched(rows: DataFrame, name_vectors: DataFrame, items: DataFrame, k
     """
     sizes = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
     wanted = rows.where(F.col("item_id").isNull()).join(sizes, "case_id").groupBy("name").agg(
-        F.greatest(F.lit(k), F.max("_n")).alias("_most"))
-    most = wanted.agg(F.max("_most")).first()[0] or k
-    near = _nearest_per_name(name_vectors.join(wanted, "name", "left_semi"), items, int(most))
-    near = near.join(wanted, "name").where(F.col("place") <= F.col("_most")).drop("_most")
+        F.greatest(F.lit(k), F.max("_n")).alias("most"))
+    near = _nearest_per_name(name_vectors, items, wanted, k)
     with_near = rows.join(near, "name", "left")
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
@@ -109,9 +120,8 @@ def replace_repeats(counts: DataFrame, names: DataFrame, name_vectors: DataFrame
     """
     labelled = matched(counts, names)
     needs = labelled.where((F.col("n") > 1) | F.col("item_id").isNull())
-    most = labelled.agg(F.max("n")).first()[0] or 0
-    asked = name_vectors.join(needs.select("name").distinct(), "name", "left_semi")
-    near = _nearest_per_name(asked, items, int(most) + k)
+    wanted = needs.groupBy("name").agg((F.max("n") + k).alias("most"))
+    near = _nearest_per_name(name_vectors, items, wanted, k + 1)
     offered = needs.select("case_id", "name", "n").join(near, "name").where(
         F.col("place") <= F.col("n") + k).drop("n")
     shown = prompts.select("case_id", F.col("item_id").alias("near_id")).distinct()

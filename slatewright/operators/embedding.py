@@ -97,9 +97,7 @@ def recommend_similar(prompts: DataFrame, items: DataFrame, k: int,
         seen = "seen"
         known = prompts.groupBy("case_id").agg(F.collect_set("item_id").alias("seen"))
         vectors = vectors.join(known, "case_id")
-    n_cases = prompts.where("pos = 1").count()
-    found = nearest(vectors, items, k, options.measure, seen=seen, strict=options.strict,
-                    query_rows=n_cases)
+    found = nearest(vectors, items, k, options.measure, seen=seen, strict=options.strict)
     return found.select(F.lit(model).alias("model"), "case_id", "rank", "item_id", "score")
 
 

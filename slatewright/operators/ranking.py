@@ -10,8 +10,11 @@ The functions here give the same numbers but split what may be large:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +24,6 @@ HOT_ROWS = 1_000_000
 # Spark prunes row_number() <= n before the shuffle only up to this n
 # (default of spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1_000
-SALTS = 64
 
 
 # Tasks per ordinary shuffle partition in front of a step that multiplies rows.
@@ -102,22 +104,51 @@ def top_n(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int,
           name: str = "rank") -> DataFrame:
     """The first ``n`` rows per key, with their 1-based rank.
 
-    Up to ``GROUP_LIMIT`` Spark itself cuts each map task's output to n rows per key.
-    For larger n a first pass over salted keys does the same, so a key holding a third
-    of the table still reaches its final task as at most ``n * SALTS`` rows.
+    Up to ``GROUP_LIMIT`` Spark itself cuts each map task's output to n rows per key. For
+    larger n each task sorts its rows and keeps n a key before the shuffle, so a key that
+    holds a third of the table reaches its final task as at most n rows from each task.
     """
     key = list(key)
     final = Window.partitionBy(*key).orderBy(*order)
     if n > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS))
-        salted = df.withColumn("_salt", salt)
-        first = Window.partitionBy(*key, "_salt").orderBy(*order)
-        df = (salted.withColumn("_first", F.row_number().over(first))
-              .where(F.col("_first") <= n).drop("_first", "_salt"))
+        df = _first_in_tasks(df, key, order, n)
     ranked = df.withColumn(name, F.row_number().over(final))
     return ranked.where(F.col(name) <= n)
 
 
+def _first_in_tasks(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows per key of each task, which sorts its own rows; nothing is shuffled."""
+    places = [df.columns.index(c) for c in key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i) for i in places]
+            new = np.zeros(batch.num_rows, bool)
+            for c in columns:  # where a key starts; nulls are a key of their own
+                here, before = c.slice(1), c.slice(0, batch.num_rows - 1)
+                differ = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+                odd = pc.is_null(here).to_numpy(zero_copy_only=False) != pc.is_null(before).to_numpy(zero_copy_only=False)
+                new[1:] |= differ | odd
+            own = tuple(c[0].as_py() for c in columns)
+            starts = np.flatnonzero(new)
+            offset = taken if own == last else 0
+            at = np.arange(batch.num_rows)
+            begin = np.zeros(batch.num_rows, np.int64)
+            begin[starts] = starts
+            place = at - np.maximum.accumulate(begin)
+            first_end = int(starts[0]) if len(starts) else batch.num_rows
+            place[:first_end] += offset
+            last, taken = tuple(c[-1].as_py() for c in columns), int(place[-1]) + 1
+            kept = np.flatnonzero(place < n)
+            if len(kept):
+                yield batch.take(pa.array(kept))
+
+    return df.sortWithinPartitions(*[F.col(c) for c in key], *order).mapInArrow(run, df.schema)
+
+
 def rerank(df: DataFrame, key: Sequence[str], order: Sequence[Column],
            name: str = "rank") -> DataFrame:
     """Dense 1..n ranks again after rows were dropped from bounded slates."""

@@ -318,17 +318,19 @@ FILL = """
   , rows AS (SELECT case_id, pos AS rank, CASE WHEN (item_id + case_id) % 3 <> 0 THEN item_id END AS own, item_id AS src
              FROM vprompts),
   given AS (SELECT case_id, coalesce(list(DISTINCT own) FILTER (WHERE own IS NOT NULL), []) AS used FROM rows GROUP BY 1),
-  near AS (SELECT a.item_id AS src, b.item_id AS near_id, row_number() OVER (PARTITION BY a.item_id
-             ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.item_id) AS place FROM vecs a, vecs b),
-  short AS (SELECT src, list(near_id ORDER BY place) AS l FROM near
-            WHERE place <= (SELECT max(n) FROM (SELECT count(*) AS n FROM rows GROUP BY case_id)) GROUP BY 1),
+  lengths AS (SELECT src, max(n) AS n FROM rows JOIN (SELECT case_id, count(*) AS n FROM rows GROUP BY 1) USING (case_id)
+              WHERE own IS NULL GROUP BY 1),
+  near AS (SELECT src, b.item_id AS near_id, n, row_number() OVER (PARTITION BY src
+             ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.item_id) AS place
+           FROM lengths JOIN vecs a ON a.item_id = src, vecs b QUALIFY place <= greatest(8, n)),
+  short AS (SELECT src, list(near_id ORDER BY place) AS l FROM near GROUP BY 1),
   walk AS (
     SELECT case_id, 0::BIGINT AS rank, NULL::BIGINT AS item_id, used FROM given
     UNION ALL
     SELECT w.case_id, r.rank, coalesce(r.own, list_filter(l, lambda x: NOT list_contains(w.used, x))[1]),
            CASE WHEN r.own IS NOT NULL THEN w.used
                 ELSE list_append(w.used, list_filter(l, lambda x: NOT list_contains(w.used, x))[1]) END
-    FROM walk w JOIN rows r ON r.case_id = w.case_id AND r.rank = w.rank + 1 JOIN short s ON s.src = r.src)
+    FROM walk w JOIN rows r ON r.case_id = w.case_id AND r.rank = w.rank + 1 LEFT JOIN short s ON s.src = r.src)
   SELECT case_id, rank::INTEGER AS rank, item_id FROM walk WHERE rank > 0"""
 QUERIES["fill_unmatched_l15"] = fill_unmatched
 SQL["fill_unmatched_l15"] = sql(FILL, *VECTOR_NEED).replace("WITH ", "WITH RECURSIVE ", 1)
@@ -342,7 +344,32 @@ def replace_repeats(spark, sf_dir):
     return C.replace_repeats(C.answer_counts(rows), names, vectors, items, other, 10)
 
 
-add("replace_repeats_l16", replace_repeats)
+# Answers in order of their first place, one step a wanted replacement: what was taken is carried along.
+REPEATS = """
+  , answers AS (SELECT case_id, (item_id + case_id) % 3 = 0 AS odd, item_id AS src, count(*) AS n, min(pos) AS first
+                FROM vprompts GROUP BY 1, 2, 3),
+  labelled AS (SELECT *, CASE WHEN NOT odd THEN src END AS item_id FROM answers),
+  needs AS (SELECT case_id, src, n, first, n - (item_id IS NOT NULL)::INT AS more, row_number() OVER (PARTITION BY case_id ORDER BY first) AS turn
+            FROM labelled WHERE n > 1 OR item_id IS NULL),
+  lengths AS (SELECT src, max(n) + 10 AS n FROM needs GROUP BY 1),
+  near AS (SELECT src, b.item_id AS near_id, n, row_number() OVER (PARTITION BY src
+             ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.item_id) AS place
+           FROM lengths JOIN vecs a ON a.item_id = src, vecs b QUALIFY place <= n),
+  barred AS (SELECT case_id, item_id FROM vtruths UNION SELECT case_id, item_id FROM labelled WHERE item_id IS NOT NULL),
+  offered AS (SELECT case_id, turn, any_value(more) AS more, coalesce(list(near_id ORDER BY place) FILTER (WHERE near_id IS NOT NULL), []) AS l
+              FROM (SELECT n.case_id, turn, more, place, CASE WHEN b.item_id IS NULL THEN near_id END AS near_id
+                    FROM needs n JOIN near ON near.src = n.src AND place <= n.n + 10
+                    LEFT JOIN barred b ON b.case_id = n.case_id AND b.item_id = near_id) GROUP BY 1, 2),
+  walk AS (SELECT case_id, 0::BIGINT AS turn, []::BIGINT[] AS taken FROM (SELECT DISTINCT case_id FROM needs)
+           UNION ALL
+           SELECT w.case_id, o.turn, list_concat(w.taken, list_filter(l, lambda x: NOT list_contains(w.taken, x))[1:more])
+           FROM walk w JOIN offered o ON o.case_id = w.case_id AND o.turn = w.turn + 1),
+  extra AS (SELECT case_id, arg_max(taken, turn) AS taken FROM walk GROUP BY 1),
+  direct AS (SELECT case_id, list(item_id ORDER BY first) FILTER (WHERE item_id IS NOT NULL) AS l FROM labelled GROUP BY 1),
+  chosen AS (SELECT case_id, list_concat(coalesce(l, []), coalesce(taken, [])) AS l FROM direct LEFT JOIN extra USING (case_id))
+  SELECT case_id, unnest(range(1, len(l) + 1)) AS rank, unnest(l) AS item_id FROM chosen"""
+QUERIES["replace_repeats_l16"] = replace_repeats
+SQL["replace_repeats_l16"] = sql(REPEATS, *VECTOR_NEED, "vtruths").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def match_allowed(spark, sf_dir):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from slatewright.operators import blocks, neighbours as N, stats
+from slatewright.operators import blocks, neighbours as N, ranking, stats
 from slatewright.operators.ranking import rank_overall, rank_within, top_n
 
 
@@ -38,6 +38,16 @@ def test_top_n_above_the_group_limit(rows):
     assert got.exceptAll(expected.select(got.columns)).isEmpty() and got.count() == expected.count()
 
 
+def test_top_n_sends_n_rows_a_key_and_task(spark):
+    """Null keys, keys over batch ends, and no more than n rows of a key from a task."""
+    rows = spark.range(30_000).select((F.when(F.col("id") % 5 > 0, F.col("id") % 3)).alias("k"), F.hash("id").alias("v"), "id").repartition(3)
+    cut = ranking._first_in_tasks(rows, ["k"], [F.col("v"), F.col("id")], 1500)
+    assert max(r["count"] for r in cut.groupBy(F.spark_partition_id(), "k").count().collect()) == 1500
+    got = top_n(rows, ["k"], [F.col("v"), F.col("id")], 1500)
+    plain = rows.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("v", "id"))).where("rank <= 1500")
+    assert got.exceptAll(plain.select(got.columns)).isEmpty() and got.count() == plain.count()
+
+
 @pytest.fixture(scope="module")
 def log(spark):
     rng, data = random.Random(3), []
@@ -83,10 +93,12 @@ def items(spark):
     return x, df.cache()
 
 
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
 @pytest.mark.parametrize("measure", blocks.MEASURES)
-def test_tiles_equal_brute_force(items, measure, monkeypatch):
+def test_tiles_equal_brute_force(items, measure, broadcast, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 32)
-    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 7)
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", broadcast)
     x, df = items
     queries = df.select(F.col("item_id").alias("case_id"), F.col("embedding").alias("vector"))
     got = {}
@@ -97,6 +109,25 @@ def test_tiles_equal_brute_force(items, measure, monkeypatch):
         assert got[i] == np.lexsort((np.arange(len(x)), -scores[i]))[:7].tolist()
 
 
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+@pytest.mark.parametrize("strict", [False, True])
+def test_seen_items_come_last_or_not_at_all(items, broadcast, strict, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", broadcast)
+    x, df = items
+    seen = {i: list(range(i, 150, 3)) if i % 4 else ([] if i % 8 else None) for i in range(150)}
+    queries = df.join(df.sparkSession.createDataFrame(list(seen.items()), "item_id long, seen array<long>"), "item_id").select(
+        F.col("item_id").alias("case_id"), F.col("embedding").alias("vector"), "seen")
+    got = {}
+    for r in blocks.nearest(queries, df, -1, "dot", seen="seen", strict=strict).orderBy("case_id", "rank").collect():
+        got.setdefault(r["case_id"], []).append(r["item_id"])
+    scores = np.round(x @ x.T, 9)
+    for i in range(150):
+        shown = set(seen[i] or ())
+        order = np.lexsort((np.arange(150), -scores[i])).tolist()
+        assert got[i] == [j for j in order if j not in shown] + ([] if strict else [j for j in order if j in shown])
+
+
 def test_pair_quantiles_and_moments(items, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 40)
     x, df = items
