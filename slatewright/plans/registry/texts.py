@@ -315,7 +315,7 @@ def fill_unmatched(spark, sf_dir):
 
 # The walk as recursion over ranks: used items are carried along.
 FILL = """
-  , rows AS (SELECT case_id, pos AS rank, CASE WHEN (item_id + case_id) % 3 <> 0 THEN item_id END AS own, item_id AS src
+  , rows AS MATERIALIZED (SELECT case_id, pos AS rank, CASE WHEN (item_id + case_id) % 3 <> 0 THEN item_id END AS own, item_id AS src
              FROM vprompts),
   given AS (SELECT case_id, coalesce(list(DISTINCT own) FILTER (WHERE own IS NOT NULL), []) AS used FROM rows GROUP BY 1),
   lengths AS (SELECT src, max(n) AS n FROM rows JOIN (SELECT case_id, count(*) AS n FROM rows GROUP BY 1) USING (case_id)
@@ -323,7 +323,7 @@ FILL = """
   near AS (SELECT src, b.item_id AS near_id, n, row_number() OVER (PARTITION BY src
              ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.item_id) AS place
            FROM lengths JOIN vecs a ON a.item_id = src, vecs b QUALIFY place <= greatest(8, n)),
-  short AS (SELECT src, list(near_id ORDER BY place) AS l FROM near GROUP BY 1),
+  short AS MATERIALIZED (SELECT src, list(near_id ORDER BY place) AS l FROM near GROUP BY 1),
   walk AS (
     SELECT case_id, 0::BIGINT AS rank, NULL::BIGINT AS item_id, used FROM given
     UNION ALL
@@ -356,7 +356,7 @@ REPEATS = """
              ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.item_id) AS place
            FROM lengths JOIN vecs a ON a.item_id = src, vecs b QUALIFY place <= n),
   barred AS (SELECT case_id, item_id FROM vtruths UNION SELECT case_id, item_id FROM labelled WHERE item_id IS NOT NULL),
-  offered AS (SELECT case_id, turn, any_value(more) AS more, coalesce(list(near_id ORDER BY place) FILTER (WHERE near_id IS NOT NULL), []) AS l
+  offered AS MATERIALIZED (SELECT case_id, turn, any_value(more) AS more, coalesce(list(near_id ORDER BY place) FILTER (WHERE near_id IS NOT NULL), []) AS l
               FROM (SELECT n.case_id, turn, more, place, CASE WHEN b.item_id IS NULL THEN near_id END AS near_id
                     FROM needs n JOIN near ON near.src = n.src AND place <= n.n + 10
                     LEFT JOIN barred b ON b.case_id = n.case_id AND b.item_id = near_id) GROUP BY 1, 2),
