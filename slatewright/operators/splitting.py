@@ -228,6 +228,21 @@ def inner_validation(log: DataFrame, fraction: float, seed: int,
                          .otherwise("train").alias("role"))
 
 
+def inner_validation_cases(log: DataFrame, fraction: float, seed: int, at_most: int | None = 500, n_withheld: int = 1
+                           ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(training rows, prompts, truths) of :func:`inner_validation`: what early stopping is judged on.
+
+    The held-back sessions are cut as test sessions are: their items that no training session holds go, then
+    sessions left with fewer than two rows; the last ``n_withheld`` items are the truth.
+    """
+    from slatewright.operators import cases
+
+    labelled = with_roles(log, inner_validation(log, fraction, seed, at_most))
+    train = labelled.where("role = 'train'").drop("role")
+    held = drop_untrained(train, labelled.where("role = 'validation'").drop("role"))
+    return train, cases.prompts(held, n_withheld), cases.ground_truths(held, n_withheld)
+
+
 def sample_sessions(log: DataFrame, n: int, seed: int) -> DataFrame:
     """All rows of ``n`` sessions drawn without replacement."""
     available = _count(log.select("session_id").distinct())

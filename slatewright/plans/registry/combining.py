@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewright.operators import evaluation as E
 from slatewright.operators import hybrids as H
 from slatewright.operators import popularity as P
-from slatewright.operators import stats
+from slatewright.operators import splitting, stats
 from slatewright.operators.embedding import SimilarityOptions, recommend_similar
-from slatewright.plans import workload
+from slatewright.operators.ranking import top_n
+from slatewright.plans import search, workload
+from slatewright.plans.models import Popular
 from slatewright.plans.prepared import dataset
 from slatewright.plans.registry.common import sql
 from slatewright.plans.registry.embeddings import NEED as VECTOR_NEED
@@ -282,3 +287,71 @@ add("results_table_h12", results_table, SWEEP + ", m AS (SELECT param, top_k, av
     " param::INTEGER::VARCHAR AS param, " + ", ".join(
         f"max(CASE WHEN top_k = {k} THEN round({c}, 6) END) AS \"{m}@{k}\""
         for k in (10, 20) for m, c in (("NDCG", "n"), ("HitRate", "h"), ("MRR", "m"))) + " FROM m GROUP BY 4", *NEED)
+
+
+@dataclass(frozen=True)
+class Followers:
+    """Most frequent direct successors of the last prompt item."""
+
+    votes: DataFrame | None = None
+
+    def fit(self, train, items=None):
+        here = train.select("session_id", "pos", "item_id")
+        there = train.select("session_id", (F.col("pos") - 1).alias("pos"), F.col("item_id").alias("next_item"))
+        pairs = here.join(there, ["session_id", "pos"]).groupBy("item_id", "next_item").agg(F.count(F.lit(1)).alias("votes"))
+        return Followers(pairs)
+
+    def recommend(self, prompts, k):
+        last = prompts.groupBy("case_id").agg(F.max_by("item_id", "pos").alias("item_id"))
+        best = top_n(self.votes, ["item_id"], [F.desc("votes"), F.col("next_item")], k)
+        return last.join(best, "item_id").select(F.lit("follow").alias("model"), "case_id", "rank", F.col("next_item").alias("item_id"),
+                                                 F.col("votes").cast("double").alias("score"))
+
+
+def searched(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    folds = splitting.forward_chaining_folds(data.train, 2)
+    prop = search.PopularItems.of(data.train, (0.25, 0.5, 0.75))
+    return search.property_search({"popular": Popular(), "follow": Followers()}, data, folds, prop)
+
+
+# Fold 0 stands for all training sessions and the test sessions.
+SEARCH = """
+  , bins AS (SELECT session_id, ntile(3) OVER (ORDER BY max_ts, session_id) AS bin
+             FROM (SELECT session_id, max(ts) AS max_ts FROM train GROUP BY 1)),
+  ftrain AS (SELECT fold, session_id, pos, item_id FROM train JOIN bins USING (session_id), range(1, 3) f(fold) WHERE bin <= fold
+             UNION ALL SELECT 0, session_id, pos, item_id FROM train),
+  fheld AS (SELECT fold, session_id, row_number() OVER (PARTITION BY fold, session_id ORDER BY pos) AS pos, item_id, m AS n
+            FROM (SELECT fold, session_id, pos, item_id, count(*) OVER (PARTITION BY fold, session_id) AS m
+                  FROM train JOIN bins USING (session_id), range(1, 3) f(fold)
+                  WHERE bin = fold + 1 AND (fold, item_id) IN (SELECT fold, item_id FROM ftrain)) WHERE m >= 2
+            UNION ALL SELECT 0, session_id, pos, item_id, n FROM test),
+  ftruths AS (SELECT fold, session_id AS case_id, item_id FROM fheld WHERE pos = n),
+  fpop AS (SELECT fold, item_id, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, item_id) AS rank FROM ftrain GROUP BY 1, 2),
+  fnext AS (SELECT fold, item_id, next_item, row_number() OVER (PARTITION BY fold, item_id ORDER BY count(*) DESC, next_item) AS rank
+            FROM (SELECT fold, item_id, lead(item_id) OVER (PARTITION BY fold, session_id ORDER BY pos) AS next_item FROM ftrain)
+            WHERE next_item IS NOT NULL GROUP BY 1, 2, 3),
+  flast AS (SELECT fold, session_id AS case_id, arg_max(item_id, pos) AS item_id FROM fheld WHERE pos < n GROUP BY 1, 2),
+  pools AS (SELECT 'popular' AS model, fold, case_id, rank, fpop.item_id FROM ftruths JOIN fpop USING (fold) WHERE rank <= 100
+            UNION ALL SELECT 'follow', fold, case_id, rank, next_item FROM flast JOIN fnext USING (fold, item_id) WHERE rank <= 100),
+  pops AS (SELECT item_id, count(DISTINCT session_id) / (SELECT count(DISTINCT session_id) FROM train) AS p FROM train GROUP BY 1),
+  cuts AS (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS param, unnest(quantile_cont(p, [0.25, 0.5, 0.75])) AS cut FROM pops),
+  low AS (SELECT model, fold, param, case_id, rank, r.item_id, coalesce(p, 0) < cut AS is_low, count(*) OVER w AS n,
+                 sum((coalesce(p, 0) < cut)::INT) OVER (w ORDER BY rank) AS nth
+          FROM pools r LEFT JOIN pops USING (item_id), cuts WINDOW w AS (PARTITION BY model, fold, param, case_id)),
+  kept AS (SELECT model, fold, param, case_id, item_id, row_number() OVER (PARTITION BY model, fold, param, case_id ORDER BY rank) AS r
+           FROM low WHERE NOT is_low OR nth > n - 20),
+  hits AS (SELECT k.model, k.fold, k.param, k.case_id, min(CASE WHEN t.item_id = k.item_id THEN r END) AS r
+           FROM kept k JOIN ftruths t USING (fold, case_id) WHERE r <= 20 GROUP BY 1, 2, 3, 4),
+  rep AS (SELECT model, fold, param, top_k, avg(CASE WHEN r <= top_k THEN 1 / log2(r + 1.0) ELSE 0 END) AS ndcg,
+                 avg((coalesce(r, 99) <= top_k)::INT) AS hr, avg(CASE WHEN r <= top_k THEN 1.0 / r ELSE 0 END) AS mrr
+          FROM hits CROSS JOIN (VALUES (10), (20)) k(top_k) GROUP BY 1, 2, 3, 4)"""
+
+add("property_search_folds_h10", lambda s, d: rounded(searched(s, d)[0], "value"), SEARCH + """
+  SELECT model, param, fold::INTEGER AS fold, top_k, unnest(['NDCG', 'HitRate', 'MRR']) AS metric, round(unnest([ndcg, hr, mrr]), 6) AS value
+  FROM rep WHERE fold > 0""", "train", "test")
+add("property_search_test_h10", lambda s, d: rounded(searched(s, d)[2], "value"), SEARCH + """,
+  best AS (SELECT model, param FROM (SELECT model, param, avg(ndcg) AS v FROM rep WHERE fold > 0 AND top_k = 20 GROUP BY 1, 2)
+           ORDER BY v DESC, model, param LIMIT 1)
+  SELECT model, param, top_k, unnest(['NDCG', 'HitRate', 'MRR']) AS metric, round(unnest([ndcg, hr, mrr]), 6) AS value
+  FROM rep JOIN best USING (model, param) WHERE fold = 0""", "train", "test")

@@ -344,6 +344,22 @@ add("inner_validation_d21", lambda s, d: splitting.inner_validation(dataset(s, d
   FROM (SELECT DISTINCT session_id FROM train)""", "train")
 
 
+def inner_cases(spark, sf_dir):
+    """Prompts and truths of 100 held-back training sessions at most, in one table."""
+    _, prompts, truths = splitting.inner_validation_cases(dataset(spark, sf_dir).train, 0.1, 42, at_most=100)
+    return prompts.withColumn("part", F.lit("prompt")).unionByName(truths.withColumn("part", F.lit("truth")))
+
+
+add("inner_validation_cases_d21", inner_cases, """
+  , ranked AS (SELECT session_id, row_number() OVER (ORDER BY md5('42:' || session_id), session_id) <=
+                 least(100, ceil(0.1::DOUBLE * count(*) OVER ())) AS held FROM (SELECT DISTINCT session_id FROM train)),
+  kept AS (SELECT session_id, pos, item_id, count(*) OVER (PARTITION BY session_id) AS m FROM train JOIN ranked USING (session_id)
+           WHERE held AND item_id IN (SELECT item_id FROM train JOIN ranked USING (session_id) WHERE NOT held)),
+  numbered AS (SELECT session_id, item_id, m, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS pos FROM kept WHERE m >= 2)
+  SELECT session_id AS case_id, CASE WHEN pos < m THEN pos ELSE 1 END AS pos, item_id,
+         CASE WHEN pos < m THEN 'prompt' ELSE 'truth' END AS part FROM numbered""", "train")
+
+
 def named_truths(spark, sf_dir):
     train = dataset(spark, sf_dir).train
     unnamed = table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("item_id"))
