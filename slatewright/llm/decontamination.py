@@ -9,8 +9,8 @@ from slatewright.llm.shared import settle
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The benchmark's windows are broadcast up to this number (some 100 MB); beyond, they are shuffled.
-BROADCAST_WINDOWS = 1_000_000
+#: The benchmark's windows are broadcast up to this many bytes of words and items; beyond, they are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -33,8 +33,9 @@ def windows(listed: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(hash, length, words, items): distinct windows of the items; a shorter item is one window."""
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """(length, words, items): distinct windows of the items; a shorter item is one window. Windows of items without id
+    are windows like others and add none to ``items``."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(size))
     found = items.select("item_id", length.alias("length"), F.explode(F.transform(
         F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice(F.col("w"), i, length))).alias("words"))
@@ -48,13 +49,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     the documents with hits are then compared word by word. Returns doc_id, text_hash,
     n_words, hits (array of (pos, length): first word from 0 and length of every verified
     window), items (their item_ids), n_hit (words inside any of them), one row for each
-    row of ``docs``. A null text has no words; items without words or id are left out; an
-    empty benchmark hits nothing; rows that repeat whole get equal results. Other columns
+    row of ``docs``. A null text has no words; items without words are left out, items without
+    id hit words and are not listed; an empty benchmark hits nothing; rows that repeat whole get equal results. Other columns
     are ignored.
     """
     known = settle(benchmark_windows(benchmark, size), "benchmark-windows")
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # size values at most
-    few = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    size_of = lambda column: F.aggregate(column, F.lit(24).cast("long"), lambda n, x: n + 24 + F.octet_length(x))
+    held = known.agg(F.sum(size_of(F.col("words")) + size_of(F.transform("items", lambda x: x.cast("string"))))).first()[0] or 0
+    few = held <= BROADCAST_BYTES
     hinted = F.broadcast if few else (lambda df: df)
 
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
@@ -98,9 +101,8 @@ def _placed(hashes: Column, length: int) -> Column:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs`` without any hit word, whole and in their own columns."""
     flagged = contamination(docs, benchmark, size).where("n_hit > 0").select("doc_id", "text_hash").distinct()
-    d, f = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d"), flagged.alias("f")
-    return d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._text_hash") == F.col("f.text_hash")),
-                  "left_anti").drop("_text_hash")
+    d, f = docs.alias("d"), flagged.alias("f")
+    return d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.text_hash")), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ spots AS (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS p FRO
 hits AS (SELECT doc_id, p, n, item_id FROM (SELECT doc_id, p, n, array_to_string(words[p:p + n - 1], ' ') AS g FROM spots)
          JOIN known USING (n, g)),
 inside AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS i FROM hits) GROUP BY 1),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l
+found AS (SELECT doc_id, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS l
           FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY 1)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(l, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
