@@ -22,6 +22,8 @@ from slatewright.llm.shared import shared_path, shuffle_partitions
 
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: Text in one bucket of stored batches, which one task reads.
+STORED_BYTES = 64 << 20
 CHUNK = 1 << 18
 BATCHES = "batch bigint, n_bytes bigint, ids array<bigint>, ends array<bigint>, data binary"
 SENT = "bucket int, kind int, batch bigint, keys binary, ids binary, note binary"
@@ -129,11 +131,9 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def store(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES, passing: str | None = None) -> DataFrame:
-    """Batches of whole documents, written once and bucketed by batch id, below the shared folder.
-
-    With the table name ``passing`` they go to the warehouse, which the cluster shares as
-    well, so that DROP TABLE deletes them once what was asked of them is stored.
+def store(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES, path: str | None = None) -> DataFrame:
+    """Batches of whole documents, written once and bucketed by batch id, below the shared folder (at ``path``, so that
+    it can be discarded once what was asked of them is stored). Buckets grow in number with the texts.
 
     A row holds doc_ids (null stays null), the texts' end offsets and their bytes (a null
     text has none). A document longer than ``batch_bytes`` is a batch of its own.
@@ -167,12 +167,12 @@ def store(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES, passing: s
         if ids:
             yield flush()
 
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, BATCHES)
-    path = shared_path(spark, name)
-    table = passing or "llm_" + path.rsplit("/", 1)[-1].replace("-", "_")
-    writer = rows.write.format("parquet").option("compression", "zstd")
-    writer = writer if passing else writer.option("path", path)
-    writer.bucketBy(max(1, shuffle_partitions(spark)), "batch").saveAsTable(table)
+    path = path or shared_path(spark, name)
+    table = "llm_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    (rows.write.format("parquet").option("compression", "zstd").option("path", path)
+     .bucketBy(max(1, shuffle_partitions(spark), -(-total // STORED_BYTES)), "batch").saveAsTable(table))
     return spark.table(table)
 
 
@@ -262,24 +262,28 @@ def ask(sent: DataFrame, n_buckets: int, *answers: Callable, ids_type: str = "in
     one row."""
 
     def respond(arrow_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(arrow_batches)).to_pydict()
         out: list[tuple] = []
-        for k, note in enumerate(rows["note"]):
-            if note is not None:
-                out.append((rows["batch"][k], 0, -1, note))
+        asked: dict[int, list[tuple]] = {}
+        for sent_rows in arrow_batches:  # keys stay where Arrow holds them
+            bucket, kind, batch = (sent_rows.column(i).to_pylist() for i in range(3))
+            for k in range(sent_rows.num_rows):
+                keys, ids, note = (sent_rows.column(i)[k] for i in (3, 4, 5))
+                if note.is_valid:
+                    out.append((batch[k], 0, -1, note.as_py()))
+                if keys.is_valid:
+                    asked.setdefault(kind[k], []).append(
+                        (batch[k], bucket[k], np.frombuffer(keys.as_buffer(), np.uint64),
+                         np.frombuffer(ids.as_buffer(), ids_type) if ids.is_valid else None))
         for kind, answer in enumerate(answers):
-            asked = [k for k, x in enumerate(rows["kind"]) if x == kind and rows["keys"][k] is not None]
-            if not asked:
+            own = sorted(asked.pop(kind, ()), key=lambda x: x[0])
+            if not own:
                 continue
-            asked.sort(key=lambda k: rows["batch"][k])
-            keys = [np.frombuffer(rows["keys"][k], np.uint64) for k in asked]
-            sizes = [len(x) for x in keys]
-            ids = None if rows["ids"][asked[0]] is None else np.concatenate(
-                [np.frombuffer(rows["ids"][k], ids_type) for k in asked])
-            flags = answer(np.concatenate(keys), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), ids)
-            for k, part in zip(asked, np.split(flags, np.cumsum(sizes)[:-1]), strict=True):
+            sizes = [len(x[2]) for x in own]
+            ids = None if own[0][3] is None else np.concatenate([x[3] for x in own])
+            flags = answer(np.concatenate([x[2] for x in own]), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), ids)
+            for (batch_id, bucket_id, *_), part in zip(own, np.split(flags, np.cumsum(sizes)[:-1]), strict=True):
                 raw = (np.packbits(part) if part.dtype == bool else part).tobytes()
-                out.append((rows["batch"][k], kind, rows["bucket"][k], zlib.compress(raw, 1)))
+                out.append((batch_id, kind, bucket_id, zlib.compress(raw, 1)))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
                                          names=["batch", "kind", "bucket", "answer"])

@@ -13,7 +13,6 @@ comparison, so a group of copies costs its size and not its square.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from slatewright.llm import batches as B
 from slatewright.llm.components import connected
-from slatewright.llm.shared import settle
+from slatewright.llm.shared import bring, discard, settle, shared_path
 
 PERCENT = 85
 SHINGLE = 4
@@ -81,6 +80,10 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+#: Shingles whose documents leave a batch together.
+SLICE_SHINGLES = 1 << 16
+_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_a", pa.int64()), ("class_b", pa.int64()), ("rare", pa.int32()),
+                   ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 SETS = ("doc_id bigint, n_shingles bigint, class_a bigint, class_b bigint, rare int, sketch array<bigint>, "
         "prefix array<bigint>, shingles array<bigint>")
 
@@ -93,8 +96,8 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
     the whole set if it has such a prefix or is light, else null; rare: how many counted
     shingles occur nowhere else; sketch: parities of the set's hashes.
     """
-    passing = f"llm_shingles_{uuid.uuid4().hex}"
-    stored = B.store(docs, "shingles", passing=passing)
+    path = shared_path(docs.sparkSession, "shingles")
+    stored = B.store(docs, "shingles", path=path)
     n_buckets = B.bucket_count(stored, 8 * COUNTED / 6)
     limit = np.uint64(int(COUNTED * (1 << 64)) - 1)
     light = most_light(percent)
@@ -117,10 +120,12 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
             hashes, set_ends, counted, _, bounds, own = sets_of(ends, data)
             known = np.full(len(hashes), 256, np.int64)
             known[counted] = B.read_answers(answers, bounds, bits=False)[own]
-            out: dict[str, list] = {name: [] for name in ("doc_id", "n_shingles", "class_a", "class_b", "rare", "sketch",
-                                                          "prefix", "shingles")}
-            a = 0
+            out: dict[str, list] = {name: [] for name in _SETS.names}
+            a = held = 0
             for doc_id, b in zip(ids, set_ends.tolist(), strict=True):
+                if held > SLICE_SHINGLES:  # documents leave in slices, so that a batch's sets aren't held twice
+                    yield pa.RecordBatch.from_pydict(out, schema=_SETS)
+                    out, held = {name: [] for name in _SETS.names}, 0
                 own_set, df = hashes[a:b], known[a:b]
                 n, a = b - a, b
                 order = np.lexsort((own_set, df))
@@ -136,14 +141,12 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
                 out["sketch"].append(_sketch(mixed) if whole else None)
                 out["prefix"].append(prefix.astype(np.int64) if whole else None)
                 out["shingles"].append(own_set.astype(np.int64) if whole else None)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
-                [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_a", pa.int64()), ("class_b", pa.int64()),
-                 ("rare", pa.int32()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
-                 ("shingles", pa.list_(pa.int64()))]))
+                held += n
+            yield pa.RecordBatch.from_pydict(out, schema=_SETS)
 
     replies = B.ask(stored.mapInArrow(send, B.SENT), n_buckets, B.holders, ids_type="uint8")
     found = settle(B.answered(stored, replies).mapInArrow(describe, SETS), "shingle-sets")
-    docs.sparkSession.sql(f"DROP TABLE {passing}")
+    discard(docs.sparkSession, path)  # the batches are answered
     return found
 
 
@@ -255,22 +258,26 @@ def linked_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERC
     sets = shingle_sets(docs, width, percent)
     classes = settle(
         sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class_a", "class_b").agg(
-            F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("rare").alias("rare"),
+            F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("rare").alias("rare"),
             F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles")),
         "shingle-classes")
     links = settle(_links(classes, percent), "links")
     # rows that share a doc_id tie their classes together
-    keyed = sets.select("doc_id", "n_shingles", "class_a", "class_b")
-    ids = classes.select("class_a", "class_b", "class_id")
-    member = keyed.join(ids, ["class_a", "class_b"], "left")
-    shared = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("doc_id")
-    ties = member.join(shared, "doc_id").where("class_id IS NOT NULL AND class_id <> doc_id").select(
+    own = ["class_a", "class_b"]
+    with_set = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", *own)
+    ids = classes.select(*own, "class_id", "rows")
+    shared = with_set.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("doc_id")
+    tied = with_set.select("doc_id", *own).distinct().join(shared, "doc_id")
+    ties = bring(tied, own, ids, "rows", ["class_id"]).where("class_id <> doc_id").select(
         F.least("doc_id", "class_id").alias("x"), F.greatest("doc_id", "class_id").alias("y"))
     label = connected(links.union(ties))
-    named = member.withColumn("_start", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
-    return (named.join(label.select(F.col("node").alias("_start"), "component"), "_start", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(
-                F.coalesce("component", "_start")).alias("component_id")))
+    # labels meet classes, one row each, and then the classes' documents, of which one class may have a third
+    labelled = ids.join(label.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
+        *own, "rows", F.coalesce("component", "class_id").alias("component_id"))
+    found = bring(with_set, own, labelled, "rows", ["component_id"]).select("doc_id", "n_shingles", "component_id")
+    alone = sets.where("n_shingles = 0 OR doc_id IS NULL")
+    alone = alone.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return found.unionByName(alone.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
 def _links(classes: DataFrame, percent: int) -> DataFrame:

@@ -46,6 +46,34 @@ def position(df: DataFrame, keys: list[str | Column], column: str, name: str) ->
             .drop("_part", "_mark", "_shift"))
 
 
+#: A key with more than a HEAVY-th of all rows is heavy; fewer than HEAVY keys can be.
+HEAVY = 1000
+
+
+def bring(rows: DataFrame, keys: list[str], table: DataFrame, size: str, values: list[str], total: int | None = None) -> DataFrame:
+    """``rows`` with the ``values`` that ``table`` has for their ``keys``, null where it has none. ``table`` has one row
+    a key, and ``size``, its number of rows; ``total`` is their sum, if known.
+
+    Keys with more than a HEAVY-th of the rows, so fewer than HEAVY, are broadcast; the rows of all others are
+    shuffled to their values. Rows of heavy keys pass that shuffle under keys that belong to nobody.
+    """
+    if total is None:
+        total = table.agg(F.sum(size)).first()[0] or 0
+    heavy = F.col(size) * HEAVY > F.lit(int(total))
+    at_once = F.broadcast(table.where(heavy).select(*keys, F.struct(*values).alias("_heavy")))
+    others = table.where(~heavy).select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_light"))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int") + 1
+    marked = rows.join(at_once, keys, "left").withColumn("_salt", F.when(F.col("_heavy").isNotNull(), spread).otherwise(0))
+    found = marked.join(others, [*keys, "_salt"], "left").withColumn("_value", F.coalesce("_heavy", "_light"))
+    return found.select(*rows.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``shared_path`` gave, once all that was read from it is stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashes of ``key``.
 

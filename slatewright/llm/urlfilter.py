@@ -18,7 +18,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatewright.llm.shared import settle
+from slatewright.llm.shared import bring, settle
 
 #: A host is blocked if its rate of bad pages exceeds LIMIT with a probability of CONFIDENCE.
 LIMIT = 0.5
@@ -28,8 +28,6 @@ LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 #: Up to so many outcomes and pseudo-pages the tail is summed up; beyond, the beta law is a normal one to 0.001.
 EXACT_UP_TO = 20_000
 _TERMS = 200
-#: A key with more than a HEAVY-th of all rows is heavy; fewer than HEAVY keys can be.
-HEAVY = 1000
 
 #: Labels that, before a country's two letters, are part of a public suffix.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "mil", "ne", "net", "nom", "or", "org")
@@ -128,24 +126,6 @@ def exceeds(alpha: Column, beta: Column, limit: float, confidence: float) -> Col
     return F.when(n <= EXACT_UP_TO, beta_tail(alpha, beta, limit) >= confidence).otherwise(z >= NormalDist().inv_cdf(confidence))
 
 
-def bring(rows: DataFrame, key: str, table: DataFrame, size: str, values: list[str]) -> DataFrame:
-    """``rows`` with the ``values`` that ``table`` has for their ``key``; ``table`` has one row a key, and ``size``, its
-    number of rows.
-
-    Keys with more than a HEAVY-th of the rows, so fewer than HEAVY, are broadcast; the rows of all others are
-    shuffled to their values. Rows of heavy keys pass that shuffle under keys that belong to nobody.
-    """
-    total = table.agg(F.sum(size)).first()[0] or 0
-    heavy = F.col(size) * HEAVY > F.lit(int(total))
-    at_once = F.broadcast(table.where(heavy).select(key, F.struct(*values).alias("_heavy")))
-    others = table.where(~heavy).select(F.struct(F.col(key), F.lit(0)).alias("_key"), F.struct(*values).alias("_light"))
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int") + 1
-    marked = rows.join(at_once, key, "left").withColumn(
-        "_key", F.struct(F.col(key), F.when(F.col("_heavy").isNotNull(), spread).otherwise(0)))
-    found = marked.join(others, "_key", "left").withColumn("_value", F.coalesce("_heavy", "_light"))
-    return found.select(*rows.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
-
-
 def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, confidence: float = CONFIDENCE) -> DataFrame:
     """host, pages, n, bad, rate and blocked for every host of ``pages`` (page_id, url).
 
@@ -175,9 +155,9 @@ def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, conf
 
     mean = F.lit((bad + 0.5) / (n + 1.0))
     suffixes = suffixes.select("suffix", "below", shrunk(s_suffix, mean).alias("above"))
-    domains = bring(domains.withColumnRenamed("below", "hosts"), "suffix", suffixes, "below", ["above"])
+    domains = bring(domains.withColumnRenamed("below", "hosts"), ["suffix"], suffixes, "below", ["above"])
     domains = domains.select("domain", "hosts", shrunk(s_domain, F.col("above")).alias("above"))
-    hosts = bring(hosts, "domain", domains, "hosts", ["above"])
+    hosts = bring(hosts, ["domain"], domains, "hosts", ["above"])
     alpha = F.col("bad") + F.lit(s_host) * F.col("above")
     beta = F.col("n") - F.col("bad") + F.lit(s_host) * (1 - F.col("above"))
     return hosts.select("host", "pages", "n", "bad", shrunk(s_host, F.col("above")).alias("rate"),
@@ -218,6 +198,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float
     hosts = settle(reputation(pages, outcomes, limit, confidence).select("host", "pages", "blocked"), "host-verdicts")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    judged = bring(ruled, "host", hosts, "pages", ["blocked"])
+    judged = bring(ruled, ["host"], hosts, "pages", ["blocked"])
     own = F.when(F.col("blocked"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("_rule.text").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"))
