@@ -1,14 +1,10 @@
-"""Suffix-array deduplication, built block by block with a difference-cover sample.
-
-The suffixes at difference-cover positions are the sample. Their ranks are precomputed:
-each is cut to the length that any two suffixes with a common prefix of ``width`` bytes
-must share at an aligned pair of sample positions, and equal cuts get one rank. A suffix
-can only tie with another over ``width`` bytes if its sample suffix shares its rank; the
-others leave before any sorting. The rest is dealt to blocks, and each block is sorted
-alone by the first ``width`` bytes, so memory is bounded by a block, not by the corpus.
-A suffix is repeated if its neighbour in the block has the same ``width`` bytes. Ties
-beyond ``width`` stay in any order: only equality over ``width`` bytes is asked for, so
-blocks are cut and sorted by fingerprints of these bytes and not by the bytes themselves.
+"""Removal of repeated byte strings by difference-cover anchors and window fingerprints.
+
+No suffix array is built: no suffixes are ordered and no ranks computed. Of each text the
+64-byte anchors at difference-cover positions are asked whether they occur elsewhere; a window
+of ``width`` bytes that repeats holds such an anchor, so windows without one leave. The rest
+are compared by 64-bit fingerprints of their ``width`` bytes (the bucket adds further bits), not
+byte by byte. The README says why this stands in place of blockwise suffix sorting.
 """
 
 from __future__ import annotations
