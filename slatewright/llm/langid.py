@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewright.llm.shared import hashed_sample, settle
+from slatewright.llm.shared import bring, hashed_sample, settle
+from slatewright.llm.urlfilter import domain_of
 
 #: The most rows with a known language that are used to fit, chosen by a hash of their doc_id.
 FIT_ROWS = 8_000
@@ -112,10 +113,6 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def domain_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-
-
 def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
     """page_id, host, domain, declared (language of the markup), suffix (language that the host's last label or a
     first folder names) and text: log likelihoods of the visible text, one a language."""
@@ -147,7 +144,8 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
 
     First each page is judged by itself: text likelihood, markup and address suffix, each
     with an error rate. The pages' shares are summed by host, domain and overall (summed
-    in each task first, so a host with a third of all pages is no hot key), and smoothed
+    in each task first, and brought back to the pages in as many tasks as it takes, so a host with a third of all
+    pages is no hot key), and smoothed
     down the hierarchy: a host's prior leans on its domain's, and that on all pages'. A
     page's own shares are taken out of the sums before they judge it. Pages without host,
     text or known declarations get what is left; null html is empty; repeated rows count
@@ -171,16 +169,16 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     k = range(len(langs))
     sums = [F.sum(F.get("shares", i)).alias(f"_s{i}") for i in k]
     totals = [F.sum(f"_s{i}").alias(f"_s{i}") for i in k]
-    hosts = settle(judged.groupBy("domain", "host").agg(*sums), "host-shares")
-    domains = hosts.groupBy("domain").agg(*totals)
+    hosts = settle(judged.groupBy("domain", "host").agg(F.count(F.lit(1)).alias("pages"), *sums), "host-shares")
+    domains = hosts.groupBy("domain").agg(F.count(F.lit(1)).alias("hosts"), *totals)
     everything = hosts.agg(*totals).first()
     overall = [ALL_STRENGTH / len(langs) + (everything[f"_s{i}"] or 0.0) for i in k]
     overall = [x / sum(overall) for x in overall]
 
     listed = lambda df, name: df.select(*[c for c in df.columns if not c.startswith("_s")],
                                         F.array(*[f"_s{i}" for i in k]).alias(name))
-    priors = listed(hosts, "_host").join(listed(domains, "_domain"), "domain")
-    joined = judged.join(priors.select("domain", "host", "_host", "_domain"), ["domain", "host"])
+    priors = bring(listed(hosts, "_host"), ["domain"], listed(domains, "_domain"), "hosts", ["_domain"])
+    joined = bring(judged, ["domain", "host"], priors, "pages", ["_host", "_domain"])
     minus = lambda a, b: F.greatest(F.lit(0.0), a - b)
     total = lambda c: F.aggregate(c, F.lit(0.0), add)
     base = F.array(*[F.lit(x) for x in overall])

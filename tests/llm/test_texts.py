@@ -35,7 +35,7 @@ def brute_contamination(docs, items, size=10):
             for p in range(len(words) - n + 1):
                 if items_here := windows.get(tuple(words[p:p + n])):
                     hit |= set(range(p, p + n))
-                    found |= items_here
+                    found |= items_here - {None}
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         out.append((doc_id, len(words), len(hit), len(found), digest, bool(hit)))
     return out
@@ -45,8 +45,9 @@ def test_contamination(spark):
     docs = [(1, "a b c d e f g h i j k É A"), (None, "A-B c"), (2, None), (3, ""), (3, ""), (4, "x É q"), (4, "..x É.."),
             (5, "é Zq"), (6, "b c d e f g h i j k l " * 300)]
     items = [(1, "x é"), (2, "a b c d e f g h i j k"), (3, ""), (4, None), (11, "X É q!"), (9, "c"), (9, "c")]
-    d = spark.createDataFrame([(*r, 1) for r in docs], DOCS + ", pos int")
-    b = spark.createDataFrame([*items, (None, "a")], "item_id long, text string")
+    d = spark.createDataFrame([(*r, 1, 2) for r in docs], DOCS + ", pos int, _text_hash int")
+    items += [(None, "a"), (None, "é zq"), (12, "é ZQ")]  # items without id hit, and are not listed
+    b = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, items string")
     got = decontamination.digest(decontamination.contamination(d, b)).collect()
     assert Counter(map(tuple, got)) == Counter(brute_contamination(docs, items))
     clean = decontamination.clean_documents(d, b)
@@ -182,6 +183,77 @@ def test_fingerprints(spark):
     assert alone.near_next == 1.0
 
 
+def plain_prints(texts):
+    """Prints of texts from their definition, with the public hash function; the lexicon comes from ``texts``."""
+    import regex
+    import xxhash
+
+    def h64(raw, seed=42):
+        return xxhash.xxh64_intdigest(raw, seed=seed & (1 << 64) - 1)
+
+    def numbered(term_hash, number):
+        return h64(number.to_bytes(4, "little"), h64(term_hash.to_bytes(8, "little")))
+
+    def words(text):
+        return sorted({w for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", text.lower()) if w}, key=lambda w: w.encode())
+
+    df = Counter(h64(w.encode()) for t in texts for w in words(t))
+    n = len(texts)
+    band = {w for w, k in df.items() if max(2.0, imatch.RARE * n) <= k <= max(2.0, imatch.COMMON * n)}
+
+    def level(k):
+        return next((i for i, most in enumerate(imatch.LEVEL_TERMS) if k <= most), len(imatch.LEVEL_TERMS))
+
+    def of(text):
+        own = [h for h in (h64(w.encode()) for w in words(text)) if h in band]
+        whole = 0
+        for h in own:
+            whole ^= numbered(h, 7)
+        if not own:
+            whole = 42
+            for w in words(text):
+                whole = h64(w.encode(), whole)
+        codes = []
+        for lv, one_in in enumerate(imatch.LEVELS):
+            for j in range(imatch.SUBSETS):
+                held = [h for h in own if numbered(h, 32 * lv + j) % one_in == 0]
+                if held and abs(lv - level(len(own))) <= 1:
+                    code = 0
+                    for h in held:
+                        code ^= numbered(h, 7)
+                    codes.append((32 * lv + j) << 16 | code & 0xFFFF)
+        return len(own), whole, sorted(codes)
+
+    def alike(a, b):
+        if a[1] == b[1]:
+            return 1.0
+        la, lb = sorted((level(a[0]), level(b[0])))
+        on = lb if lb - la <= 1 else lb - 1
+        x, y = ({c for c in p[2] if c >> 21 == on} for p in (a, b))
+        either = {c >> 16 for c in x | y}
+        return len(x & y) / len(either) if either and lb - la <= 2 else 0.0
+
+    def text_of(p):
+        return f"{p[1]:x}:{p[0]}:" + "".join(f"{c:06x}" for c in p[2])
+
+    return of, alike, text_of
+
+
+def test_fingerprints_are_the_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(10_001, None), (10_002, "of the"), (10_003, "of the"), (10_004, "")], DOCS)
+    docs = docs.union(odd)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    of, alike, text_of = plain_prints(texts)
+    prints = [of(t) for t in texts]
+    for k, row in enumerate(sorted(imatch.edited_likeness(docs).collect(), key=lambda r: r.doc_id)):
+        after = (k + 1) % len(texts)
+        q = len(texts[k]) // 4
+        edited = of(texts[k][:len(texts[k]) - q] + texts[after][:q])
+        assert row.fingerprint == text_of(prints[k]) and row.edited_fingerprint == text_of(edited), row.doc_id
+        assert abs(row.near_edited - alike(prints[k], edited)) < 1e-12 and abs(row.near_next - alike(prints[k], prints[after])) < 1e-12
+
+
 # --- toxicity ----------------------------------------------------------------------
 
 def test_automaton_equals_edit_distance():
