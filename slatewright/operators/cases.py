@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatewright.operators.ranking import top_n
+
 
 def session_lengths(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return log.groupBy(*keys, "session_id").agg(F.max("pos").alias("n"))
@@ -91,6 +93,14 @@ def named_only(log: DataFrame, unnamed_items: DataFrame) -> DataFrame:
     return log.join(touched.select("session_id").distinct(), "session_id", "left_anti")
 
 
+def first_distinct(rows: DataFrame, n: int, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """``keys, pos, item_id``: the first ``n`` different items of each case, at their first place; what is beyond is cut
+    before anything is gathered."""
+    keys = list(keys)
+    firsts = rows.groupBy(*keys, "item_id").agg(F.min("pos").alias("pos"))
+    return top_n(firsts, keys, [F.col("pos")], n).select(*keys, "pos", "item_id")
+
+
 def as_arrays(rows: DataFrame, keys: Sequence[str] = ("case_id",),
               max_items: int | None = None) -> DataFrame:
     """``case_id, items``: ordered arrays, for sequence tables and text.

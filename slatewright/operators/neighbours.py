@@ -8,8 +8,9 @@ lists are short together meets all their sessions. Otherwise only what the sampl
   by a rarer item, and so gets a uniform sample of its own;
 * recent: lists are numbered by recency, so the first ``sample_size`` of each suffice;
 * greedy idf: rare items' lists are read whole, the item that overfills the sample is drawn from;
-* idf: sessions are grouped by the set of hot items they hold; all sessions of a set
-  get the same hot score, so ``sample_size`` sessions per set suffice.
+* idf: rare items' lists are read whole; hot items' only for prompts that a session with hot
+  items alone could still enter, and then once for each set of hot items, as all its sessions
+  score alike.
 
 What the sampled sessions share with the prompt is then taken from the sessions' own items.
 """
@@ -127,9 +128,6 @@ def _sample_order(options: NeighbourOptions):
     }[options.sampling]
 
 
-_PAIR_SUMS = ("both", "dot", "idf_sum")
-
-
 def _item_rank(df="df", item="item_id"):
     """The rarity of an item as one sortable number: frequency, then item id."""
     rank = F.col(df).cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col(item)
@@ -229,33 +227,42 @@ def _draws(scored: DataFrame, lists: DataFrame, index: NeighbourIndex, options:
             return found
         exhausted = waiting.where(F.col("_total") <= start).select("case_id")
         if not exhausted.isEmpty():
-            rest = (lists.join(exhausted, "case_id", "left_semi").select("case_id", "item_id")
-                    .join(places.drop("number"), "item_id").select("case_id", "session_id").distinct()
+            rest = (lists.join(exhausted, "case_id", "left_semi").join(places.drop("number"), "item_id")
+                    .select("case_id", "session_id", F.col("item_id").alias("_by"), F.col("df").alias("_df"))
                     .join(found.select("case_id", "session_id"), ["case_id", "session_id"], "left_anti"))
-            found = cut_lineage(found.unionByName(overlaps(rest, scored, index).withColumn("draw", F.lit(None).cast("long"))))
+            own = overlaps(rest, scored, index, "_by", "_df").where(F.col("best") == _item_rank("_df", "_by")).drop("_by", "_df")
+            found = cut_lineage(found.unionByName(own.withColumn("draw", F.lit(None).cast("long"))))
             waiting = cut_lineage(waiting.where(F.col("_total") > start))
             if waiting.isEmpty():
                 return found
 
 
 def _idf_pairs(scored: DataFrame, index: NeighbourIndex, options: NeighbourOptions) -> DataFrame:
+    """Sessions with the largest sums of idf. Those that share a light item are met through the light items' lists and
+    summed up whole. A session without one reaches no more than the sum of the case's hot items; where the sample is
+    full of larger sums, hot lists stay unread."""
+    n, order = options.sample_size, _sample_order(options)
     hot = index.items.where(F.col("df") > options.hot_df).select("item_id")
     weights = index.postings.drop("number")
     if hot.isEmpty():
-        pairs = _pair_aggregates(scored.join(weights, "item_id"))
-        return top_n(pairs, ["case_id"], _sample_order(options), options.sample_size, name="sample_rank")
-    light = scored.join(hot, "item_id", "left_anti")
+        return top_n(_pair_aggregates(scored.join(weights, "item_id")), ["case_id"], order, n, name="sample_rank")
+    light = scored.join(hot, "item_id", "left_anti").select("case_id", "item_id")
+    met = light.join(weights.select("item_id", "session_id"), "item_id").select("case_id", "session_id").distinct()
+    best = cut_lineage(top_n(overlaps(met, scored, index), ["case_id"], order, n, name="_r").drop("_r"))
     hot_prompts = scored.join(hot, "item_id", "left_semi")
+    within = _open_cases(best, hot_prompts, n)
     hot_weights = weights.join(hot, "item_id", "left_semi")
-    pairs = _pair_aggregates(light.join(weights, "item_id")).withColumn("rest", F.lit(0.0))
-    merged = pairs.unionByName(_hot_idf_pairs(hot_prompts, hot_weights, options)).groupBy("case_id", "session_id").agg(
-        *[F.sum(c).alias(c) for c in _PAIR_SUMS], F.max("last_pos").alias("last_pos"),
-        F.min("best").alias("best"), F.max("rest").alias("rest"),
-        *[F.max(c).alias(c) for c in ("n", "p_norm", "s_norm", "s_size", "s_end")])
-    merged = _complete_idf(merged, hot_prompts, hot_weights)
-    sampled = top_n(merged.withColumn("idf_sum", F.round(F.col("idf_sum") + F.col("rest"), 9)),
-                    ["case_id"], _sample_order(options), options.sample_size, name="sample_rank")
-    return overlaps(sampled.select("case_id", "session_id", "sample_rank"), scored, index, "sample_rank")
+    more = _hot_idf_keys(hot_prompts.join(within, "case_id", "left_semi"), hot_weights, options)
+    new = more.join(best.select("case_id", "session_id"), ["case_id", "session_id"], "left_anti")
+    return top_n(best.unionByName(overlaps(new, scored, index)), ["case_id"], order, n, name="sample_rank")
+
+
+def _open_cases(best: DataFrame, hot_prompts: DataFrame, n: int) -> DataFrame:
+    """``case_id`` of the cases whose sample a session with hot items alone may still enter."""
+    most = hot_prompts.groupBy("case_id").agg(F.round(F.sum("idf"), 9).alias("_most"))
+    filled = best.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"), F.min("idf_sum").alias("_least"))
+    still = F.col("_n").isNull() | (F.col("_n") < n) | (F.col("_least") <= F.col("_most"))
+    return cut_lineage(most.join(filled, "case_id", "left").where(still).select("case_id"))
 
 
 def _signatures(rows: DataFrame, key: str) -> DataFrame:
@@ -273,8 +280,10 @@ def _signature_scores(prompt_sigs, session_sigs, hot_prompts):
     return left.join(right, "item_id").groupBy("p_sig", "s_sig").agg(F.sum("idf").alias("rest"))
 
 
-def _hot_idf_pairs(hot_prompts, hot_weights, options):
-    """The best sessions of each prompt judged by hot items alone."""
+def _hot_idf_keys(hot_prompts, hot_weights, options):
+    """``case_id, session_id``: the best sessions of each prompt judged by hot items alone.
+
+    Sessions with the same set of hot items score alike, so the first ``sample_size`` of a set stand for it."""
     prompt_sigs = _signatures(hot_prompts, "case_id")
     session_sigs = _signatures(hot_weights, "session_id")
     lists = top_n(session_sigs, ["sig"], [F.col("session_id")], options.sample_size, name="_r")
@@ -283,26 +292,7 @@ def _hot_idf_pairs(hot_prompts, hot_weights, options):
     members = ranked.join(lists.select(F.col("sig").alias("s_sig"), "session_id"), "s_sig")
     best = top_n(members, ["p_sig"], [F.desc("_score"), F.col("session_id")],
                  options.sample_size, name="_q").select("p_sig", "session_id")
-    found = prompt_sigs.withColumnRenamed("sig", "p_sig").join(best, "p_sig").drop("p_sig")
-    sessions = hot_weights.groupBy("session_id").agg(
-        *[F.max(c).alias(c) for c in ("s_norm", "s_size", "s_end")])
-    cases = hot_prompts.groupBy("case_id").agg(*[F.max(c).alias(c) for c in ("n", "p_norm")])
-    return found.join(sessions, "session_id").join(cases, "case_id").select(
-        "case_id", "session_id", F.lit(0).cast("long").alias("both"), F.lit(0.0).alias("dot"),
-        F.lit(0.0).alias("idf_sum"), F.lit(0).cast("long").alias("last_pos"),
-        F.lit(None).cast("decimal(38,0)").alias("best"), F.lit(0.0).alias("rest"),
-        "n", "p_norm", "s_norm", "s_size", "s_end")
-
-
-def _complete_idf(pairs, hot_prompts, hot_weights):
-    prompt_sigs = _signatures(hot_prompts, "case_id")
-    session_sigs = _signatures(hot_weights, "session_id")
-    scores = _signature_scores(prompt_sigs, session_sigs, hot_prompts)
-    labelled = (pairs.drop("rest")
-                .join(prompt_sigs.withColumnRenamed("sig", "p_sig"), "case_id", "left")
-                .join(session_sigs.withColumnRenamed("sig", "s_sig"), "session_id", "left"))
-    return labelled.join(scores, ["p_sig", "s_sig"], "left").withColumn(
-        "rest", F.coalesce("rest", F.lit(0.0))).drop("p_sig", "s_sig")
+    return prompt_sigs.withColumnRenamed("sig", "p_sig").join(best, "p_sig").select("case_id", "session_id")
 
 
 def item_similarity(pairs: DataFrame, name: str, n_items) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +57,15 @@ def _project(items: DataFrame, matrix: np.ndarray, shift: np.ndarray) -> DataFra
 
 
 def reduce_random(items: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Gaussian random projection with entries from N(0, 1/k)."""
-    matrix = np.random.default_rng(seed).normal(0.0, 1.0 / np.sqrt(k), (_dim(items), k))
-    return _project(items, matrix, np.zeros(matrix.shape[0]))
+    """Gaussian random projection with entries from N(0, 1/k), hashed from the seed and their place."""
+    d = _dim(items)
+
+    def uniform(*parts: int) -> float:
+        return (int(hashlib.md5(":".join(map(str, (seed, *parts))).encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+
+    matrix = np.array([[math.sqrt(-2 * math.log(uniform(i, j, 0))) * math.cos(2 * math.pi * uniform(i, j, 1)) for j in range(k)]
+                       for i in range(d)])
+    return _project(items, matrix / math.sqrt(k), np.zeros(d))
 
 
 def reduce_lda(items: DataFrame, k: int, label: str = "class") -> DataFrame:
@@ -77,24 +86,14 @@ def reduce_lda(items: DataFrame, k: int, label: str = "class") -> DataFrame:
                 mine = x[y == c]
                 total = totals.setdefault(int(c), np.zeros(d + 1))
                 total += np.append(mine.sum(0), len(mine))
-        rows = [(-1, outer)] + [(c, t) for c, t in totals.items()]
-        grp = np.concatenate([np.full(len(v), g) for g, v in rows])
-        slot = np.concatenate([np.arange(len(v)) for _, v in rows])
-        value = np.concatenate([v for _, v in rows])
-        flag = np.concatenate([np.full(len(v), i == 0) for i, (_, v) in enumerate(rows)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(flag), pa.array(grp.astype(np.int64)), pa.array(slot), pa.array(value)],
-            names=["is_outer", "grp", "slot", "value"])
-
-    rows = (items.select("embedding", F.col(label).cast("long"))
-            .mapInArrow(sums, "is_outer boolean, grp long, slot long, value double")
-            .groupBy("is_outer", "grp", "slot").agg(F.sum("value").alias("value")).collect())
-    outer, means = np.zeros(d * d), {}
-    for row in rows:
-        if row["is_outer"]:
-            outer[row["slot"]] = row["value"]
-        else:
-            means.setdefault(row["grp"], np.zeros(d + 1))[row["slot"]] = row["value"]
+        # one row for the products and one a class
+        yield pa.RecordBatch.from_arrays([pa.array([None, *totals], pa.int64()), pa.array([outer, *totals.values()], pa.list_(pa.float64()))],
+                                         names=["grp", "sums"])
+
+    rows = (items.select("embedding", F.col(label).cast("long")).mapInArrow(sums, "grp long, sums array<double>")
+            .groupBy("grp").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).collect())
+    means = {row["grp"]: row["sums"].toArray() for row in rows}
+    outer = means.pop(None)
     counts = np.array([m[d] for m in means.values()])
     centres = np.array([m[:d] / m[d] for m in means.values()])
     n, k = counts.sum(), min(k, d, len(counts) - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slatewright.functions.decay import EMBEDDING_FLOOR, decay_weight
 from slatewright.functions.vectors import dot, norm
-from slatewright.operators import clusters, embedding, reduction
+from slatewright.operators import blocks, clusters, embedding, reduction
 from slatewright.operators.embedding import SimilarityOptions, recommend_similar, session_vectors
 from slatewright.operators.popularity import item_counts, recommend_popular
 from slatewright.plans import workload
@@ -200,8 +200,56 @@ add("pca_all_axes_v1", full_pca, """
   , mean AS (SELECT i, avg(v[i]) AS m FROM vecs, range(1, 65) r(i) GROUP BY 1)
   SELECT item_id, round(sqrt(sum((v[i] - m) ** 2)), 6) AS length FROM vecs, mean GROUP BY 1""", "vecs")
 add("pca_16_v1", reduced_summary("pca", 16))
-add("random_projection_v2", reduced_summary("random", 16))
+add("random_projection_v2", lambda s, d: reduction.reduce_embeddings(workload.vectors(s, d), "random", 16).select(
+    "item_id", F.size("embedding").alias("dim"), F.round(F.element_at("embedding", 1), 6).alias("first"),
+    F.round(norm("embedding"), 6).alias("length")), """
+  , u AS (SELECT i, j, part, (('0x' || substr(md5('42:' || i || ':' || j || ':' || part), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS x
+          FROM range(0, 64) a(i), range(0, 16) b(j), range(0, 2) c(part)),
+  entries AS (SELECT a.i, a.j, sqrt(-2 * ln(a.x)) * cos(2 * pi() * b.x) / sqrt(16.0::DOUBLE) AS e
+              FROM u a JOIN u b ON a.i = b.i AND a.j = b.j AND a.part = 0 AND b.part = 1),
+  shown AS (SELECT item_id, j, sum(v[i + 1] * e) AS x FROM vecs, entries GROUP BY 1, 2)
+  SELECT item_id, count(*)::INTEGER AS dim, round(max(CASE WHEN j = 0 THEN x END), 6) AS first, round(sqrt(sum(x * x)), 6) AS length
+  FROM shown GROUP BY 1""", "vecs")
 add("discriminant_v3", reduced_summary("lda", 16))
+
+
+def axes_law(method, k, label):
+    """Covariance of the reduced vectors' axes within classes (or of all): axis, other, value, and whether the spread
+    between classes (or of all) falls from axis to axis."""
+    def run(spark, sf_dir):
+        rows = reduction.reduce_embeddings(workload.vectors(spark, sf_dir), method, k)
+        own = [label] if label else []
+        long = rows.select("item_id", *own, F.posexplode("embedding").alias("axis", "x"))
+        mean = long.groupBy(*own, "axis").agg(F.avg("x").alias("m"))
+        centred = long.join(mean, [*own, "axis"]).select("item_id", "axis", (F.col("x") - F.col("m")).alias("x"))
+        other = centred.select("item_id", F.col("axis").alias("other"), F.col("x").alias("y"))
+        found = centred.join(other, "item_id").groupBy("axis", "other").agg(F.avg(F.col("x") * F.col("y")).alias("c"))
+        return found
+    return run
+
+
+def within_law(spark, sf_dir):
+    found = axes_law("lda", 16, "class")(spark, sf_dir)
+    return found.select("axis", "other", (F.round("c", 4) + 0.0).alias("within"))
+
+
+# Discriminant axes have unit spread within classes and no covariance; of ten classes there are nine.
+add("discriminant_within_v3", within_law, """
+  WITH c AS (SELECT least(16, count(DISTINCT label) - 1) AS k FROM embeddings)
+  SELECT a::INTEGER AS axis, b::INTEGER AS other, (a = b)::INT::DOUBLE AS within FROM c, range(0, k) x(a), range(0, k) y(b)""")
+
+
+def principal_law(spark, sf_dir):
+    """Covariances of the first 16 principal axes; each axis spreads no more than the one before."""
+    found = axes_law("pca", 16, None)(spark, sf_dir)
+    spread = found.where("axis = other").select((F.col("axis") + 1).alias("axis"), F.col("c").alias("before"))
+    return found.join(spread, "axis", "left").select(
+        "axis", "other", ((F.col("axis") == F.col("other")) | (F.abs("c") < 1e-8)).alias("uncorrelated"),
+        ((F.col("axis") != F.col("other")) | F.col("before").isNull() | (F.col("c") <= F.col("before") + 1e-12)).alias("falling"))
+
+
+add("principal_axes_v1", principal_law, """
+  SELECT a::INTEGER AS axis, b::INTEGER AS other, true AS uncorrelated, true AS falling FROM range(0, 16) x(a), range(0, 16) y(b)""")
 add("unit_rows_v4_v5", lambda s, d: reduction.normalise_rows(workload.vectors(s, d)).select(
     "item_id", F.round(F.element_at("embedding", 1), 6).alias("first"),
     F.round(dot("embedding", "embedding"), 6).alias("square")), """
@@ -216,6 +264,21 @@ def clustered(spark, sf_dir):
 add("cluster_sizes_v6", lambda s, d: clusters.cluster_sizes(clustered(s, d)[0]))
 
 
+def cluster_law(spark, sf_dir):
+    """All items have one cluster, whose centre is their nearest one."""
+    assigned, centres = clustered(spark, sf_dir)
+    items = workload.vectors(spark, sf_dir)
+    nearest = blocks.nearest(items.select(F.col("item_id").alias("case_id"), F.col("embedding").alias("vector")), centres, 1,
+                             "negative_euclidean", item="cluster", embedding="centre")
+    near = nearest.select(F.col("case_id").alias("item_id"), F.col("cluster").alias("near"))
+    return assigned.join(near, "item_id").agg(
+        F.countDistinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n_items"),
+        F.count_if(F.col("cluster") != F.col("near")).alias("n_far"))
+
+
+add("cluster_assignment_v6", cluster_law, "SELECT 20::BIGINT AS n_clusters, count(*) AS n_items, 0::BIGINT AS n_far FROM embeddings")
+
+
 def labelled_clusters(spark, sf_dir):
     """The embedding labels as clusters, part names as names (small parts have none)."""
     assigned = workload.vectors(spark, sf_dir).select("item_id", F.col("class").cast("long").alias("cluster"))

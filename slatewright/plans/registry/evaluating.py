@@ -189,7 +189,10 @@ add("report_table_n14_n18", lambda s, d: E.report_table(
 add("best_flags_n14", lambda s, d: E.flag_best(rounded(two_model_report(s, d), "value")), with_recs("""
   SELECT model, top_k, metric, round(value, 6) AS value,
          rank() OVER (PARTITION BY metric, top_k ORDER BY round(value, 6) DESC) = 1 AS is_best FROM report"""), *NEED)
-add("report_json_n14", lambda s, d: E.report_json(rounded(two_model_report(s, d), "value")))
+add("report_json_n14", lambda s, d: E.report_json(two_model_report(s, d).withColumn("value", F.col("value").cast("decimal(18,6)"))),
+    with_recs("""
+  SELECT model, '{' || string_agg('"' || metric || '@' || top_k || '":' || value::DECIMAL(18, 6), ',' ORDER BY metric || '@' || top_k)
+         || '}' AS json FROM report GROUP BY 1"""), *NEED)
 
 
 def same_names(spark, sf_dir):

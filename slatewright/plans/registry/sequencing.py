@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slatewright.functions.vectors import norm
-from slatewright.functions.sequences import last_items
 from slatewright.operators import cases, ids, reduction
 from slatewright.operators import sequences as Q
 from slatewright.plans import workload
@@ -87,8 +86,8 @@ add("multi_hot_p12", whole_space, """
 
 
 def recent(spark, sf_dir):
-    arrays = cases.as_arrays(dataset(spark, sf_dir).prompts)
-    return arrays.select("case_id", F.array_join(last_items(F.col("items"), 12), ",").alias("items"))
+    arrays = cases.as_arrays(dataset(spark, sf_dir).prompts, max_items=12)
+    return arrays.select("case_id", F.array_join("items", ",").alias("items"))
 
 
 add("last_items_p13", recent, """
@@ -98,8 +97,8 @@ add("last_items_p13", recent, """
 
 
 def distinct_lists(spark, sf_dir):
-    arrays = cases.as_arrays(dataset(spark, sf_dir).prompts)
-    return arrays.select("case_id", F.array_join(F.slice(F.array_distinct("items"), 1, 25), ",").alias("items"))
+    arrays = cases.as_arrays(cases.first_distinct(dataset(spark, sf_dir).prompts, 25))
+    return arrays.select("case_id", F.array_join("items", ",").alias("items"))
 
 
 add("distinct_lists_p14_p15", distinct_lists, """

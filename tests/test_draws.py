@@ -75,6 +75,15 @@ def test_greedy_fills_from_the_overfull_item(spark, log):
     assert set(fill) == {s for s in range(60) if s % 2} and all(abs(n - mean) < 5 * mean ** 0.5 for n in fill.values())
 
 
+def test_greedy_reads_the_rest_of_a_list_once(spark, log):
+    """The overfull item's list is nearly wholly shared with rarer items, so draws run out."""
+    index = NeighbourIndex.of(log)
+    for size in (14, 20, 29):
+        rows = sample(spark, index, N.NeighbourOptions(k=5, sample_size=size, sampling="idf_greedy", draw_factor=1), [1, 2, 3, *range(10, 40)], 12)
+        assert Counter(r.case_id for r in rows) == {c: size for c in range(12)}
+        assert len({(r.case_id, r.session_id) for r in rows}) == len(rows)
+
+
 def test_overlaps_of_drawn_pairs_are_whole(spark, log):
     index = NeighbourIndex.of(log)
     cells = {(r.session_id, r.item_id) for r in log.collect()}

@@ -76,6 +76,19 @@ def test_hot_items_do_not_change_neighbours(spark, log, sampling):
     assert results[0] == results[1] and len(results[0]) > 50
 
 
+def test_hot_lists_stay_unread_where_the_sample_is_full(spark, log):
+    """Prompts of two rare items and a hot one fill their sample before the hot item's list is needed."""
+    index = N.NeighbourIndex.of(log)
+    rows = [(c, p + 1, x) for c in range(8) for p, x in enumerate((c, c + 8, 100))] + [(50, 1, 100)]
+    prompts = spark.createDataFrame(rows, "case_id long, pos long, item_id long")
+    scored = N.prompt_vectors(N.normalised_prompts(prompts, index.items), None).join(index.items, "item_id")
+    hot = scored.where("item_id = 100")
+    best = N.overlaps(scored.where("item_id <> 100").join(index.postings.select("item_id", "session_id"), "item_id")
+                      .select("case_id", "session_id").distinct(), scored, index)
+    assert {r.case_id for r in N._open_cases(best, hot, 3).collect()} == {50}
+    assert {r.case_id for r in N._open_cases(best, hot, 60).collect()} == {*range(8), 50}
+
+
 @pytest.mark.parametrize("options", [
     dict(k=0), dict(k=10, sample_size=5), dict(sampling="other"), dict(similarity="none"),
     dict(decay="log", similarity="jaccard"), dict(prompt_strategy="concat"), dict(draw_factor=0)])
