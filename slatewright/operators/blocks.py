@@ -101,8 +101,7 @@ class _Best:
         order = np.argsort(ids)
         ids, y = ids[order], y[order]
         scores = np.round(_scores(self.x, y, self.measure), 9)
-        if self.seen is not None:
-            _push_down(scores, self.seen, ids)
+        self.push_down(scores, ids)
         for row, own in enumerate(scores):
             top = _best(own, ids, self.k)
             if self.strict:
@@ -115,6 +114,10 @@ class _Best:
             else:
                 self.rows[row] = ids[top], own[top]
 
+    def push_down(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        if self.seen is not None:
+            _push_down(scores, self.seen, ids)
+
     def table(self, queries: np.ndarray, names: list[str]) -> pa.RecordBatch:
         sizes = [len(ids) for ids, _ in self.rows]
         columns = [np.repeat(queries, sizes), np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes] or [np.empty(0, np.int32)]),
@@ -144,7 +147,6 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine
     item_columns = items.select(F.col(item).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     # a task holds the k best of so many queries at once
     most = max(1, min(QUERY_ROWS, HELD_ROWS // max(1, k)))
-    context = queries.sparkSession.sparkContext
 
     def parts(batch: pa.RecordBatch):
         for at in range(0, batch.num_rows, most):
@@ -152,8 +154,61 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine
             x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
             yield part.column(0).to_numpy(), _Best(x, k, measure, part.column(2) if seen else None, strict)
 
+    return _ranked(queries.select(*columns), parts, most, item_columns, n_items, dim, names, schema)
+
+
+class _BestOfPrefixes(_Best):
+    """The k best items of prefixes of one session; an item counts as seen from the place it was first met at."""
+
+    def __init__(self, x: np.ndarray, upto: np.ndarray, first: pa.StructArray, k: int, measure: str, strict: bool) -> None:
+        super().__init__(x, k, measure, None, strict)
+        self.upto = upto
+        self.known = first.field("id").to_numpy(zero_copy_only=False)
+        self.first = first.field("first").to_numpy(zero_copy_only=False)
+
+    def push_down(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        at = np.searchsorted(ids, self.known)
+        inside = at < len(ids)
+        inside[inside] = ids[at[inside]] == self.known[inside]
+        scores[:, at[inside]] += np.where(self.first[inside][None, :] <= self.upto[:, None], SEEN_PENALTY, 0.0)
+
+
+def nearest_of_prefixes(packs: DataFrame, items: DataFrame, k: int, measure: str, pack: int, strict: bool = False,
+                        item: str = "item_id", embedding: str = "embedding") -> DataFrame:
+    """``case_id, rank, item_id, score``: the k best items for each prefix of packs of prefixes.
+
+    A pack holds ``session_id``, ``chunk``, ``prefixes`` (id, upto, v), at most ``pack`` of them, and ``seen`` (id, first): the
+    session's items with the place each was first met at. Items that a prefix has met come last (or not at all if
+    ``strict``). The list is sent once a pack and is no longer than the catalogue, whose products every prefix needs anyway.
+    """
+    if measure not in MEASURES:
+        raise ValueError(f"unknown measure {measure!r}; choose one of {MEASURES}")
+    n_items = items.count()
+    k = n_items if k == -1 else min(k, n_items)
+    dim = (items.select(F.size(embedding)).first() or [0])[0]
+    item_columns = items.select(F.col(item).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    most = max(1, min(pack, HELD_ROWS // max(1, k)))
+
+    def parts(batch: pa.RecordBatch):
+        for i in range(batch.num_rows):
+            rows, first = batch.column(1)[i].values, batch.column(2)[i].values
+            for at in range(0, len(rows), most):
+                part = rows.slice(at, most)
+                x = part.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                yield part.field("id").to_numpy(), _BestOfPrefixes(x, part.field("upto").to_numpy(), first, k, measure, strict)
+
+    queries = packs.select(F.xxhash64("session_id", "chunk").alias("id"), "prefixes", "seen")
+    schema = f"case_id long, rank int, {item} long, score double"
+    return _ranked(queries, parts, max(1, QUERY_ROWS // pack), item_columns, n_items, dim, ["case_id", "rank", item, "score"], schema)
+
+
+def _ranked(queries: DataFrame, parts, at_once: int, items: DataFrame, n_items: int, dim: int, names: list[str], schema: str) -> DataFrame:
+    """``queries``, spread by ``id``, each walked past all items; ``parts`` makes lists of the best from a batch of them.
+
+    ``at_once`` queries meet a stream of item blocks together where the items are too large to be broadcast."""
+    context = queries.sparkSession.sparkContext
     if n_items * (dim * 8 + 24) <= BROADCAST_BYTES:
-        held = item_columns.toArrow().combine_chunks()
+        held = items.toArrow().combine_chunks()
         flat = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False) if n_items else np.empty(0)
         known = context.broadcast((held.column("id").to_numpy(), flat.reshape(n_items, -1) if n_items else np.empty((0, 0))))
 
@@ -165,15 +220,15 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine
                         best.take(ids[at:at + BLOCK_ROWS], y[at:at + BLOCK_ROWS])
                     yield best.table(query_ids, names)
 
-        return queries.select(*columns).repartition(4 * context.defaultParallelism, "id").mapInArrow(walk, schema)
+        return queries.repartition(4 * context.defaultParallelism, "id").mapInArrow(walk, schema)
 
-    n_left = max(context.defaultParallelism, math.ceil(queries.count() / most))
+    columns = queries.columns
+    n_left = max(context.defaultParallelism, math.ceil(queries.count() / at_once))
     n_right = _blocks_for(n_items)
-    entry = F.struct("id", "v", *(["seen"] if seen else []))
     empty = F.array().cast("array<struct<id:bigint,v:array<double>>>")
-    left = (queries.select(*columns).groupBy(F.pmod(F.xxhash64("id"), F.lit(n_left)).alias("lb")).agg(F.collect_list(entry).alias("queries"))
+    left = (queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_left)).alias("lb")).agg(F.collect_list(F.struct(*columns)).alias("queries"))
             .select("lb", F.lit(-1).cast("long").alias("rb"), "queries", empty.alias("items")))
-    right = (item_columns.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_right)).alias("rb"))
+    right = (items.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_right)).alias("rb"))
              .agg(F.collect_list(F.struct("id", "v")).alias("items")))
     blocks = right.withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))))
     streams = left.unionByName(blocks.select("lb", "rb", F.lit(None).cast(left.schema["queries"].dataType).alias("queries"), "items"))
@@ -188,8 +243,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine
                     for ids, best in held:
                         yield best.table(ids, names)
                     block, rows = batch.column(0)[i].as_py(), batch.column(2)[i].values
-                    held = list(parts(pa.RecordBatch.from_arrays([rows.field(c) for c in ("id", "v", *(["seen"] if seen else []))],
-                                                                 names=["id", "v", *(["seen"] if seen else [])])))
+                    held = list(parts(pa.RecordBatch.from_arrays([rows.field(c) for c in columns], names=columns)))
                 elif batch.column(0)[i].as_py() == block:
                     ids, y, _ = _matrix(batch.column(3)[i])
                     for _, best in held:

@@ -39,7 +39,7 @@ def _evolving_id(step, max_id: int):
 
 
 def _max_session(log: DataFrame) -> int:
-    return log.agg(F.max("session_id").alias("m")).first()["m"]
+    return log.agg(F.max("session_id").alias("m")).first()["m"] or 0
 
 
 def evolving_cases(log: DataFrame, n_withheld: int = 1) -> DataFrame:

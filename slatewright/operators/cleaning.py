@@ -71,30 +71,30 @@ def duplicate_items(items: DataFrame, key: str = "item_id") -> DataFrame:
 def k_core(log: DataFrame, min_rows: int = 5) -> DataFrame:
     """Largest sub-log where each session and each item has ``min_rows`` rows.
 
-    Rows are counted once by session and once by item. Each round removes the keys of
-    both kinds that have too few, and takes the rows they had off the other side's
-    counts, until none fails. Only counts and removed keys are written between rounds;
-    the log is filtered once at the end. The result does not depend on the order.
+    Rows are counted once by session and once by item. A step marks the keys of one kind that have
+    too few, and takes the rows they had off the other kind's counts, until none fails. A step writes
+    one table, the other kind's counts; the log is filtered once at the end. The result does not
+    depend on the order.
     """
-    sides = ("session_id", "item_id")
-    counts = {key: cut_lineage(log.groupBy(key).agg(F.count(F.lit(1)).alias("n"))) for key in sides}
-    removed = {key: counts[key].select(key).limit(0) for key in sides}
-    quiet = 0
+    sides, columns = ("session_id", "item_id"), log.columns
+    counts = {key: cut_lineage(log.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("gone"))) for key in sides}
+    few, quiet = F.col("n") < min_rows, 0
     while quiet < 2:
         for key, other in (sides, sides[::-1]):
-            failing = cut_lineage(counts[key].where(F.col("n") < min_rows).select(key))
+            failing = counts[key].where(few & ~F.col("gone")).select(key)
             if failing.isEmpty():
                 quiet += 1
                 continue
             quiet = 0
-            lost = (log.join(failing, key, "left_semi").join(removed[other], other, "left_anti")
+            gone = counts[other].where("gone").select(other)
+            lost = (log.join(failing, key, "left_semi").join(gone, other, "left_anti")
                     .groupBy(other).agg(F.count(F.lit(1)).alias("_lost")))
-            removed[key] = cut_lineage(removed[key].union(failing))
-            counts[key] = cut_lineage(counts[key].where(F.col("n") >= min_rows))
-            left = counts[other].join(lost, other, "left")
-            counts[other] = cut_lineage(left.select(other, (F.col("n") - F.coalesce("_lost", F.lit(0))).alias("n")))
-    return log.join(removed["session_id"], "session_id", "left_anti").join(
-        removed["item_id"], "item_id", "left_anti").select(*log.columns)
+            counts[key] = counts[key].withColumn("gone", few)
+            counts[other] = cut_lineage(counts[other].join(lost, other, "left").select(
+                other, (F.col("n") - F.coalesce("_lost", F.lit(0))).alias("n"), "gone"))
+    for key in sides:
+        log = log.join(counts[key].where(few).select(key), key, "left_anti")
+    return log.select(*columns)
 
 
 def fill_unnamed(items: DataFrame, dim: int, placeholder: str = "Unknown item") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from slatewright.operators import cases, splitting
 from slatewright.operators import evaluation as E
 from slatewright.operators.embedding import SimilarityOptions, recommend_similar
+from slatewright.operators.evolving import recommend_similar_evolving
 from slatewright.operators.hybrids import diversity_filter, rank_ensemble
 from slatewright.operators.index import NeighbourIndex
 from slatewright.operators.metrics import Metric
@@ -42,8 +43,10 @@ class Popular:
         return replace(self, train=train)
 
     def recommend(self, prompts, k):
-        cases = prompts.where("pos = 1").select("case_id")
-        return recommend_popular(self.train, cases, k, self.name)
+        return recommend_popular(self.train, prompts.where("pos = 1").select("case_id"), k, self.name)
+
+    def recommend_evolving(self, test, k, n_withheld=1):
+        return recommend_popular(self.train, cases.evolving_cases(test, n_withheld).select("case_id"), k, self.name)
 
 
 @dataclass(frozen=True)
@@ -67,6 +70,10 @@ class Neighbours:
     def recommend(self, prompts, k):
         return recommend_neighbours(prompts, self.index, k, self.options, self.items, self.name)
 
+    def recommend_evolving(self, test, k, n_withheld=1):
+        """Linear in the log where ``last_n_items`` says how much of a prefix counts."""
+        return self.recommend(cases.evolving_prompts(test, n_withheld, self.options.last_n_items), k)
+
 
 @dataclass(frozen=True)
 class Similar:
@@ -88,6 +95,9 @@ class Similar:
     def recommend(self, prompts, k):
         return recommend_similar(prompts, self.items, k, self.options, self.name)
 
+    def recommend_evolving(self, test, k, n_withheld=1):
+        return recommend_similar_evolving(test, self.items, k, self.options, n_withheld, self.name)
+
 
 def run_models(models: Sequence[Recommender], data: Dataset, top_ks: Sequence[int] = (10, 20),
                metrics: Sequence[str | Metric] = E.DEFAULT_METRICS) -> DataFrame:
@@ -101,6 +111,24 @@ def run_models(models: Sequence[Recommender], data: Dataset, top_ks: Sequence[in
                       n_items=counts.agg(F.count(F.lit(1))).scalar())
 
 
+def run_evolving(models: Sequence[Recommender], data: Dataset, top_ks: Sequence[int] = (10, 20),
+                 metrics: Sequence[str | Metric] = E.DEFAULT_METRICS, n_withheld: int = 1) -> DataFrame:
+    """As :func:`run_models`, with every prefix of a test session as a case.
+
+    A model with ``recommend_evolving`` reads the sessions themselves; others get the prefixes written out.
+    """
+    recs = None
+    for model in models:
+        fitted = model.fit(data.train, data.items)
+        own = getattr(fitted, "recommend_evolving", None)
+        part = (own(data.test, max(top_ks), n_withheld) if own is not None
+                else fitted.recommend(cases.evolving_prompts(data.test, n_withheld), max(top_ks)))
+        recs = part if recs is None else recs.unionByName(part)
+    counts = item_counts(data.train)
+    return E.evaluate(recs, cases.evolving_truths(data.test, n_withheld), top_ks, metrics, item_counts=counts,
+                      n_items=counts.agg(F.count(F.lit(1))).scalar())
+
+
 def run_folds(models: Sequence[Recommender], data: Dataset, folds: DataFrame,
               top_ks: Sequence[int] = (10, 20), metrics: Sequence[str | Metric] = E.DEFAULT_METRICS,
               n_withheld: int = 1) -> tuple[DataFrame, DataFrame]:
