@@ -7,8 +7,10 @@ block decodes alone.
 Model of a block: the last id seen after the two ids before (order 2), after the one id
 before (order 1) and the most frequent id so far (order 0) are predictions. Their weights
 come from a set that the confidence of the predictions selects, and follow the ids coded
-(an online mixture). What the mixture leaves goes to all ids by a fixed law over their
-bit lengths, as vocabularies give frequent pieces small ids.
+(an online mixture). What the mixture leaves goes to all ids by their bits, from the
+highest: each node of the tree of ids has a probability that follows the ids coded there
+(order 0). Nodes start from a fixed law over bit lengths, as vocabularies give frequent
+pieces small ids. All arithmetic is on integers, so every machine codes alike.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"SWR1"
+MAGIC = b"SWR2"
 BLOCK = 2048
-LANES = 4096
+LANES = 1024
 HEAD = struct.Struct("<4sI")
 ENTRY = struct.Struct("<III")
 
@@ -32,19 +34,41 @@ _FULL = (1 << 48) - 1
 _RENORM = np.uint64(1 << 32)
 _S16 = np.uint64(16)
 _S32 = np.uint64(32)
+_S12 = np.uint64(12)
+_ZERO = np.uint64(0)
 _FLOOR = 8
 #: Weights move toward this sum at this rate, so that together they stay below _TOTAL.
 _AIM = np.int32(62000)
 _RATE = np.int32(5)
 
-# The fixed law: bit length k = 0..16 has a share that grows with k, spread evenly over its ids.
-_LAW_BITS = np.uint64(24)
-_UNIT = np.array([3 * (k + 2) << 15 >> max(0, k - 1) for k in range(17)], np.uint64)
-_FIRST = np.array([0] + [1 << (k - 1) for k in range(1, 17)], np.uint64)
-_IDS = np.array([1] + [1 << (k - 1) for k in range(1, 17)], np.uint64)
-_CLASS_START = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_UNIT * _IDS)])
-_LAW_SIZE = np.repeat(_UNIT, _IDS.astype(np.int64))
-_LAW_START = np.cumsum(_LAW_SIZE) - _LAW_SIZE
+# A node holds the probability of a 1 in its upper 12 bits, and how often it was passed, up to 15, in the lower 4.
+_BITS = 16
+_SURE = 8
+
+
+def _start() -> np.ndarray:
+    """Nodes before any id. Bit length k = 0..16 has a share that grows with k, spread evenly over its ids."""
+    lengths = np.concatenate([[0], np.repeat(np.arange(1, 17), 1 << np.arange(16))])
+    law = np.array([3 * (k + 2) << 15 >> max(0, k - 1) for k in range(17)], np.int64)[lengths]
+    nodes = np.zeros(2 * _TOTAL, np.int64)
+    nodes[_TOTAL:] = law
+    for depth in range(_BITS - 1, -1, -1):
+        below = nodes[2 << depth:4 << depth]
+        nodes[1 << depth:2 << depth] = below[0::2] + below[1::2]
+    at = np.arange(1, _TOTAL)
+    ones = np.concatenate([[1 << 11], (nodes[2 * at + 1] << 12) // nodes[at]])
+    return (np.clip(ones, _SURE, 4096 - _SURE) << 4).astype(np.uint16)
+
+
+def _passed() -> np.ndarray:
+    """The node after a 0 and after a 1, by ``bit << 16 | node``; early bits move it the most."""
+    node = np.arange(_TOTAL, dtype=np.int64)
+    p, n = node >> 4, node & 15
+    after = [np.clip(p + (2 * (aim - p)) // (2 * n + 3), _SURE, 4096 - _SURE) << 4 | np.minimum(n + 1, 15) for aim in (0, 4096)]
+    return np.concatenate(after).astype(np.uint16)
+
+
+_START, _PASSED = _start(), _passed()
 
 
 class _Model:
@@ -66,6 +90,7 @@ class _Model:
         self.weights = np.tile(start.reshape(32), lanes)
         self.a = np.zeros(lanes, np.uint32)
         self.b = np.zeros(lanes, np.uint32)
+        self.nodes = np.tile(_START, lanes)
 
     def shrink(self, lanes: int) -> None:
         """The last lane has ended."""
@@ -112,31 +137,54 @@ class _Out:
     def __init__(self, lanes: int, steps: int) -> None:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, _FULL, np.uint64)
-        self.width = 3 * steps + 8
+        self.width = 14 * steps + 8  # no id takes more than 16 times 9 and 13 bits
         self.words = np.zeros(lanes * self.width, np.uint16)
         self.used = np.arange(lanes, dtype=np.int64) * self.width
 
-    def settle(self, low: np.ndarray, width: np.ndarray) -> None:
-        """Carries go into the words that are out; lanes with a short range give one or two words."""
-        n, used, words = len(low), self.used, self.words
-        for i in np.flatnonzero(low > _LOW).tolist():
-            k = used[i] - 1
-            while words[k] == 0xFFFF:
-                words[k] = 0
+    def carry(self, lanes: np.ndarray) -> None:
+        for i in lanes.tolist():
+            k = self.used[i] - 1
+            while self.words[k] == 0xFFFF:
+                self.words[k] = 0
                 k -= 1
-            words[k] += 1
-        low &= _LOW
+            self.words[k] += 1
+
+    def settle(self, low: np.ndarray, width: np.ndarray, lanes: np.ndarray) -> None:
+        """Of these lanes those with a short range give a word or more, carries first."""
         short = np.flatnonzero(width < _RENORM)
         while len(short):
-            part, narrow, at = low.take(short), width.take(short) << _S16, used.take(short)
-            words[at] = part >> _S32
-            used[short] = at + 1
+            who, part, narrow = lanes.take(short), low.take(short), width.take(short) << _S16
+            over = part > _LOW
+            if over.any():
+                self.carry(who[over])
+                part &= _LOW
+            at = self.used.take(who)
+            self.words[at] = part >> _S32
+            self.used[who] = at + 1
             low[short] = (part << _S16) & _LOW
             width[short] = narrow
             short = short[narrow < _RENORM]
-        self.low[:n], self.range[:n] = low, width
+
+    def put_bits(self, x: np.ndarray, lanes: np.ndarray, model: _Model) -> None:
+        """Ids that were not predicted, bit by bit."""
+        low, width, row = self.low.take(lanes), self.range.take(lanes), lanes << _BITS
+        self.settle(low, width, lanes)
+        x = x.astype(np.int64) | _TOTAL
+        for depth in range(_BITS - 1, -1, -1):
+            at = row + (x >> depth + 1)
+            bit = x >> depth & 1
+            node = model.nodes.take(at)
+            ones = (width >> _S12) * (node >> np.uint16(4))
+            model.nodes[at] = _PASSED.take(bit << 16 | node)
+            one = bit.view(bool)[::8]
+            low += np.where(one, _ZERO, ones)
+            width = np.where(one, ones, width - ones)
+            self.settle(low, width, lanes)
+        self.low[lanes], self.range[lanes] = low, width
 
     def finish(self) -> list[bytes]:
+        self.carry(np.flatnonzero(self.low > _LOW))
+        self.low &= _LOW
         for shift in (32, 16, 0):
             self.words[self.used] = self.low >> np.uint64(shift) & np.uint64(0xFFFF)
             self.used += 1
@@ -164,7 +212,7 @@ def _encode_lanes(ids: np.ndarray, n: int, last: int, steps: int) -> list[bytes]
     padded = np.zeros(n * steps, np.uint32)
     padded[:len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(n, steps).T)
-    model, out, lanes = _Model(n), _Out(n, steps), n
+    model, out, lanes, every = _Model(n), _Out(n, steps), n, np.arange(n)
     for t in range(steps):
         if t == last:
             lanes = n - 1
@@ -181,12 +229,11 @@ def _encode_lanes(ids: np.ndarray, n: int, last: int, steps: int) -> list[bytes]
         step = out.range[:lanes] >> _S16
         low = out.low[:lanes] + start.astype(np.uint64) * step
         width = (stop - start).astype(np.uint64) * step
+        out.settle(low, width, every[:lanes])
+        out.low[:lanes], out.range[:lanes] = low, width
         other = np.flatnonzero(start == end0)
-        own = x.take(other)
-        step = width.take(other) >> _LAW_BITS
-        low[other] += _LAW_START.take(own) * step
-        width[other] = _LAW_SIZE.take(own) * step
-        out.settle(low, width)
+        if len(other):
+            out.put_bits(x.take(other), other, model)
         model.learn(x, is2, is1, is0)
     return out.finish()
 
@@ -202,17 +249,35 @@ class _In:
             self.next += 1
         self.range = np.full(len(words), _FULL, np.uint64)
 
-    def settle(self, value: np.ndarray, width: np.ndarray) -> None:
+    def settle(self, value: np.ndarray, width: np.ndarray, lanes: np.ndarray) -> None:
         short = np.flatnonzero(width < _RENORM)
         while len(short):
-            at, narrow = self.next.take(short), width.take(short) << _S16
+            who, narrow = lanes.take(short), width.take(short) << _S16
             if not narrow.all():  # what no encoder writes
                 raise ValueError("a block is damaged")
+            at = self.next.take(who)
             value[short] = value.take(short) << _S16 | self.flat.take(at, mode="clip")
-            self.next[short] = at + 1
+            self.next[who] = at + 1
             width[short] = narrow
             short = short[narrow < _RENORM]
-        self.value[:len(value)], self.range[:len(value)] = value, width
+
+    def get_bits(self, lanes: np.ndarray, model: _Model) -> np.ndarray:
+        value, width, row = self.value.take(lanes), self.range.take(lanes), lanes << _BITS
+        self.settle(value, width, lanes)
+        x = np.ones(len(lanes), np.int64)
+        for _ in range(_BITS):
+            at = row + x
+            node = model.nodes.take(at)
+            ones = (width >> _S12) * (node >> np.uint16(4))
+            one = value < ones
+            bit = one.astype(np.int64)
+            model.nodes[at] = _PASSED.take(bit << 16 | node)
+            value -= np.where(one, _ZERO, ones)
+            width = np.where(one, ones, width - ones)
+            x = x << 1 | bit
+            self.settle(value, width, lanes)
+        self.value[lanes], self.range[lanes] = value, width
+        return x & _TOTAL - 1
 
 
 def decode(frame: bytes | memoryview, lanes: int = LANES) -> np.ndarray:
@@ -233,7 +298,7 @@ def decode(frame: bytes | memoryview, lanes: int = LANES) -> np.ndarray:
 def _decode_lanes(blocks: list[tuple[int, bytes, int]]) -> np.ndarray:
     n, steps, last = len(blocks), blocks[0][0], blocks[-1][0]
     columns = np.zeros((steps, n), np.uint32)
-    model, source, lanes = _Model(n), _In([b[1] for b in blocks]), n
+    model, source, lanes, every = _Model(n), _In([b[1] for b in blocks]), n, np.arange(n)
     for t in range(steps):
         if t == last:
             lanes = n - 1
@@ -249,16 +314,11 @@ def _decode_lanes(blocks: list[tuple[int, bytes, int]]) -> np.ndarray:
         x = np.where(is2, model.c2, np.where(is1, model.c1, model.likely))
         value = source.value[:lanes] - start.astype(np.uint64) * step
         width = (stop - start).astype(np.uint64) * step
+        source.settle(value, width, every[:lanes])
+        source.value[:lanes], source.range[:lanes] = value, width
         other = np.flatnonzero(~is0)
-        step = width.take(other) >> _LAW_BITS
-        target = np.minimum(value.take(other) // np.maximum(step, np.uint64(1)), _CLASS_START[-1] - np.uint64(1))
-        k = np.searchsorted(_CLASS_START, target, "right") - 1
-        own = _FIRST.take(k) + (target - _CLASS_START.take(k)) // _UNIT.take(k)
-        x[other] = own
-        at = own.astype(np.int64)
-        value[other] -= _LAW_START.take(at) * step
-        width[other] = _LAW_SIZE.take(at) * step
-        source.settle(value, width)
+        if len(other):
+            x[other] = source.get_bits(other, model)
         columns[t, :lanes] = x
         model.learn(x, is2, is1 & ~is2, is0 & ~is1)
     out = []
