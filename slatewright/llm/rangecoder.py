@@ -32,10 +32,13 @@ _TOTAL = 1 << 16
 _LOW = np.uint64((1 << 48) - 1)
 _FULL = (1 << 48) - 1
 _RENORM = np.uint64(1 << 32)
+#: Bits between two settlings. A bit takes at most 9 bits of a range and rounding 12, so three leave 2^5 of 2^32.
+#: The places are the same in every lane: a block's code must not depend on the blocks coded beside it.
+_BETWEEN = 3
 _S16 = np.uint64(16)
 _S32 = np.uint64(32)
 _S12 = np.uint64(12)
-_ZERO = np.uint64(0)
+_ZERO, _ONE = np.uint64(0), np.uint64(1 << 12)
 _FLOOR = 8
 #: Weights move toward this sum at this rate, so that together they stay below _TOTAL.
 _AIM = np.int32(62000)
@@ -46,18 +49,32 @@ _BITS = 16
 _SURE = 8
 
 
+# The nodes of four levels lie side by side, so that the path of an id crosses four places of memory: below each
+# prefix of 0, 4, 8 or 12 bits there are 16 nodes, the first one unused.
+_LEVELS = ((0, 0), (4, 1), (8, 17), (12, 273))
+_NODES = 16 * (1 + 16 + 256 + 4096)
+
+
 def _start() -> np.ndarray:
     """Nodes before any id. Bit length k = 0..16 has a share that grows with k, spread evenly over its ids."""
     lengths = np.concatenate([[0], np.repeat(np.arange(1, 17), 1 << np.arange(16))])
     law = np.array([3 * (k + 2) << 15 >> max(0, k - 1) for k in range(17)], np.int64)[lengths]
-    nodes = np.zeros(2 * _TOTAL, np.int64)
-    nodes[_TOTAL:] = law
-    for depth in range(_BITS - 1, -1, -1):
-        below = nodes[2 << depth:4 << depth]
-        nodes[1 << depth:2 << depth] = below[0::2] + below[1::2]
-    at = np.arange(1, _TOTAL)
-    ones = np.concatenate([[1 << 11], (nodes[2 * at + 1] << 12) // nodes[at]])
-    return (np.clip(ones, _SURE, 4096 - _SURE) << 4).astype(np.uint16)
+    nodes = np.full(_NODES, 1 << 15, np.uint16)
+    for bits, first in _LEVELS:
+        for depth in range(4):
+            shares = law.reshape(2 << bits + depth, -1).sum(axis=1)
+            ones = (shares[1::2] << 12) // (shares[0::2] + shares[1::2])
+            prefix = np.arange(1 << bits + depth)
+            at = (first + (prefix >> depth)) * 16 + (1 << depth | prefix & (1 << depth) - 1)
+            nodes[at] = np.clip(ones, _SURE, 4096 - _SURE) << 4
+    return nodes
+
+
+def _paths() -> np.ndarray:
+    """Where the 16 nodes of each id lie."""
+    x = np.arange(_TOTAL)
+    return np.stack([(first + (x >> _BITS - bits)) * 16 + (1 << depth | x >> _BITS - bits - depth & (1 << depth) - 1)
+                     for bits, first in _LEVELS for depth in range(4)], axis=1).astype(np.int32)
 
 
 def _passed() -> np.ndarray:
@@ -68,7 +85,8 @@ def _passed() -> np.ndarray:
     return np.concatenate(after).astype(np.uint16)
 
 
-_START, _PASSED = _start(), _passed()
+_START, _PATHS, _PASSED = _start(), _paths(), _passed()
+_DEPTHS = np.arange(_BITS - 1, -1, -1, dtype=np.uint32)
 
 
 class _Model:
@@ -167,19 +185,20 @@ class _Out:
 
     def put_bits(self, x: np.ndarray, lanes: np.ndarray, model: _Model) -> None:
         """Ids that were not predicted, bit by bit."""
-        low, width, row = self.low.take(lanes), self.range.take(lanes), lanes << _BITS
-        self.settle(low, width, lanes)
-        x = x.astype(np.int64) | _TOTAL
-        for depth in range(_BITS - 1, -1, -1):
-            at = row + (x >> depth + 1)
-            bit = x >> depth & 1
-            node = model.nodes.take(at)
-            ones = (width >> _S12) * (node >> np.uint16(4))
-            model.nodes[at] = _PASSED.take(bit << 16 | node)
-            one = bit.view(bool)[::8]
-            low += np.where(one, _ZERO, ones)
-            width = np.where(one, ones, width - ones)
-            self.settle(low, width, lanes)
+        low, width = self.low.take(lanes), self.range.take(lanes)
+        at = _PATHS.take(x, axis=0) + (lanes * _NODES)[:, None]
+        bits = x[:, None] >> _DEPTHS & np.uint32(1)
+        node = model.nodes.take(at)
+        model.nodes[at] = _PASSED.take(bits << np.uint32(16) | node)
+        p = np.ascontiguousarray((node >> np.uint16(4)).T).astype(np.uint64)
+        one = np.ascontiguousarray(bits.T).astype(bool)
+        start, share = np.where(one, _ZERO, p), np.where(one, p, _ONE - p)
+        for depth in range(_BITS):
+            width >>= _S12
+            low += width * start[depth]
+            width *= share[depth]
+            if depth % _BETWEEN == _BETWEEN - 1:
+                self.settle(low, width, lanes)
         self.low[lanes], self.range[lanes] = low, width
 
     def finish(self) -> list[bytes]:
@@ -262,22 +281,27 @@ class _In:
             short = short[narrow < _RENORM]
 
     def get_bits(self, lanes: np.ndarray, model: _Model) -> np.ndarray:
-        value, width, row = self.value.take(lanes), self.range.take(lanes), lanes << _BITS
-        self.settle(value, width, lanes)
-        x = np.ones(len(lanes), np.int64)
-        for _ in range(_BITS):
-            at = row + x
-            node = model.nodes.take(at)
-            ones = (width >> _S12) * (node >> np.uint16(4))
-            one = value < ones
-            bit = one.astype(np.int64)
-            model.nodes[at] = _PASSED.take(bit << 16 | node)
-            value -= np.where(one, _ZERO, ones)
-            width = np.where(one, ones, width - ones)
-            x = x << 1 | bit
-            self.settle(value, width, lanes)
+        value, width, row = self.value.take(lanes), self.range.take(lanes), lanes * _NODES
+        x = np.zeros(len(lanes), np.int64)
+        for bits, first in _LEVELS:
+            base, own = row + (x + first) * 16, np.ones(len(lanes), np.int64)
+            for depth in range(4):
+                at = base + own
+                node = model.nodes.take(at)
+                p = node >> np.uint16(4)
+                width >>= _S12
+                ones = width * p
+                one = value < ones
+                bit = one.astype(np.int64)
+                model.nodes[at] = _PASSED.take(bit << 16 | node)
+                value -= np.where(one, _ZERO, ones)
+                width *= np.where(one, p, np.uint16(1 << 12) - p)
+                own = own << 1 | bit
+                if (bits + depth) % _BETWEEN == _BETWEEN - 1:
+                    self.settle(value, width, lanes)
+            x = x << 4 | own & 15
         self.value[lanes], self.range[lanes] = value, width
-        return x & _TOTAL - 1
+        return x
 
 
 def decode(frame: bytes | memoryview, lanes: int = LANES) -> np.ndarray:

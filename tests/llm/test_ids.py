@@ -29,6 +29,27 @@ def test_repetition_is_cheap_and_damage_is_found():
         rangecoder.decode(bytes(frame))
 
 
+def test_blocks_are_smaller_than_zlib_and_decode_alone():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 50257, rng.integers(1, 4)) for _ in range(3000)]
+    ids = np.concatenate([words[int(k) % 3000] for k in rng.zipf(1.3, 20000)]).astype(np.uint32)
+    whole = len(rangecoder.encode(ids))
+    plain = sum(len(zlib.compress(ids[i:i + rangecoder.BLOCK].astype("<u2").tobytes(), 9)) for i in range(0, len(ids), rangecoder.BLOCK))
+    assert whole < plain
+    for first in (0, 3 * rangecoder.BLOCK):
+        part = ids[first:first + rangecoder.BLOCK]
+        alone = rangecoder.encode(part)
+        assert (rangecoder.decode(alone) == part).all()
+        assert alone[rangecoder.HEAD.size:] in rangecoder.encode(ids)
+
+
+def test_carries_and_rare_bits():
+    """Each id comes when its bits are least likely, so ranges are narrow and carries run far."""
+    ids = np.concatenate([np.tile([a, a ^ 65535], 40) for a in range(0, 65536, 997)] + [np.arange(65536)[::-1]])
+    for block in (16, 2048):
+        assert (rangecoder.decode(rangecoder.encode(ids, block)) == ids).all()
+
+
 def test_large_ids_are_refused():
     with pytest.raises(ValueError):
         rangecoder.encode(np.array([65536]))
