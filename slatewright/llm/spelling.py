@@ -135,7 +135,7 @@ def first_nodes(stored: DataFrame) -> dict[tuple[int, int], tuple[int, int, list
                 part, seq, words = (batch.column(i)[k].as_py() for i in range(3))
                 path, new = [], 0
                 for path in _walk(words, [], 0):  # as if nothing were shared with earlier segments
-                    new = max(new, path[-1] + 1)
+                    new = max(new, path[-1] + 1) if path else new  # the empty word has no node of its own
                 yield pa.RecordBatch.from_pydict(
                     {"part": [part], "seq": [seq], "n": [len(words)], "new": [new], "head": [words[0]], "tail": [words[-1]], "path": [path]},
                     schema=pa.schema([("part", pa.int64()), ("seq", pa.int32()), ("n", pa.int64()), ("new", pa.int64()),
