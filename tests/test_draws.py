@@ -154,3 +154,18 @@ def test_stored_index_reads_no_log(spark, log, tmp_path):
     # the sessions of an item, and the items of a session, are met where they lie
     plan = again.index.postings.join(spark.createDataFrame([(1,)], "item_id long").hint("merge"), "item_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_draws_are_not_broadcast(spark, log):
+    """The draws of a case are judged by their own number, not by the one row they were made from."""
+    waiting = spark.range(20).select(F.col("id").alias("case_id"), F.lit(30).cast("long").alias("_total")).repartition(2)
+    spans = spark.range(2000).selectExpr("id % 20 AS case_id", "id AS item_id", "floor(id / 20) AS lo", "1L AS df")
+    drawn = draws.drawn_places(waiting, spans, "case_id", "_total", "df", 1, 0, 500)
+    assert drawn.count() == 20 * 500
+    assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_samples_are_as_large_as_the_others():
+    from slatewright.plans.registry import neighbours as registered
+    for sampling in N.SAMPLINGS:
+        assert "sample_rank <= 50)" in registered.SQL[f"neighbour_sample_hot_{sampling}_k8"]
