@@ -2,6 +2,8 @@
 
 import random
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -89,6 +91,34 @@ def test_hot_lists_stay_unread_where_the_sample_is_full(spark, log):
     assert {r.case_id for r in N._open_cases(best, hot, 60).collect()} == {*range(8), 50}
 
 
+@pytest.mark.parametrize("sampling", N.SAMPLINGS)
+def test_ways_to_read_lists_do_not_change_samples(spark, log, sampling, monkeypatch):
+    prompts = log.where("session_id < 20").select(F.col("session_id").alias("case_id"), "pos", "item_id")
+    index, options = N.NeighbourIndex.of(log.where("session_id >= 20")), N.NeighbourOptions(
+        k=5, sample_size=8, sampling=sampling, hot_df=12, draw_factor=1, idf_weighting=True)
+    results = []
+    for lookup, share in ((1024, 1), (2, 0)):
+        monkeypatch.setattr(N, "LOOKUP", lookup)
+        monkeypatch.setattr(N, "HOT_SHARE", share)
+        vectors = N.prompt_vectors(N.normalised_prompts(prompts, index.items), "harmonic")
+        pairs = N.sampled_pairs(vectors, index, options).select("case_id", "sample_rank", "session_id", "both", "last_pos", F.round("dot", 9))
+        recs = N.recommend_neighbours(prompts, index, 10, options)
+        results.append((sorted(tuple(r) for r in pairs.collect()), sorted(tuple(r) for r in recs.collect())))
+    assert results[0] == results[1] and len(results[0][0]) > 50 and len(results[0][1]) > 50
+
+
+def test_candidates_are_shuffled_as_sessions(spark, log):
+    """Neighbours' items reach the case's task as one row a neighbour, and aren't shuffled again."""
+    index = N.NeighbourIndex.of(log)
+    prompts = log.where("session_id < 20").select(F.col("session_id").alias("case_id"), "pos", "item_id")
+    options = N.NeighbourOptions(k=5, sample_size=8)
+    items = N.prompt_vectors(N.normalised_prompts(prompts, index.items), None)
+    pairs = items.select("case_id", (F.col("case_id") + 20).alias("session_id"), F.lit(1.0).alias("sim")).distinct()
+    for scores in (N.scored_candidates(pairs, index.cells, items, index.items, options), N._whole_pairs(items.join(index.items, "item_id"), index)):
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\(case_id#\w+, (item|session)_id", plan)
+
+
 @pytest.mark.parametrize("options", [
     dict(k=0), dict(k=10, sample_size=5), dict(sampling="other"), dict(similarity="none"),
     dict(decay="log", similarity="jaccard"), dict(prompt_strategy="concat"), dict(draw_factor=0)])
@@ -153,6 +183,26 @@ def test_pair_quantiles_and_moments(items, monkeypatch):
     assert blocks.ordered_pair_quantiles(df, levels) == pytest.approx(np.quantile(both, levels).tolist(), abs=1e-9)
 
 
+def test_pair_quantiles_of_copies(spark):
+    """Copies have a cosine of exactly 1, which must not be lost between the passes."""
+    x = np.array([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]] * 4)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "item_id long, embedding array<double>")
+    pairs = np.clip(x @ x.T, -1, 1)[np.triu_indices(len(x), 1)]
+    levels = [0.0, 0.25, 0.5, 0.75, 1.0]
+    assert blocks.similarity_quantiles(df, levels) == pytest.approx(np.quantile(pairs, levels).tolist(), abs=1e-9)
+
+
+def test_item_blocks_are_copied_to_few_groups_of_queries(items, monkeypatch):
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 1)
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    x, df = items
+    queries = df.select(F.col("item_id").alias("case_id"), F.col("embedding").alias("vector"))
+    found = blocks.nearest(queries, df, 3, "dot")
+    assert found.rdd.getNumPartitions() == df.sparkSession.sparkContext.defaultParallelism
+    monkeypatch.setattr(blocks, "STREAM_BYTES", (6 * 8 + 24) * 5)
+    assert blocks.nearest(queries, df, 3, "dot").rdd.getNumPartitions() == max(30, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def test_rolling_mean_over_chunks(spark):
     series = spark.range(500).select(F.col("id").alias("step"), (F.col("id") * F.col("id") % 37).cast("double").alias("x"))
     got = [r["rolling"] for r in stats.rolling_mean(series, "x", window=16, chunk=50).orderBy("step").collect()]
