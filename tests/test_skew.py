@@ -1,7 +1,6 @@
 """Split paths for large keys give what the plain ones give."""
 
 import random
-
 import re
 
 import numpy as np
@@ -112,8 +111,8 @@ def test_candidates_are_shuffled_as_sessions(spark, log):
     index = N.NeighbourIndex.of(log)
     prompts = log.where("session_id < 20").select(F.col("session_id").alias("case_id"), "pos", "item_id")
     options = N.NeighbourOptions(k=5, sample_size=8)
-    items = N.prompt_vectors(N.normalised_prompts(prompts, index.items), None)
-    pairs = items.select("case_id", (F.col("case_id") + 20).alias("session_id"), F.lit(1.0).alias("sim")).distinct()
+    items = N.prompt_vectors(N.normalised_prompts(prompts, index.items), None).localCheckpoint()
+    pairs = items.select("case_id", (F.col("case_id") + 20).alias("session_id"), F.lit(1.0).alias("sim")).distinct().localCheckpoint()
     for scores in (N.scored_candidates(pairs, index.cells, items, index.items, options), N._whole_pairs(items.join(index.items, "item_id"), index)):
         plan = scores._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"Exchange hashpartitioning\(case_id#\w+, (item|session)_id", plan)
