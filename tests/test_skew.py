@@ -220,3 +220,33 @@ def test_one_busy_day_and_sparse_ids(spark):
     assert rank_overall(busy.limit(0), [F.col("ts")]).count() == 0
     within = rank_within(busy, ["ts"], [F.col("item_id")], hot_rows=100)
     assert within.select(expected.columns).exceptAll(expected).isEmpty() and within.count() == 20_000
+
+
+def test_tasks_of_pairs_and_votes_follow_their_rows(spark, log, monkeypatch):
+    """Rows that lists and sessions are multiplied to are spread by their number, and gathered lists aren't broadcast."""
+    index = N.NeighbourIndex.of(log)
+    prompts = log.where("session_id < 20").select(F.col("session_id").alias("case_id"), "pos", "item_id")
+    items = N.prompt_vectors(N.normalised_prompts(prompts, index.items), None).localCheckpoint()
+    scored = items.join(index.items, "item_id")
+    pairs = items.select("case_id", (F.col("case_id") + 20).alias("session_id"), F.lit(1.0).alias("sim")).distinct().localCheckpoint()
+    monkeypatch.setattr(ranking, "TASK_ROWS", 100)
+    met = scored.agg(F.sum("df")).first()[0]
+    votes = 5 * 20 * index.cells.agg(F.avg("s_size")).first()[0]
+    for rows, n in ((N._whole_pairs(scored, index), met), (N.scored_candidates(
+            pairs, index.cells, items, index.items, N.NeighbourOptions(k=5, sample_size=8)), votes)):
+        tasks = -(-n // 100)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert tasks > 10 and re.search(rf"hashpartitioning\(case_id#\w+, {tasks:.0f}\), REPARTITION_BY_NUM", plan)
+    for rows in (N.scored_candidates(pairs, index.cells, items, index.items, N.NeighbourOptions(k=5, sample_size=8)),
+                 N.overlaps(pairs.select("case_id", "session_id"), scored, index)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[session_id#\w+\], \[session_id#\w+\]", plan)
+
+
+def test_groups_of_queries_are_as_large_as_their_lists_allow(items, monkeypatch):
+    """Lists of a few items leave room for many queries, so the blocks of items have few copies."""
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(blocks, "HELD_ROWS", 3)
+    x, df = items
+    queries = df.select(F.col("item_id").alias("case_id"), F.col("embedding").alias("vector"))
+    assert blocks.nearest(queries, df, 3, "dot").rdd.getNumPartitions() == df.sparkSession.sparkContext.defaultParallelism
