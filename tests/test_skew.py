@@ -229,12 +229,12 @@ def test_tasks_of_pairs_and_votes_follow_their_rows(spark, log, monkeypatch):
     items = N.prompt_vectors(N.normalised_prompts(prompts, index.items), None).localCheckpoint()
     scored = items.join(index.items, "item_id")
     pairs = items.select("case_id", (F.col("case_id") + 20).alias("session_id"), F.lit(1.0).alias("sim")).distinct().localCheckpoint()
-    monkeypatch.setattr(ranking, "TASK_ROWS", 100)
+    monkeypatch.setattr(ranking, "TASK_ROWS", 20)
     met = scored.agg(F.sum("df")).first()[0]
     votes = 5 * 20 * index.cells.agg(F.avg("s_size")).first()[0]
     for rows, n in ((N._whole_pairs(scored, index), met), (N.scored_candidates(
             pairs, index.cells, items, index.items, N.NeighbourOptions(k=5, sample_size=8)), votes)):
-        tasks = -(-n // 100)
+        tasks = -(-n // 20)
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert tasks > 10 and re.search(rf"hashpartitioning\(case_id#\w+, {tasks:.0f}\), REPARTITION_BY_NUM", plan)
     for rows in (N.scored_candidates(pairs, index.cells, items, index.items, N.NeighbourOptions(k=5, sample_size=8)),
