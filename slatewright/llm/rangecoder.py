@@ -7,8 +7,9 @@ block decodes alone.
 Model of a block: the last id seen after the two ids before (order 2), after the one id
 before (order 1) and the most frequent id so far (order 0) are predictions. Their weights
 come from a set that the confidence of the predictions selects, and follow the ids coded
-(an online mixture). What the mixture leaves goes to all ids by their bits, from the
-highest: each node of the tree of ids has a probability that follows the ids coded there
+(an online mixture). What the mixture leaves goes to all ids by their
+four groups of four bits, from the highest: each node of the tree of ids has a distribution
+over its 16 children that follows the ids coded there
 (order 0). Nodes start from a fixed law over bit lengths, as vocabularies give frequent
 pieces small ids. All arithmetic is on integers, so every machine codes alike.
 """
@@ -20,73 +21,98 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"SWR2"
+MAGIC = b"SWR3"
 BLOCK = 2048
-LANES = 1024
+LANES = 3072
 HEAD = struct.Struct("<4sI")
 ENTRY = struct.Struct("<III")
 
 _SLOTS = 2048
 _COUNTS = 256
 _TOTAL = 1 << 16
-_LOW = np.uint64((1 << 48) - 1)
-_FULL = (1 << 48) - 1
-_RENORM = np.uint64(1 << 32)
-#: Bits between two settlings. A bit takes at most 9 bits of a range and rounding 12, so three leave 2^5 of 2^32.
-#: The places are the same in every lane: a block's code must not depend on the blocks coded beside it.
-_BETWEEN = 3
-_S16 = np.uint64(16)
-_S32 = np.uint64(32)
-_S12 = np.uint64(12)
-_ZERO, _ONE = np.uint64(0), np.uint64(1 << 12)
+_LOW = (1 << 48) - 1
+_RENORM = 1 << 32
 _FLOOR = 8
 #: Weights move toward this sum at this rate, so that together they stay below _TOTAL.
 _AIM = np.int32(62000)
 _RATE = np.int32(5)
 
-# A node holds the probability of a 1 in its upper 12 bits, and how often it was passed, up to 15, in the lower 4.
+# The nodes of four levels lie side by side: below each prefix of 0, 4, 8 or 12 bits one of 16 numbers, of which the
+# first says how often it was passed, up to _MOST, and the others are where its second, third, ... child begins in _WHOLE.
 _BITS = 16
-_SURE = 8
-
-
-# The nodes of four levels lie side by side, so that the path of an id crosses four places of memory: below each
-# prefix of 0, 4, 8 or 12 bits there are 16 nodes, the first one unused.
+_WHOLE = 1 << 15
+_LEAST = 24
+_MOST = 255
 _LEVELS = ((0, 0), (4, 1), (8, 17), (12, 273))
-_NODES = 16 * (1 + 16 + 256 + 4096)
+#: Nodes of the last level: a block has 2 048 ids, so prefixes of large ids share nodes, each with those of equal remainder.
+_OWN, _LAST = 256, 1024
+_NODES = 1 + 16 + 256 + _LAST
+#: A child takes at most 11 bits of a range and rounding 15, so two of them leave 2^6 of 2^32. The places where ranges
+#: are settled are the same in every lane: a block's code must not depend on the blocks coded beside it.
+_SETTLED = (1, 3)
 
 
 def _start() -> np.ndarray:
     """Nodes before any id. Bit length k = 0..16 has a share that grows with k, spread evenly over its ids."""
     lengths = np.concatenate([[0], np.repeat(np.arange(1, 17), 1 << np.arange(16))])
     law = np.array([3 * (k + 2) << 15 >> max(0, k - 1) for k in range(17)], np.int64)[lengths]
-    nodes = np.full(_NODES, 1 << 15, np.uint16)
-    for bits, first in _LEVELS:
-        for depth in range(4):
-            shares = law.reshape(2 << bits + depth, -1).sum(axis=1)
-            ones = (shares[1::2] << 12) // (shares[0::2] + shares[1::2])
-            prefix = np.arange(1 << bits + depth)
-            at = (first + (prefix >> depth)) * 16 + (1 << depth | prefix & (1 << depth) - 1)
-            nodes[at] = np.clip(ones, _SURE, 4096 - _SURE) << 4
-    return nodes
+    nodes = []
+    for bits, _ in _LEVELS:
+        shares = law.reshape(16 << bits, -1).sum(axis=1).reshape(-1, 16)
+        ends = np.cumsum(shares, axis=1)
+        begins = (ends - shares) * (_WHOLE - 16 * _LEAST) // ends[:, -1:] + np.arange(16) * _LEAST
+        nodes.append(begins[:_LAST])  # the first child begins at 0, which is the count's place
+    return np.concatenate(nodes).astype(np.int16)
+
+
+def _leaves() -> np.ndarray:
+    """The node of the last level, by the prefix of 12 bits."""
+    prefix = np.arange(4096)
+    return np.where(prefix < _LAST, prefix, _OWN + (prefix - _OWN) % (_LAST - _OWN)).astype(np.int64) + _LEVELS[3][1]
+
 
+def _aims() -> np.ndarray:
+    """Where a node's children would begin if all but the least shares were one child's, by child."""
+    child, other = np.arange(16)[:, None], np.arange(16)[None, :]
+    aims = np.where(other <= child, other * _LEAST, _WHOLE - (16 - other) * _LEAST)
+    aims[:, 0] = _MOST + 1
+    return aims.astype(np.int16)
 
-def _paths() -> np.ndarray:
-    """Where the 16 nodes of each id lie."""
-    x = np.arange(_TOTAL)
-    return np.stack([(first + (x >> _BITS - bits)) * 16 + (1 << depth | x >> _BITS - bits - depth & (1 << depth) - 1)
-                     for bits, first in _LEVELS for depth in range(4)], axis=1).astype(np.int32)
 
+def _rates() -> np.ndarray:
+    """How far a node moves to its aim, in 2^-16, by how often it was passed; the count itself moves by one."""
+    n = np.arange(_MOST + 1)[:, None]
+    rates = np.repeat((2 << 16) // (2 * n + _SLOW), 16, axis=1)
+    rates[:, 0] = -(-(1 << 16) // (_MOST + 1 - n[:, 0]))
+    rates[-1, 0] = 0
+    return rates.astype(np.int32)
 
-def _passed() -> np.ndarray:
-    """The node after a 0 and after a 1, by ``bit << 16 | node``; early bits move it the most."""
-    node = np.arange(_TOTAL, dtype=np.int64)
-    p, n = node >> 4, node & 15
-    after = [np.clip(p + (2 * (aim - p)) // (2 * n + 3), _SURE, 4096 - _SURE) << 4 | np.minimum(n + 1, 15) for aim in (0, 4096)]
-    return np.concatenate(after).astype(np.uint16)
 
+_SLOW = 5
+_ROW = np.dtype("V32")
+_SHIFTS = np.array([[12], [8], [4], [0]])
+_FIRST = np.array([[first] for _, first in _LEVELS])
+_START, _LEAVES, _AIMS, _RATES = _start(), _leaves(), _aims(), _rates()
 
-_START, _PATHS, _PASSED = _start(), _paths(), _passed()
-_DEPTHS = np.arange(_BITS - 1, -1, -1, dtype=np.uint32)
+
+def _pass(nodes: np.ndarray, at: np.ndarray, rows: np.ndarray, child: np.ndarray) -> None:
+    """The nodes ``at``, read as ``rows``, after these children. A child's share never gets below _LEAST: shares move
+    between shares that are not, and rounding takes less than one."""
+    move = np.subtract(_AIMS.take(child, axis=0), rows).astype(np.int32)
+    move *= _RATES.take(rows[:, 0], axis=0)
+    move >>= 16
+    rows = rows + move.astype(np.int16)
+    nodes.view(_ROW)[at, 0] = rows.view(_ROW)[:, 0]  # numpy copies a row faster than its 16 numbers
+
+
+def _share(rows: np.ndarray, first: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each child's share begins and how wide it is."""
+    flat, at = rows.reshape(-1), first + child
+    begin = flat.take(at).astype(np.int64)
+    begin *= child > 0
+    end = flat.take(at + 1, mode="clip").astype(np.int64)
+    end[child == 15] = _WHOLE
+    return begin, end - begin
 
 
 class _Model:
@@ -108,7 +134,7 @@ class _Model:
         self.weights = np.tile(start.reshape(32), lanes)
         self.a = np.zeros(lanes, np.uint32)
         self.b = np.zeros(lanes, np.uint32)
-        self.nodes = np.tile(_START, lanes)
+        self.nodes = np.tile(_START, (lanes, 1))
 
     def shrink(self, lanes: int) -> None:
         """The last lane has ended."""
@@ -153,51 +179,53 @@ class _Model:
 
 class _Out:
     def __init__(self, lanes: int, steps: int) -> None:
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, _FULL, np.uint64)
-        self.width = 14 * steps + 8  # no id takes more than 16 times 9 and 13 bits
+        self.low = np.zeros(lanes, np.int64)
+        self.range = np.full(lanes, _LOW, np.int64)
+        self.width = 4 * steps + 8  # no id takes more than 13 and four times 11 bits
         self.words = np.zeros(lanes * self.width, np.uint16)
         self.used = np.arange(lanes, dtype=np.int64) * self.width
 
     def carry(self, lanes: np.ndarray) -> None:
-        for i in lanes.tolist():
-            k = self.used[i] - 1
-            while self.words[k] == 0xFFFF:
-                self.words[k] = 0
-                k -= 1
-            self.words[k] += 1
+        at = self.used.take(lanes) - 1
+        while len(at):
+            word = self.words.take(at) + np.uint16(1)
+            self.words[at] = word
+            at = at[word == 0] - 1
 
     def settle(self, low: np.ndarray, width: np.ndarray, lanes: np.ndarray) -> None:
         """Of these lanes those with a short range give a word or more, carries first."""
         short = np.flatnonzero(width < _RENORM)
         while len(short):
-            who, part, narrow = lanes.take(short), low.take(short), width.take(short) << _S16
+            who, part, narrow = lanes.take(short), low.take(short), width.take(short) << 16
             over = part > _LOW
             if over.any():
                 self.carry(who[over])
                 part &= _LOW
             at = self.used.take(who)
-            self.words[at] = part >> _S32
+            self.words[at] = part >> 32
             self.used[who] = at + 1
-            low[short] = (part << _S16) & _LOW
+            low[short] = (part << 16) & _LOW
             width[short] = narrow
             short = short[narrow < _RENORM]
 
     def put_bits(self, x: np.ndarray, lanes: np.ndarray, model: _Model) -> None:
-        """Ids that were not predicted, bit by bit."""
+        """Ids that were not predicted, by four bits at a time."""
+        n = len(lanes)
         low, width = self.low.take(lanes), self.range.take(lanes)
-        at = _PATHS.take(x, axis=0) + (lanes * _NODES)[:, None]
-        bits = x[:, None] >> _DEPTHS & np.uint32(1)
-        node = model.nodes.take(at)
-        model.nodes[at] = _PASSED.take(bits << np.uint32(16) | node)
-        p = np.ascontiguousarray((node >> np.uint16(4)).T).astype(np.uint64)
-        one = np.ascontiguousarray(bits.T).astype(bool)
-        start, share = np.where(one, _ZERO, p), np.where(one, p, _ONE - p)
-        for depth in range(_BITS):
-            width >>= _S12
-            low += width * start[depth]
-            width *= share[depth]
-            if depth % _BETWEEN == _BETWEEN - 1:
+        prefix = x.astype(np.int64) >> _SHIFTS
+        at = np.empty((4, n), np.int64)
+        at[0], at[1:3], at[3] = 0, prefix[:2] + _FIRST[1:3], _LEAVES.take(prefix[2])
+        at = (at + lanes * _NODES).reshape(-1)
+        child = (prefix & 15).reshape(-1)
+        rows = model.nodes.take(at, axis=0)
+        _pass(model.nodes, at, rows, child)
+        begin, share = _share(rows, np.arange(0, 64 * n, 16), child)
+        for level in range(4):
+            own = slice(level * n, level * n + n)
+            width >>= 15
+            low += width * begin[own]
+            width *= share[own]
+            if level in _SETTLED:
                 self.settle(low, width, lanes)
         self.low[lanes], self.range[lanes] = low, width
 
@@ -205,7 +233,7 @@ class _Out:
         self.carry(np.flatnonzero(self.low > _LOW))
         self.low &= _LOW
         for shift in (32, 16, 0):
-            self.words[self.used] = self.low >> np.uint64(shift) & np.uint64(0xFFFF)
+            self.words[self.used] = self.low >> shift & 0xFFFF
             self.used += 1
         return [self.words[i * self.width:n].astype("<u2").tobytes() for i, n in enumerate(self.used.tolist())]
 
@@ -245,9 +273,9 @@ def _encode_lanes(ids: np.ndarray, n: int, last: int, steps: int) -> list[bytes]
         is0 = (x == model.likely) & ~(is1 | is2)
         start = np.where(is2, 0, np.where(is1, end2, np.where(is0, end1, end0)))
         stop = np.where(is2, end2, np.where(is1, end1, np.where(is0, end0, np.int32(_TOTAL))))
-        step = out.range[:lanes] >> _S16
-        low = out.low[:lanes] + start.astype(np.uint64) * step
-        width = (stop - start).astype(np.uint64) * step
+        step = out.range[:lanes] >> 16
+        low = out.low[:lanes] + start * step
+        width = (stop - start) * step
         out.settle(low, width, every[:lanes])
         out.low[:lanes], out.range[:lanes] = low, width
         other = np.flatnonzero(start == end0)
@@ -260,50 +288,57 @@ def _encode_lanes(ids: np.ndarray, n: int, last: int, steps: int) -> list[bytes]
 class _In:
     def __init__(self, words: list[bytes]) -> None:
         sizes = np.array([len(w) // 2 for w in words])
-        self.flat = np.concatenate([np.frombuffer(b"".join(words), "<u2").astype(np.uint64), np.zeros(4, np.uint64)])
+        self.flat = np.concatenate([np.frombuffer(b"".join(words), "<u2"), np.zeros(4, "<u2")])
         self.next = np.cumsum(sizes) - sizes
-        self.value = np.zeros(len(words), np.uint64)
+        self.value = np.zeros(len(words), np.int64)
         for _ in range(3):
-            self.value = self.value << _S16 | self.flat[self.next]
+            self.value = self.value << 16 | self.flat[self.next]
             self.next += 1
-        self.range = np.full(len(words), _FULL, np.uint64)
+        self.range = np.full(len(words), _LOW, np.int64)
 
     def settle(self, value: np.ndarray, width: np.ndarray, lanes: np.ndarray) -> None:
         short = np.flatnonzero(width < _RENORM)
         while len(short):
-            who, narrow = lanes.take(short), width.take(short) << _S16
+            who, narrow = lanes.take(short), width.take(short) << 16
             if not narrow.all():  # what no encoder writes
                 raise ValueError("a block is damaged")
             at = self.next.take(who)
-            value[short] = value.take(short) << _S16 | self.flat.take(at, mode="clip")
+            value[short] = (value.take(short) << 16 | self.flat.take(at, mode="clip")) & _LOW
             self.next[who] = at + 1
             width[short] = narrow
             short = short[narrow < _RENORM]
 
     def get_bits(self, lanes: np.ndarray, model: _Model) -> np.ndarray:
+        n = len(lanes)
         value, width, row = self.value.take(lanes), self.range.take(lanes), lanes * _NODES
-        x = np.zeros(len(lanes), np.int64)
-        for bits, first in _LEVELS:
-            base, own = row + (x + first) * 16, np.ones(len(lanes), np.int64)
-            for depth in range(4):
-                at = base + own
-                node = model.nodes.take(at)
-                p = node >> np.uint16(4)
-                width >>= _S12
-                ones = width * p
-                one = value < ones
-                bit = one.astype(np.int64)
-                model.nodes[at] = _PASSED.take(bit << 16 | node)
-                value -= np.where(one, _ZERO, ones)
-                width *= np.where(one, p, np.uint16(1 << 12) - p)
-                own = own << 1 | bit
-                if (bits + depth) % _BETWEEN == _BETWEEN - 1:
-                    self.settle(value, width, lanes)
-            x = x << 4 | own & 15
+        x, first = np.zeros(n, np.int64), np.arange(0, 16 * n, 16)
+        at, children, rows = np.empty((4, n), np.int64), np.empty((4, n), np.int64), np.empty((4, n, 16), np.int16)
+        for level, (_, before) in enumerate(_LEVELS):
+            np.add(row, x + before if level < 3 else _LEAVES.take(x), out=at[level])
+            own = model.nodes.take(at[level], axis=0, out=rows[level], mode="clip")
+            width >>= 15
+            target = _quotient(value, width, _WHOLE - 1)
+            flat, place = own.reshape(-1), first
+            for step in (8, 4, 2, 1):
+                place = place + step * (flat.take(place + step) <= target)
+            child = np.subtract(place, first, out=children[level])
+            begin, share = _share(own, first, child)
+            value -= width * begin
+            width *= share
+            if level in _SETTLED:
+                self.settle(value, width, lanes)
+            x = x << 4 | child
+        _pass(model.nodes, at.reshape(-1), rows.reshape(-1, 16), children.reshape(-1))
         self.value[lanes], self.range[lanes] = value, width
         return x
 
 
+def _quotient(value: np.ndarray, step: np.ndarray, most: int) -> np.ndarray:
+    """``value // step``, at most ``most``. Both are below 2^48, and a quotient up to 2^16 lies 2^-33 or more below the
+    next whole number, so the division of floating numbers can't round it up to that."""
+    return np.minimum(value / step, most).astype(np.int64)
+
+
 def decode(frame: bytes | memoryview, lanes: int = LANES) -> np.ndarray:
     """The ids of a frame. A block whose ids don't match its checksum raises ValueError."""
     magic, n = HEAD.unpack_from(frame, 0)
@@ -330,14 +365,14 @@ def _decode_lanes(blocks: list[tuple[int, bytes, int]]) -> np.ndarray:
         if not lanes:
             break
         end2, end1, end0 = model.predict()
-        step = source.range[:lanes] >> _S16
-        target = np.minimum(source.value[:lanes] // step, np.uint64(_TOTAL - 1)).astype(np.int32)
+        step = source.range[:lanes] >> 16
+        target = _quotient(source.value[:lanes], step, _TOTAL - 1).astype(np.int32)
         is2, is1, is0 = target < end2, target < end1, target < end0
         start = np.where(is2, 0, np.where(is1, end2, np.where(is0, end1, end0)))
         stop = np.where(is2, end2, np.where(is1, end1, np.where(is0, end0, np.int32(_TOTAL))))
         x = np.where(is2, model.c2, np.where(is1, model.c1, model.likely))
-        value = source.value[:lanes] - start.astype(np.uint64) * step
-        width = (stop - start).astype(np.uint64) * step
+        value = source.value[:lanes] - start * step
+        width = (stop - start) * step
         source.settle(value, width, every[:lanes])
         source.value[:lanes], source.range[:lanes] = value, width
         other = np.flatnonzero(~is0)

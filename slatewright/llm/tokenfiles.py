@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +30,23 @@ END_ID = 0
 SEGMENT_IDS = rangecoder.BLOCK * rangecoder.LANES
 #: A blank amid or before other white space may join it in one token.
 _JOINED_BLANK = re.compile(r"\s (?:\s|$)|^ ")
-_CACHED_PIECES = 300_000
+_CACHED_PIECES = 500_000
 #: Fixed value: the public word pattern of byte-level vocabularies; used for Latin letters, on which all
 #: versions of Unicode agree.
 _PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Texts that are looked through together for pieces not met before, and such pieces encoded in one call.
+_TEXTS, _JOINED = 200, 200
 
 
 class PieceEncoder:
-    """Whole texts through the tokenizers library, one call per distinct piece.
+    """Whole texts through the tokenizers library, each distinct piece once.
 
     A token of a byte-level vocabulary with the usual word pattern never spans a blank
-    that follows a visible character, so a text is cut before such blanks; each distinct
-    piece, and each word of the pattern within it, is encoded once and remembered. Texts that have other runs of white
-    space around blanks, or that may hold special tokens, are encoded in one call.
+    that follows a visible character, so a text is cut before such blanks. Each distinct
+    piece, or word of the pattern within it, is encoded once and remembered; those not met
+    before are joined and encoded many in a call, where each begins at the one token that
+    begins with its blank. Texts that have other runs of white space around blanks, or that may hold special tokens, are
+    encoded in a call of their own.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -51,38 +56,74 @@ class PieceEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary must have at most 65536 ids")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.blank = np.zeros(1 << 16, bool)
+        self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.pieces: dict[str, bytes] = {}
         encoder = self
 
-        class Words(dict):
+        class Tails(dict):
             def __missing__(self, word: str) -> bytes:
-                if len(self) >= _CACHED_PIECES:
-                    self.clear()
                 self[word] = found = encoder.whole(word)
                 return found
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= _CACHED_PIECES:
-                    self.clear()
-                if max(piece, default="") < "\u0250":
-                    found = b"".join(map(encoder.words.__getitem__, _PATTERN.findall(" " + piece)))
-                else:
-                    found = encoder.whole(" " + piece)
-                self[piece] = found
-                return found
-
-        self.words = Words()
-        self.pieces = Pieces()
+        self.tails = Tails()
 
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes these pieces, all different."""
+        known, plain, split = self.pieces, {}, []
+        for p in pieces:
+            if p and p.isprintable():  # white space and controls are not printable
+                if p.isalpha() or max(p) >= "\u0250":
+                    plain[p] = None
+                else:
+                    first, *rest = _PATTERN.findall(" " + p)
+                    split.append((p, first[1:], rest))
+                    if first[1:] not in known:
+                        plain[first[1:]] = None
+        own = list(plain)
+        for k in range(0, len(own), _JOINED):
+            self._joined(own[k:k + _JOINED])
+        for p, first, rest in split:
+            known[p] = known[first] + b"".join(map(self.tails.__getitem__, rest))
+        for p in pieces:
+            if p not in known:
+                known[p] = self.whole(" " + p)
+
+    def _joined(self, pieces: list[str]) -> None:
+        joined = " " + " ".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
+        begins = np.flatnonzero(self.blank[ids])
+        if len(begins) == len(pieces) and not any(s in joined for s in self.specials):
+            coded, begins = ids.tobytes(), (2 * begins).tolist()
+            self.pieces.update((p, coded[a:b]) for p, a, b in zip(pieces, begins, [*begins[1:], len(coded)], strict=True))
+        else:  # of another kind of vocabulary
+            self.pieces.update((p, self.whole(" " + p)) for p in pieces)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 16-bit numbers."""
+        if len(self.pieces) >= _CACHED_PIECES:
+            self.pieces.clear()
+            self.tails.clear()
+        cut = [None if _JOINED_BLANK.search(t) or any(s in t for s in self.specials) else t.split(" ") for t in texts]
+        known = self.pieces
+        new = {p: None for parts in cut if parts for p in parts[1:] if p not in known}
+        if new:
+            self.learn(list(new))
+        get = known.__getitem__
+        return [self.whole(t) if parts is None else (self.whole(parts[0]) if parts[0] else b"") + b"".join(map(get, parts[1:]))
+                for t, parts in zip(texts, cut, strict=True)]
+
     def __call__(self, text: str) -> bytes:
-        """The ids as little-endian 16-bit numbers."""
-        if _JOINED_BLANK.search(text) or any(s in text for s in self.specials):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        return self.whole(head) + b"".join(map(self.pieces.__getitem__, rest))
+        return self.many([text])[0]
+
+
+@lru_cache(1)
+def _encoder(tokenizer_json: str) -> PieceEncoder:
+    """One a worker, so that its tasks know each other's pieces."""
+    return PieceEncoder(tokenizer_json)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, partitions: int | None = None) -> None:
@@ -99,7 +140,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, partitions: int |
     n = partitions or shuffle_partitions(spark)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = PieceEncoder(definition), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(definition), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         texts: list[bytes] = []
         size = 0
@@ -118,13 +159,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, partitions: int |
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                coded = encoder(text.as_py() or "") + end
-                doc_ids.append(doc_id.as_py())
-                texts.append(coded)
-                size += len(coded) // 2
-                if size >= SEGMENT_IDS:
-                    yield flush()
+            for k in range(0, batch.num_rows, _TEXTS):
+                own = batch.slice(k, _TEXTS)
+                coded = encoder.many([text or "" for text in own.column(1).to_pylist()])
+                for doc_id, ids in zip(own.column(0).to_pylist(), coded, strict=True):
+                    doc_ids.append(doc_id)
+                    texts.append(ids + end)
+                    size += len(ids) // 2 + 1
+                    if size >= SEGMENT_IDS:
+                        yield flush()
         if doc_ids:
             yield flush()
 

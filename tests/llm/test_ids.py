@@ -65,6 +65,47 @@ def test_pieces_equal_whole_texts():
         assert encoder(text) == encoder.whole(text), repr(text)
 
 
+def test_texts_encoded_together_equal_whole_texts_in_few_calls(monkeypatch):
+    with open(TOKENIZER, encoding="utf-8") as f:
+        encoder = tokenfiles.PieceEncoder(f.read())
+    rng = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) + rng.choice(["", "", ",", ".", "'s", "-1"])
+                      for _ in range(60)) for _ in range(50)]
+    calls = []
+    whole = tokenfiles.PieceEncoder.whole
+    monkeypatch.setattr(tokenfiles.PieceEncoder, "whole", lambda self, text: calls.append(text) or whole(self, text))
+    got = encoder.many(texts)
+    assert len(calls) < 2 * len(texts)  # heads, and what follows words; not each of some 2 900 words
+    odd = ["", " ", "a  b", "x <|endoftext|> y", "中 文 é\x1c ok", "a\n b", "one\ttwo", "a \xa0 b", "\u0120x y \u0120", "Ω2 x"]
+    monkeypatch.setattr(tokenfiles, "_CACHED_PIECES", 10)
+    assert got + encoder.many(odd) + encoder.many(odd[::-1]) == [whole(encoder, t) for t in texts + odd + odd[::-1]]
+
+
+def test_coder_settles_ranges_three_times_an_id(monkeypatch):
+    calls = []
+    settle = rangecoder._Out.settle
+    monkeypatch.setattr(rangecoder._Out, "settle", lambda self, *a: calls.append(1) or settle(self, *a))
+    ids = np.random.default_rng(4).integers(0, 65536, 500)
+    frame = rangecoder.encode(ids)
+    assert len(calls) <= 3 * len(ids)
+    assert (rangecoder.decode(frame) == ids).all()
+
+
+def test_nodes_keep_their_least_shares():
+    """However often a node is passed, its children stay in order and none gets less than the coder's rounding needs."""
+    rng = np.random.default_rng(5)
+    nodes = rangecoder._START.copy()
+    assert nodes.shape == (rangecoder._NODES, 16)
+    for k in range(3000):
+        at = np.arange(len(nodes))
+        child = rng.integers(0, 16, len(nodes)) if k % 3 else np.full(len(nodes), k // 300)
+        rangecoder._pass(nodes, at, nodes[at], child)
+    begins = np.concatenate([np.zeros((len(nodes), 1), int), nodes[:, 1:], np.full((len(nodes), 1), rangecoder._WHOLE)], axis=1)
+    assert np.diff(begins, axis=1).min() >= rangecoder._LEAST
+    assert (nodes[:, 0] == rangecoder._MOST).all()
+
+
 def test_files(spark):
     rows = [(3, "one two"), (None, "null id"), (1, None), (2, ""), (4, "x y"), (4, "x y"), (5, "word " * 3000)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, start string").repartition(3)
