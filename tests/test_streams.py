@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slatewright.operators import blocks, completions, hybrids
+from slatewright.operators import blocks, completions, hybrids, neighbours
 from slatewright.operators.embedding import SimilarityOptions, recommend_similar
 
 
@@ -124,3 +124,31 @@ def test_near_lists_are_not_joined_to_answers(spark, prompts, items):
     names, vectors, answers = named(spark, prompts, items)
     found = plan(completions.fill_unmatched(completions.matched(answers, names), vectors, items, 3))
     assert "FlatMapGroupsInPandas" not in found and "near_id" not in found
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    rng = np.random.default_rng(8)
+    cells = [(s, p + 1, int(rng.integers(0, 43)), float(s), 1.0) for s in range(25) for p in range(2 + s % 9)]
+    return spark.createDataFrame(cells, "session_id long, pos long, item_id long, ts double, reward double").cache()
+
+
+@pytest.mark.parametrize("strategy, decay, similarity", [("mean", "harmonic", "cosine"), ("last", None, "dot"), ("concat", "harmonic", "cosine")])
+def test_held_vectors_give_the_same_neighbours(spark, prompts, items, log, strategy, decay, similarity, monkeypatch):
+    options = neighbours.NeighbourOptions(k=5, sample_size=8, sampling="recent", use_item_embeddings=True, prompt_strategy=strategy,
+                                          train_strategy=strategy, decay=decay, similarity=similarity, train_decay="linear" if strategy == "mean" else None)
+    found = neighbours.recommend_neighbours(prompts, log, 6, options, items)
+    assert "array<double>" not in plan(found)  # vectors of sessions are not moved
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    wanted = neighbours.recommend_neighbours(prompts, log, 6, options, items)
+    one, other = rows(found), rows(wanted)
+    assert one and [r[:4] for r in one] == [r[:4] for r in other]
+    assert np.allclose([r[4] for r in one], [r[4] for r in other])
+
+
+def test_followers_are_looked_up_before_votes_are_summed(spark, prompts, log, monkeypatch):
+    options = neighbours.NeighbourOptions(k=5, sample_size=8, sampling="recent", sequential_filter=True, idf_weighting=True)
+    found = neighbours.recommend_neighbours(prompts, log, 6, options)
+    assert "array_contains(_next" in plan(found)
+    monkeypatch.setattr(neighbours, "FOLLOWERS", -1)  # followers are joined to the summed votes
+    assert rows(found) == rows(neighbours.recommend_neighbours(prompts, log, 6, options)) != []
